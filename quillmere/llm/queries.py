@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from quillmere.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; they are installed, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids and decoded text of all documents, as digests."""
+    from quillmere.llm.pieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), outputs="digests")
+
+
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     from quillmere.llm.simhash import near_duplicates
@@ -19,7 +33,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op10_simhash_neardup,)
+    f.__name__: f for f in (op2_sentencepiece, op10_simhash_neardup)
 }
 
 ORACLES: dict[str, str] = {}
