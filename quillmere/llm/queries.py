@@ -24,6 +24,17 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), outputs="digests")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; learned from those whose crc32 modulo 4 is not 2."""
+    from quillmere.llm.language import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"), 4, 2)
+    identifier = fit(docs.filter(~apart), "doc_id", "text", "lang")
+    found = identify(docs, identifier)
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     from quillmere.llm.simhash import near_duplicates
@@ -33,7 +44,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op10_simhash_neardup)
+    f.__name__: f for f in (op2_sentencepiece, op9_language_id, op10_simhash_neardup)
 }
 
 ORACLES: dict[str, str] = {}
