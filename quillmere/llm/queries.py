@@ -24,6 +24,29 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), outputs="digests")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents over 40 equal shards by rendezvous hashing."""
+    from quillmere.llm.sharding import shard_records
+
+    return shard_records(table(spark, sf_dir, "documents"), [1.0] * 40)
+
+
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of each document."""
+    from quillmere.llm.mixture import taken_words
+
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents."""
+    import public_tokenizers
+
+    from quillmere.llm.secrets import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; learned from those whose crc32 modulo 4 is not 2."""
     from quillmere.llm.language import fit, held_out, identify
@@ -44,7 +67,36 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op9_language_id, op10_simhash_neardup)
+    f.__name__: f for f in (op2_sentencepiece, op4_sharding, op6_mixture, op8_secrets, op9_language_id, op10_simhash_neardup)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixture": """
+WITH sized AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number
+  FROM sized GROUP BY source),
+weighed AS (SELECT *, list_extract([3.0::DOUBLE, 1.0, 2.0], number % 3 + 1) AS weight, source_size * 2.0::DOUBLE AS cap FROM totals),
+filled AS (
+  SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS wanted,
+         coalesce(sum(cap) OVER lower_caps, 0.0) AS capped,
+         sum(weight) OVER () - coalesce(sum(weight) OVER lower_caps, 0.0) AS open_weight
+  FROM weighed
+  WINDOW lower_caps AS (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (
+  SELECT *, max(CASE WHEN (wanted - capped) / open_weight * weight <= cap THEN (wanted - capped) / open_weight END) OVER () AS level
+  FROM filled),
+targets AS (SELECT source, source_size, least(cap, level * weight) AS target FROM levels),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY h, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST((SELECT sum(greatest(0, least(floor(target), p * source_size + start + size) - (p * source_size + start)))
+             FROM range(3) AS passes(p)) AS BIGINT) AS taken
+FROM placed
+""",
+}
