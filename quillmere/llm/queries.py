@@ -17,6 +17,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; learned from labels of those whose crc32 modulo 5 is not 0."""
+    from quillmere.llm.language import held_out
+    from quillmere.llm.toxicity import fit, score_documents
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    apart = held_out(F.col("doc_id"), 5, 0)
+    found = score_documents(docs, fit(docs, labels.filter(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), "score", "predicted", "n_offending", "worst_start", "worst_end")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids and decoded text of all documents, as digests."""
     from quillmere.llm.pieces import encode_documents
@@ -67,7 +78,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op4_sharding, op6_mixture, op8_secrets, op9_language_id, op10_simhash_neardup)
+    f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op4_sharding, op6_mixture, op8_secrets, op9_language_id, op10_simhash_neardup)
 }
 
 ORACLES: dict[str, str] = {
