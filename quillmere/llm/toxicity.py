@@ -26,7 +26,7 @@ from quillmere.llm.common import map_rows
 TOXIC_DOCS, CLEAN_DOCS = 4000, 6000
 #: At most so many word features get a weight: those whose share of toxic documents is the least likely by chance,
 #: and only those for which twice the log likelihood ratio of that share reaches LEAST_RATIO.
-FEATURES, LEAST_TOXIC_DOCS, LEAST_RATIO = 20_000, 3, 16.0
+FEATURES, LEAST_TOXIC_DOCS, LEAST_RATIO = 20_000, 3, 20.0
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = range(4, 10)
 ROUNDS, RATE, RIDGE = 1000, 0.1, 0.003
