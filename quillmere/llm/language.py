@@ -16,6 +16,8 @@ from quillmere.llm.common import SLICE, map_rows
 UNKNOWN = "und"
 #: The classifier is fitted on at most so many labelled documents of each language, those with the lowest hashes.
 DOCS_PER_LANGUAGE = 1000
+#: The most frequent languages that are learned, so that what is broadcast is bounded.
+LANGUAGES = 500
 #: One in so many of them sets the rejection limit and counts for nothing else.
 CALIBRATE_ONE_IN = 5
 #: Share of calibration documents within the limit before it is widened, and by how much it is.
@@ -60,13 +62,17 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, text, rank) of a bounded number of documents per language.
 
-    Ranks are taken on ids alone, so that scan reads two narrow columns and
-    each task passes on no more rows of a language than the bound.
+    Ids and languages are read first, without texts. Hashes under a share of
+    their range, twice the bound over the number of documents of the language,
+    leave some two times the bound of each; those are ranked.
     """
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    unit = F.shiftrightunsigned(F.xxhash64("id"), 12) * F.lit(2.0**-52)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = docs.select("id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    few = docs.select("id", "lang").join(F.broadcast(counts), "lang").filter(unit * F.col("n") < 2.0 * per_language + 50)
+    ids = few.select("id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
     ids = ids.groupBy("id").agg(F.min("rank").alias("rank"))
-    rows = docs.join(F.broadcast(ids), "id")  # at most per_language rows of each language
+    rows = docs.join(F.broadcast(ids), "id")  # per_language * LANGUAGES ids at most
     again = Window.partitionBy("lang").orderBy("rank", F.xxhash64("text"))
     return rows.select("lang", "text", F.row_number().over(again).alias("rank")).filter(F.col("rank") <= per_language)
 
