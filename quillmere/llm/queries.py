@@ -49,6 +49,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents"), [1.0] * 40)
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of cosine 0.93 or more within a label."""
+    from quillmere.llm.permutation import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes of each document."""
     from quillmere.llm.mixture import taken_words
@@ -85,7 +92,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_topk, op4_sharding, op6_mixture, op8_secrets, op9_language_id, op10_simhash_neardup)
+    f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_topk, op4_sharding, op5_embedding_neardup, op6_mixture, op8_secrets, op9_language_id, op10_simhash_neardup)
 }
 
 ORACLES: dict[str, str] = {
