@@ -63,6 +63,14 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean log stupid-backoff scores of all documents under counts of all documents."""
+    from quillmere.llm.ngramlm import score_documents
+
+    found = score_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_backed", F.round("score", 6).alias("score"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents."""
     import public_tokenizers
@@ -92,7 +100,7 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_topk, op4_sharding, op5_embedding_neardup, op6_mixture, op8_secrets, op9_language_id, op10_simhash_neardup)
+    f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_topk, op4_sharding, op5_embedding_neardup, op6_mixture, op7_lm_scoring, op8_secrets, op9_language_id, op10_simhash_neardup)
 }
 
 ORACLES: dict[str, str] = {
@@ -133,5 +141,36 @@ SELECT doc_id, size, source_size, target,
        CAST((SELECT sum(greatest(0, least(floor(target), p * source_size + start + size) - (p * source_size + start)))
              FROM range(3) AS passes(p)) AS BIGINT) AS taken
 FROM placed
+""",
+    "op7_lm_scoring": """
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+spots AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM split),
+pairs AS (SELECT doc_id, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v FROM spots),
+ones AS (SELECT w, count(*) AS n FROM pairs GROUP BY w),
+twos AS (SELECT v, w, count(*) AS n FROM pairs WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+scored AS (
+  SELECT p.doc_id, t.n IS NULL AS backed,
+         CASE WHEN t.n IS NOT NULL THEN ln(t.n / o.n)
+              ELSE ln(c.n / (SELECT count(*) FROM pairs)) + CASE WHEN p.v IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM pairs p LEFT JOIN twos t ON t.v = p.v AND t.w = p.w LEFT JOIN ones o ON o.w = p.v JOIN ones c ON c.w = p.w)
+SELECT d.doc_id, count(s) AS n_words, count(*) FILTER (WHERE backed) AS n_backed, round(avg(s), 6) AS score
+FROM documents d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id
+""",
+    "op5_embedding_neardup": """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+       (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) AS component_id,
+       e.vec_id = (SELECT min(b) FROM reach r WHERE r.a = e.vec_id) AS kept
+FROM embeddings e
 """,
 }
