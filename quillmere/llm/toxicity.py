@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,17 +136,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rows(doc_id, text, toxic):
-        """Ids of the chosen features of each sentence that has any; how many have none."""
-        found, empty = [], 0
+        """Ids of the chosen features, and how many each sentence has that has any; how many sentences have none."""
+        found, lengths, empty = [], [], 0
         for start, end in sentences(text):
             own = [shared.value[f] for w in words((text or "")[start:end]) for f in features(w) if f in shared.value]
-            found += [own] if own else []
+            found += own
+            lengths += [len(own)] if own else []
             empty += not own
-        return toxic, empty, found
+        return toxic, empty, lengths, found
 
-    learned = map_rows(sample.select("doc_id", "text", "toxic"), rows, "toxic int, empty int, found array<array<int>>").toArrow()
+    learned = map_rows(sample.select("doc_id", "text", "toxic"), rows, "toxic int, empty int, lengths array<int>, found array<int>").toArrow()
     sample.unpersist()
-    return _train(learned.to_pylist(), vocabulary, count)
+    return _train(learned, vocabulary, count)
 
 
 def _vocabulary(sample: DataFrame) -> dict[str, int]:
@@ -168,25 +170,25 @@ def _vocabulary(sample: DataFrame) -> dict[str, int]:
     return {r.feature: i for i, r in enumerate(counts.collect())}
 
 
-def _train(rows: list[dict], vocabulary: dict[str, int], count: dict[int, int]) -> Detector:
+def _train(rows: pa.Table, vocabulary: dict[str, int], count: dict[int, int]) -> Detector:
     """Minimise the log loss of the noisy-or by Adam; clean documents weigh as in all labels."""
-    label = np.array([r["toxic"] for r in rows], float)
-    if not len(rows) or not label.sum():
+    label = rows.column("toxic").to_numpy().astype(float)
+    if not len(label) or not label.sum():
         return Detector({}, -20.0)
-    empty = np.array([r["empty"] for r in rows], float)
-    bags = [(d, s) for d, r in enumerate(rows) for s in r["found"]]
-    doc = np.array([d for d, _ in bags], np.int64)
-    sentence = np.repeat(np.arange(len(bags)), [len(s) for _, s in bags])
-    feature = np.array([f for _, s in bags for f in s], np.int64)
+    empty = rows.column("empty").to_numpy().astype(float)
+    lengths, found = (rows.column(c).combine_chunks() for c in ("lengths", "found"))
+    doc = np.repeat(np.arange(len(label)), np.diff(lengths.offsets.to_numpy()))
+    per_sentence = lengths.flatten().to_numpy()
+    sentence, feature = np.repeat(np.arange(len(doc)), per_sentence), found.flatten().to_numpy()
     weight = np.where(label == 1, count[1] / label.sum(), count.get(0, 0) / max(1.0, (1 - label).sum()))
-    weight *= len(rows) / weight.sum()
+    weight *= len(label) / weight.sum()
     x = np.zeros(len(vocabulary) + 1)
     x[-1] = -4.0
     first, second = np.zeros_like(x), np.zeros_like(x)
     sigmoid = lambda z: 1 / (1 + np.exp(-z))
     for step in range(1, ROUNDS + 1):
-        z = x[-1] + np.bincount(sentence, x[feature], len(bags))
-        none = np.bincount(doc, np.logaddexp(0, z), len(rows)) + empty * np.logaddexp(0, x[-1])  # -log(1 - P)
+        z = x[-1] + np.bincount(sentence, x[feature], len(doc))
+        none = np.bincount(doc, np.logaddexp(0, z), len(label)) + empty * np.logaddexp(0, x[-1])  # -log(1 - P)
         pull = weight * np.where(label == 1, -1 / np.expm1(np.clip(none, 1e-9, 500)), 1.0)
         gradient_z = pull[doc] * sigmoid(z)
         gradient = np.zeros_like(x)
