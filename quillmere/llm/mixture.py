@@ -146,7 +146,7 @@ def _slots(budget: DataFrame, block: int) -> DataFrame:
         .select(F.col("id").alias("slot"))
         .select("slot", point.alias("point"))
         .withColumn("cell", F.floor(F.col("point") * CELLS))
-        .join(F.broadcast(cells), "cell")  # one row per source and cell boundary: sources + CELLS rows
+        .join(cells, "cell")  # sources + CELLS rows, broadcast if they are few; else points are even over cells
         .filter("point >= low AND point < high")
         .select("number", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     )
