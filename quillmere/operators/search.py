@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmere.config import candidate_budget
-from quillmere.functions.vectors import cosine, scored, top_k
+from quillmere.functions.vectors import scored, top_k
 from quillmere.operators.catalog import workspace_bases
 from quillmere.sources.models import Embedder, Reranker, embed_texts
 
+#: Queries and chunks of a block when many questions are asked at once.
+QUERY_BLOCK, CHUNK_BLOCK = 1024, 4096
 #: Columns of a hit before it is scored.
 _HIT = ("chunk_id", "file_id", "kb_id", "file_name", "kb_name", "text", "idx", "heading")
 
@@ -47,15 +53,48 @@ def nearest(found: DataFrame, query: Sequence[float], k: int) -> DataFrame:
 
 
 def batch_nearest(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, chunk_id, score) for a table of query vectors (query_id, vector): the set is stated, each is ranked.
+    """(query_id, rank, chunk_id, score) for a stated set of queries (query_id, vector) against all chunks.
 
-    A key of the dimension joins the two, so only vectors of one dimension meet.
+    Queries and chunks are dealt into blocks of bounded size; every pair of
+    blocks is one matrix product that keeps k rows per query, and those are
+    ranked. Vectors of another dimension, or with a null, meet nothing; ties go
+    by chunk id.
     """
-    a = queries.select("query_id", F.col("vector").alias("_q"), F.size("vector").alias("_dim"))
-    b = chunks.filter(F.col("vector").isNotNull()).select(F.col("id").alias("chunk_id"), "vector", F.size("vector").alias("_dim"))
-    pairs = b.join(a, "_dim").select("query_id", "chunk_id", cosine(F.col("vector"), F.col("_q")).alias("score"))
+    whole = lambda df, key, vector: df.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(
+        F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim")
+    )
+    asked, stored = whole(queries, "query_id", "vector"), whole(chunks, "id", "vector")
+    n_asked, n_stored = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-stored.count() // CHUNK_BLOCK))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = asked.select("key", "v", "dim", own(n_asked).alias("a"), every(n_stored).alias("b"))
+    b = stored.select("key", "v", "dim", every(n_asked).alias("a"), own(n_stored).alias("b"))
+    kinds = [dict(df.dtypes)["key"] for df in (asked, stored)]
+    schema = to_arrow_schema(T.StructType.fromDDL(f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[pa.Table] = []
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("key")
+            x, y = _unit_rows(left), _unit_rows(right)
+            keep = min(k, len(y))
+            for at in range(0, len(x), 64):
+                score = x[at : at + 64] @ y.T
+                best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
+                who = np.repeat(np.arange(at, at + len(score)), keep)
+                rows.append(pa.table([left["key"].take(pa.array(who)), right["key"].take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, 1).ravel())], schema=schema))
+        return pa.concat_tables(rows) if rows else schema.empty_table()
+
+    found = a.groupBy("dim", "a", "b").cogroup(b.groupBy("dim", "a", "b")).applyInArrow(run, T.StructType.fromDDL(f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
+def _unit_rows(table: pa.Table) -> np.ndarray:
+    """Vectors of a block at unit length; zero vectors stay, so that their cosine is 0."""
+    x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
 def rerank_merge(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:

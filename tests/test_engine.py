@@ -125,3 +125,22 @@ def test_ranking_rules(spark):
     hits = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "ordinal int, chunk_id string")
     scores = spark.createDataFrame([(1, 0.5), (1, 0.25), (2, -1.0), (0, float("nan"))], "index int, relevance double")
     assert [(r.chunk_id, r.rerank_score) for r in rerank_merge(hits, scores, 5).collect()] == [("b", 0.25), ("a", 0.0), ("c", -1.0)]
+
+
+def test_many_questions_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from quillmere.operators import search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "CHUNK_BLOCK", 7)
+    rng = np.random.default_rng(1)
+    rows = [(f"c{n:02}", [float(x) for x in rng.normal(size=4)]) for n in range(40)] + [("zero", [0.0] * 4), ("short", [1.0]), ("none", None), ("twin", None)]
+    rows[-1] = ("twin", rows[0][1])
+    chunks = spark.createDataFrame(rows, "id string, vector array<float>")
+    asked = spark.createDataFrame([(n, rows[n][1]) for n in range(8)] + [(99, [1.0])], "query_id int, vector array<float>")
+    cos = lambda a, b: float(np.dot(a, b) / max(1e-300, np.linalg.norm(a) * np.linalg.norm(b)))
+    same = [(i, np.float32(v).astype(float)) for i, v in rows if v and len(v) == 4]
+    expected = {(q, r + 1): i for q in range(8) for r, (_, i) in enumerate(sorted((-round(cos(dict(same)[f"c{q:02}"], v), 9), i) for i, v in same)[:3])}
+    expected[99, 1] = "short"
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in search.batch_nearest(asked, chunks, 3).collect()} == expected
