@@ -25,7 +25,7 @@ from quillmere.llm.fingerprint import words_of
 #: Weight of a lower order, and the least count with which a bigram is in the table.
 BACKOFF, LEAST_COUNT = 0.4, 2
 #: Bytes of text in a group of documents and behind a range of hashes. They bound what a task holds.
-GROUP_BYTES, RANGE_BYTES = 16 << 20, 24 << 20
+GROUP_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 _PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
