@@ -30,7 +30,7 @@ TOXIC_DOCS, CLEAN_DOCS = 4000, 6000
 FEATURES, LEAST_TOXIC_DOCS, LEAST_RATIO = 20_000, 3, 20.0
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = range(4, 10)
-ROUNDS, RATE, RIDGE = 1000, 0.1, 0.003
+ROUNDS, RATE, RIDGE = 400, 0.2, 0.003
 #: Words whose weights a worker keeps.
 MEMO_ENTRIES = 200_000
 
