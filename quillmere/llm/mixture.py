@@ -27,6 +27,12 @@ _GOLDEN, _PERIOD, _UNIT = 2654435769, 1 << 31, 1 << 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def row_key(df: DataFrame) -> Column:
+    """128 bits that stand for all columns of a row; maps count by their JSON."""
+    parts = [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *parts).alias("b"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -94,8 +100,7 @@ def plan_mixture(
     rows are ordered by the MD5 of their id, so reruns agree; an empty table gives
     two empty ones; other columns are kept out.
     """
-    row_hash = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    sized = cut(_streams(docs, id_col, text_col, source_col, row_hash))
+    sized = cut(_streams(docs, id_col, text_col, source_col, row_key(docs)))
     targets = cut(target_table(sized, weights, share, most))
     numbered = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(sized["*"], "number", "source_size", "target")
     sums = numbered.groupBy("number", "bucket").agg(F.sum("size").alias("n"))
@@ -196,7 +201,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .groupBy("row_hash")
         .agg(F.count("*").alias("copies"))
     )
-    hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_hash"))
+    hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(docs).alias("row_hash"))
     return (
         hashed.join(copies, "row_hash")
         .dropDuplicates(["row_hash"])
