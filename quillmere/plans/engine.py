@@ -13,7 +13,7 @@ from quillmere.config import Config
 from quillmere.operators import catalog, search
 from quillmere.operators.ingest import index_files
 from quillmere.operators.operations import Operations
-from quillmere.schemas import TABLES
+from quillmere.schemas import BASES, TABLES
 from quillmere.sources.files import raw_rows, read_files
 from quillmere.sources.models import Embedder, HttpEmbedder, HttpReranker, Reranker, probe
 from quillmere.sources.store import TableStore
@@ -70,8 +70,7 @@ class KnowledgeEngine:
 
     def create_base(self, name: str, description: str = "") -> str:
         now, kb_id = self.clock(), str(uuid.uuid4())
-        bases = self.store.read("bases")
-        self.store.write("bases", bases.unionByName(self.spark.createDataFrame([(kb_id, name, description, now, now)], bases.schema)))
+        self.store.append("bases", self.spark.createDataFrame([(kb_id, name, description, now, now)], BASES))
         return kb_id
 
     def list_bases(self) -> DataFrame:
@@ -131,22 +130,30 @@ class KnowledgeEngine:
         if self.store.read("bases").filter(F.col("id") == kb_id).isEmpty():
             raise ValueError(f"there is no base {kb_id}")
         known = self.store.read("raw")
-        self.store.write("raw", catalog.without(known, raw, file_id="file_id").unionByName(raw.select(*known.columns)))
+        raw = raw.select(*known.columns)
+        if known.join(raw.select("file_id"), "file_id", "left_semi").isEmpty():  # only ids are read
+            self.store.append("raw", raw)
+        else:
+            self.store.write("raw", catalog.without(known, raw, file_id="file_id").unionByName(raw))
         ids = raw.select("file_id")
         fresh = self.store.read("raw").join(ids, "file_id", "left_semi")
         return self._index(fresh, new=True)
 
     def _index(self, raw: DataFrame, new: bool) -> DataFrame:
-        """Index raw files and write the next snapshots. A file that fails again keeps its old chunks."""
+        """Index raw files; files not known before are appended, others replaced. A file that fails again keeps its old chunks."""
         files, chunks = index_files(raw, self.get_config().checked(), self.embedder(), self.clock())
         files, chunks = files.persist(), chunks.persist()
         try:
             t = self.store.tables()
-            ready = files.filter("status = 'ready'")
-            self.store.write("chunks", catalog.replace_chunks(t["chunks"], chunks, files if new else ready))
-            created = t["files"].select("id", F.col("created_at").alias("_created"))
-            rows = files.join(created, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
-            self.store.write("files", catalog.without(t["files"], files, id="id").unionByName(rows.select(*t["files"].columns)))
+            if t["files"].join(files.select("id"), "id", "left_semi").isEmpty():
+                self.store.append("chunks", chunks)
+                self.store.append("files", files)
+            else:
+                ready = files if new else files.filter("status = 'ready'")
+                self.store.write("chunks", catalog.replace_chunks(t["chunks"], chunks, ready))
+                created = t["files"].select("id", F.col("created_at").alias("_created"))
+                rows = files.join(created, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
+                self.store.write("files", catalog.without(t["files"], files, id="id").unionByName(rows.select(*t["files"].columns)))
             return self.store.read("files").join(raw.select(F.col("file_id").alias("id")), "id", "left_semi")
         finally:
             files.unpersist()

@@ -457,7 +457,7 @@ def html_text(spark, d):
 def decode_charset(spark, d):
     """Documents in several encodings, read back."""
     mark = F.unhex(F.lit("FFFE"))
-    data = F.when(F.col("doc_id") % 3 == 0, F.concat(mark, F.encode("text", "UTF-16LE"))).when(F.col("doc_id") % 3 == 1, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    data = F.when(F.col("doc_id") % 3 == 0, F.concat(mark, F.encode("text", "UTF-16LE"))).when((F.col("doc_id") % 3 == 1) & F.col("text").rlike("^[\\x00-\\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     files = _read(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), data.alias("content"))
     return extracted(files).select("doc_id", "encoding", "had_bom", "char_count", "text")
 

@@ -144,3 +144,19 @@ def test_many_questions_in_blocks(spark, monkeypatch):
     expected = {(q, r + 1): i for q in range(8) for r, (_, i) in enumerate(sorted((-round(cos(dict(same)[f"c{q:02}"], v), 9), i) for i, v in same)[:3])}
     expected[99, 1] = "short"
     assert {(r.query_id, r["rank"]): r.chunk_id for r in search.batch_nearest(asked, chunks, 3).collect()} == expected
+
+
+def test_store_appends_and_cleans(spark, tmp_path):
+    from quillmere.sources.store import KEPT, TableStore
+
+    store = TableStore(spark, str(tmp_path), {"t": "id int"})
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    assert store.read("t").count() == 0
+    store.write("t", rows(1, 2))
+    store.append("t", rows(3))
+    before = store.read("t")
+    store.write("t", before.filter("id > 1"))
+    assert sorted(r.id for r in store.read("t").collect()) == [2, 3] and before.count() == 3
+    for k in range(KEPT + 2):
+        store.write("t", rows(k))
+    assert len(store.versions("t")) == KEPT and len([x for x in store._names("t") if x.startswith("data-")]) == KEPT
