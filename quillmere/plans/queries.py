@@ -112,6 +112,16 @@ def dim_filter(spark, d):
     return rows.select("vec_id", "dim")
 
 
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, CAST(4 * len(embedding) AS INTEGER) AS bytes, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
+def vector_blobs(spark, d):
+    from quillmere.functions.vectors import pack_float32, unpack_float32
+
+    packed = _read(spark, d, "embeddings").select("vec_id", pack_float32("embedding").alias("blob"))
+    rows = packed.select("vec_id", F.octet_length("blob").alias("bytes"), unpack_float32("blob").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("vec_id", F.size("v").alias("dim"), "bytes", F.round(total, 6).alias("total"))
+
+
 @query(f"WITH {_FOUND} SELECT {_HIT} FROM found WHERE kb_id IN (1, 4) ORDER BY found.score DESC, idx, chunk_id LIMIT 20")
 def scoped_search_kb(spark, d):
     found = search.candidates(search.in_scope(_chunks(spark, d), kb_ids=[1, 4]), _bases(spark, d), _files(spark, d))

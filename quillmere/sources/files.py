@@ -21,8 +21,11 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
-def extracted(files: DataFrame, name_col: str = "name", content_col: str = "content", strip_markup: bool = True, mode: str = "lenient") -> DataFrame:
-    """``files`` without their bytes, with the columns of an extraction; a file that can't be read has an error."""
+def extracted(files: DataFrame, name_col: str = "name", content_col: str = "content", strip_markup: bool = True, mode: str = "lenient", preferred: str | None = None) -> DataFrame:
+    """``files`` without their bytes, with the columns of an extraction; a file that can't be read has an error.
+
+    ``preferred`` is a charset that is tried before the others where bytes are not UTF-8.
+    """
     kept = [f for f in files.schema.fields if f.name != content_col]
     schema = struct(", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), EXTRACTED]))
     out = to_arrow_schema(schema)
@@ -32,7 +35,7 @@ def extracted(files: DataFrame, name_col: str = "name", content_col: str = "cont
             for at in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(at, _SLICE)
                 names, contents = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (name_col, content_col))
-                rows = [extract(n, c, None, strip_markup, mode) for n, c in zip(names, contents)]
+                rows = [extract(n, c, preferred, strip_markup, mode) for n, c in zip(names, contents)]
                 old = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
                 new = [pa.array(list(c), t.type) for c, t in zip(zip(*rows), list(out)[len(kept) :])] if rows else []
                 if rows:
