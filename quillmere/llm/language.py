@@ -22,8 +22,8 @@ LANGUAGES = 500
 CALIBRATE_ONE_IN = 5
 #: Share of calibration documents within the limit before it is widened, and by how much it is.
 KEEP, SLACK = 0.999, 2.0
-#: The least limit, so that few calibration documents don't set a tight one: half a nat per symbol over long texts.
-LEAST_LIMIT = 7.0
+#: The least limit, so that few calibration documents don't set a tight one: one nat per symbol over long texts.
+LEAST_LIMIT = 14.0
 #: Length at which the spread of cross-entropies stops to shrink, in symbols.
 LONG = 200
 
