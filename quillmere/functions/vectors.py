@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _double(vector: Column) -> Column:
@@ -26,13 +27,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_float32(blob: pd.Series) -> pd.Series:
     """Vectors out of little-endian 32-bit floats, as other stores keep them; null stays null."""
     return blob.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_float32(vector: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats of vectors; doubles are rounded."""
     return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
