@@ -54,6 +54,7 @@ class Config:
         return self
 
 
+#: Fixed value: the most hits a search gives.
 MAX_TOP_K = 20
 
 

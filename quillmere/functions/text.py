@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space in the sense of the reference's language: Unicode spaces and line ends, and the byte order mark.
+#: White space in the sense of the reference's language - Unicode spaces and line ends, and the byte order mark.
 SPACES = "\t\n\x0b\x0c\r " + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
-#: First bytes of containers.
+#: First bytes of containers.
 ZIP_SIGNATURE, OLE2_SIGNATURE, PDF_SIGNATURE = "504B0304", "D0CF11E0A1B11AE1", "255044462D"
 
-#: Elements that tell markup from text.
+#: Elements that tell markup from text.
 MARKUP = r"(?i)<(!doctype|html|head|body|div|p|span|td|a|script|style)\b"
 
 

@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass
 from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
-#: Seconds for which a finished operation can still be seen.
+#: Fixed value: seconds for which a finished operation can still be seen.
 KEPT_SECONDS = 15.0
 
 
