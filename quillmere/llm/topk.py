@@ -43,9 +43,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _pivot_matrix(rows: DataFrame, largest: float) -> np.ndarray:
-    """Pivots far from each other out of a bounded sample, in the larger space."""
-    sample = rows.select("q").distinct().orderBy(F.xxhash64("q"), "q").limit(SAMPLE).collect()  # SAMPLE rows
+def _pivot_matrix(rows: DataFrame, largest: float, n: int) -> np.ndarray:
+    """Pivots far from each other out of a bounded sample of different vectors, in the larger space.
+
+    A hash threshold leaves some eight times the sample before different
+    vectors are told apart; where so many repeat that too few are left, all are.
+    """
+    unit = F.shiftrightunsigned(F.xxhash64("q"), 12) * F.lit(2.0**-52)
+    lowest = lambda df: df.select("q").distinct().orderBy(F.xxhash64("q"), "q").limit(SAMPLE).collect()  # noqa: E731  SAMPLE rows
+    sample = lowest(rows.filter(unit * n < 8 * SAMPLE))
+    if len(sample) < PIVOTS and n > 8 * SAMPLE:
+        sample = lowest(rows)
     found = _lift(np.array([r.q for r in sample], float), largest)
     chosen = [0]
     nearest = ((found - found[0]) ** 2).sum(axis=1)
@@ -97,8 +105,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     width = width["width"]
     whole = whole.filter(F.size("q") == width)
     square = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    largest, asking = whole.agg(F.max(square), F.sum(F.col("asks").cast("long"))).first()
-    pivots = _pivot_matrix(whole, float(largest))
+    largest, asking, n = whole.agg(F.max(square), F.sum(F.col("asks").cast("long")), F.count("*")).first()
+    pivots = _pivot_matrix(whole, float(largest), n)
     groups = max(1, -(-asking // GROUP))
 
     def place(batches):
