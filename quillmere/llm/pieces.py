@@ -27,7 +27,7 @@ from quillmere.llm.common import map_rows
 
 MARK = "▁"
 #: Entries of each memo, and the longest unit kept in one: they bound a worker's memory.
-WORD_ENTRIES, UNIT_ENTRIES, PAIR_ENTRIES, MEMO_LENGTH = 100_000, 20_000, 200_000, 48
+WORD_ENTRIES, UNIT_ENTRIES, PAIR_ENTRIES, MEMO_LENGTH = 120_000, 20_000, 300_000, 48
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
