@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and random strings found by token efficiency.
 
 A byte-pair vocabulary packs ordinary text into few tokens; a random string
-stays at one or two characters per token. Runs of key characters that mix
-letters and digits are encoded, and a ratio under the limit marks a span, once
-known digests and identifiers are left out.
+stays at one or two characters per token. Runs of key characters are encoded,
+with or without digits, and a ratio under the limit marks a span, once known
+digests, identifiers and numbers are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ DIGESTS = frozenset({32, 40, 56, 64, 96, 128})
 IDENTIFIER = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|(?:sha(?:1|256|384|512)|md5)[-_=][A-Za-z0-9+/=]+"  # labelled digest
-    r"|[0-9+/_=-]+|[A-Za-z+/_=-]+"  # numbers; words and paths
+    r"|[0-9+/_=-]+"  # numbers
 )
 _PLACEHOLDER = "[secret]"
 

@@ -334,6 +334,18 @@ def test_secrets(spark, odd, none, vocabulary):
     assert clean[7].text == dict(TEXTS)[7] and clean[1].text is None
 
 
+def test_random_letters_are_secrets_and_words_are_not(spark, vocabulary):
+    own, rng = secrets.SecretScanner(*vocabulary), random.Random(7)
+    key = "uTkPqZxLmVbRnYwQsKdJfHgTr"
+    assert own.spans(f"see {key} here") == [("random", 4, 4 + len(key))] and own.redacted(f"see {key} here") == "see [secret] here"
+    for _ in range(200):
+        key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice((20, 24, 32))))
+        assert own.spans(key) == [("random", 0, len(key))]
+    docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet").select("text").collect()
+    runs = {m for r in docs for m in re.findall(r"[A-Za-z+/_=-]{20,}", r.text or "")}
+    assert not [x for x in runs if own.is_random(x)] and not own.is_random("https/hooks-service/services/production/customer-notifications/")
+
+
 def test_kneser_ney_sums_to_one():
     text = symbols("the cat sat on the mat and the dog sat on the cat " * 3)
     counts = {n: np.unique(grams(symbols(t)), return_counts=True) for n, t in {"a": "the cat sat on the mat. the dog", "b": "el gato y la casa"}.items()}
