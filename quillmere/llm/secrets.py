@@ -3,7 +3,8 @@
 A byte-pair vocabulary packs ordinary text into few tokens; a random string
 stays at one or two characters per token. Runs of key characters are encoded,
 with or without digits, and a ratio under the limit marks a span, once known
-digests, identifiers and numbers are left out.
+digests, identifiers and numbers are left out. What patterns leave of a run is
+tested whole and then in its parts, so that a path before a key doesn't hide it.
 """
 
 from __future__ import annotations
@@ -32,9 +33,28 @@ IDENTIFIER = (
     r"|(?:sha(?:1|256|384|512)|md5)[-_=][A-Za-z0-9+/=]+"  # labelled digest
     r"|[0-9+/_=-]+"  # numbers
 )
+#: What joins the parts of a run, and the known forms that are left out where they stand within one.
+_JOINING = "+/_=-"
+_PARTS = re.compile(rf"[^{_JOINING}]+")
+_DIGEST_CHARS = {"md5": (32, 22), "sha1": (40, 27), "sha256": (64, 43), "sha384": (96, 64), "sha512": (128, 86)}
+_KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|"
+    + "|".join(rf"{name}[-_=](?:[0-9a-fA-F]{{{a}}}|[A-Za-z0-9+/]{{{b}}}=*)" for name, (a, b) in _DIGEST_CHARS.items())
+    + r")(?![A-Za-z0-9])"
+)
 _PLACEHOLDER = "[secret]"
 
 
+def between(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ``spans`` leave of start to end."""
+    out = []
+    for a, b in sorted(spans):
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return out + [(start, end)] * (start < end)
+
+
 class SecretScanner:
     """Finds spans (kind, start, end) in code points, ends exclusive."""
 
@@ -51,12 +71,44 @@ class SecretScanner:
 
     def is_random(self, run: str) -> bool:
         """Whether a run of key characters is neither digest nor identifier and packs badly."""
-        if len(run) < RANDOM_LEAST or self.identifier.fullmatch(run):
+        bare = run.strip(_JOINING)
+        if len(run) < RANDOM_LEAST or self.identifier.fullmatch(run) or self.identifier.fullmatch(bare):
             return False
-        if len(run) in DIGESTS and self.digest.fullmatch(run):
+        if len(bare) in DIGESTS and self.digest.fullmatch(bare):
             return False
+        return self._packs_badly(run)
+
+    def _packs_badly(self, run: str) -> bool:
         return len(run) / len(self.encoding.encode_ordinary(run)) < self.limit
 
+    def _random_parts(self, run: str) -> list[tuple[int, int]]:
+        """Random strings within a run that isn't random as a whole.
+
+        Neighbouring parts that all pack badly are one string, since keys may
+        hold the joining characters themselves; if it isn't random, each part
+        stands alone. Numbers and digests are no part of a string.
+        """
+        if self.identifier.fullmatch(run):
+            return []
+        groups: list[list[tuple[int, int]]] = [[]]
+        for start, end in between(0, len(run), [m.span() for m in _KNOWN.finditer(run)]):
+            groups.append([])
+            for m in _PARTS.finditer(run, start, end):
+                part = m[0]
+                digest = len(part) in DIGESTS and self.digest.fullmatch(part)
+                if part.isdigit() or digest or not self._packs_badly(part):
+                    groups.append([])
+                else:
+                    groups[-1].append(m.span())
+        out = []
+        for group in filter(None, groups):
+            whole = (group[0][0], group[-1][1])
+            out += [x for x in ([whole] if self.is_random(run[slice(*whole)]) else group) if self.is_random(run[slice(*x)])]
+        return out
+
+    def _random(self, run: str) -> list[tuple[int, int]]:
+        return [(0, len(run))] if self.is_random(run) else self._random_parts(run) if len(run) >= RANDOM_LEAST else []
+
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """All spans by start, then kind as in KINDS."""
         text, found = text or "", []
@@ -68,8 +120,9 @@ class SecretScanner:
             word, at = run[0], run.start()
             own = [("access", at + m.start(), at + m.end()) for m in self.access.finditer(word) if m.end() - m.start() >= ACCESS_LEAST]
             own += [("hex", at + m.start(), at + m.end()) for m in self.hex.finditer(word) if m.end() - m.start() >= HEX_LEAST]
-            if not own and not any(s < run.end() and at < e for _, s, e in found) and self.is_random(word):
-                own = [("random", at, run.end())]
+            base = [(s, e) for _, s, e in found + own if s < run.end() and at < e]
+            for s, e in between(at, run.end(), base):
+                own += [("random", s + a, s + b) for a, b in self._random(text[s:e])]
             found += own
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -346,6 +346,23 @@ def test_random_letters_are_secrets_and_words_are_not(spark, vocabulary):
     assert not [x for x in runs if own.is_random(x)] and not own.is_random("https/hooks-service/services/production/customer-notifications/")
 
 
+def test_random_parts_of_runs_are_secrets(vocabulary):
+    own, rng = secrets.SecretScanner(*vocabulary), random.Random(8)
+    path = "https/hooks-service/services/production/customer-notifications/"
+    for n in (24, 40):
+        for _ in range(200):
+            key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+            assert key not in own.redacted(f"at {path}{key}/more end")
+    assert own.spans(path * 2 + "uT5kPq9Zx0Lm-Rn2Yw8Qs4Jh") == [("random", 126, 150)]  # a key that holds a joining character
+    hexed = "0123456789abcdef01234567"
+    assert [k for k, _, _ in own.spans(f"{hexed}-uT5kPq9Zx0Lm3Vb7Rn2Yw8Qs4")] == ["hex", "random"]
+    assert own.redacted("uT5kPq9Zx0Lm3Vb7Rn2Yw8Qs4-token=hunter22/x") == "[secret][secret]"
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    assert [k for k, _, _ in own.spans(f"{hexed}-{uuid}")] == ["hex"]
+    for known in (uuid, "0123456789ABCDEF" * 2, "12345678901234567890", "2024-01-15T10-30-00Z"):
+        assert own.spans(path + known) == []
+
+
 def test_kneser_ney_sums_to_one():
     text = symbols("the cat sat on the mat and the dog sat on the cat " * 3)
     counts = {n: np.unique(grams(symbols(t)), return_counts=True) for n, t in {"a": "the cat sat on the mat. the dog", "b": "el gato y la casa"}.items()}
