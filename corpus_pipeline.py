@@ -5,7 +5,7 @@ returns a DataFrame, which is written as Parquet and read again for the next
 one. All but the last return the columns of ``documents``.
 
 1. language_id    rejects documents without letters and those that no learned language explains
-2. simhash_dedup  keeps one document of each near-duplicate group, that with the smallest id
+2. simhash_dedup  keeps one document of each near-duplicate group, that with the smallest id (of none, the lowest hash)
 3. secrets        replaces secrets by a placeholder; every document stays
 4. mixture        repeats or leaves out documents by source, so that sources come near their target weights
 5. sentencepiece  gives the piece ids of every document

@@ -18,7 +18,7 @@ two. Such a group holds 65 members at most, so this stays linear and exact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import cut, map_rows
@@ -98,22 +98,44 @@ def near_duplicates(
     Whole texts are read once, then only numbers move.
     """
     marked = cut(fingerprints(docs, id_col, text_col, width))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(classes.select("fp"), dense)).select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))), dense)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(classes: DataFrame, dense: int = DENSE) -> DataFrame:
+    """``classes``, one row per different ``fp``, with ``root``: the smallest fingerprint reachable by links."""
+    roots = connected_components(near_links(classes.select("fp"), dense)).select(F.col("node").alias("fp"), "root")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _row_key(docs: DataFrame) -> list[Column]:
+    """128 bits that stand for all columns of a row, as columns a and b; maps count by their JSON, nulls by their place."""
+    columns = [(F.col(f"`{f.name}`"), "map<" in f.dataType.simpleString()) for f in docs.schema.fields]
+    parts = [x for c, is_map in columns for x in (c.isNull(), F.to_json(c) if is_map else c)]
+    return [F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *parts).alias("b")]
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest id.
+    """``docs`` with exactly one row of each near-duplicate group: one with the smallest id.
 
-    Of rows that repeat that id, one stays. Groups without any id keep all
-    their rows, since nothing tells which to prefer. All columns are returned.
+    Groups are told apart by their fingerprints, so ids may repeat within and
+    across groups. Of rows of a group that share its smallest id, and of groups
+    without any id, the row with the lowest hash stays, so reruns keep the
+    same. All columns are returned. Rows equal in all columns are one before
+    they move.
     """
-    inner = near_duplicates(docs, id_col, text_col, width)
-    kept = inner.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    nameless = docs.filter(F.col(id_col).isNull())
-    return named.unionByName(nameless)
+
+    def one(doc_id, text, a, b):
+        value = simhash(text, width)
+        return doc_id, value - (1 << 64) if value >> 63 else value, a, b
+
+    key = _row_key(docs)
+    wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *key)
+    marked = cut(map_rows(wanted, one, "doc_id long, fp long, a long, b long"))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "a", "b")
+    classes = cut(marked.groupBy("fp").agg(F.min(place).alias("first")))
+    kept = _rooted(classes).groupBy("root").agg(F.min("first").alias("first")).select("first.a", "first.b")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key).dropDuplicates(["a", "b"])
+    return rows.join(kept, ["a", "b"], "left_semi").select("row.*")

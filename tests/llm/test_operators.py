@@ -95,6 +95,22 @@ def test_fingerprints_and_components(odd, none):
     assert sorted(r.doc_id or 0 for r in kept.select("doc_id").collect()) == [0, 1, 4, 6, 7, 8, 9]
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    word = lambda k: " ".join(f"{x}{k}" for x in ("alpha", "beta", "gamma", "delta", "epsilon"))
+    rows = [(7, word(k)) for k in range(20)]  # one id, different texts
+    rows += [(3, word(50)), (5, word(50)), (5, word(51)), (9, word(51))]  # 5 is a copy of 3, and the least of {5, 9}
+    rows += [(None, word(60))] * 3 + [(None, word(61)), (12, word(61)), (None, word(62))]
+    rows += [(1, word(70))] * 4
+    table = [(i, t, len(t) if k % 2 else None, None if k % 2 else len(t)) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, one long, other long").repartition(3)
+    kept = sorted(map(tuple, simhash.keep_first(docs).collect()), key=str)
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[slow_simhash(t)].append((i is None, i, t))
+    assert sorted((r[:2] for r in kept), key=str) == sorted((min(g)[1:] for g in groups.values()), key=str)
+    assert sorted(map(tuple, simhash.keep_first(docs.repartition(5)).collect()), key=str) == kept
+
+
 @pytest.mark.parametrize("dense", [1, 3, 64])
 def test_no_link_is_lost_or_made_up(spark, dense):
     rng = random.Random(3)
