@@ -18,7 +18,7 @@ UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 1000
 #: The most frequent languages that are learned, so that what is broadcast is bounded.
 LANGUAGES = 500
-#: One in so many of them sets the rejection limit and counts for nothing else.
+#: One in so many of them, never the first ones, sets the rejection limit and counts for nothing else.
 CALIBRATE_ONE_IN = 5
 #: Share of calibration documents within the limit before it is widened, and by how much it is.
 KEEP, SLACK = 0.999, 2.0
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     sample = _sample(labelled, per_language).persist()
-    models = CharModels.fit(_counts(sample.filter(F.col("rank") % CALIBRATE_ONE_IN != 1)))
+    models = CharModels.fit(_counts(sample.filter(F.col("rank") % CALIBRATE_ONE_IN != 0)))
     usual, limit = np.zeros(len(models.languages)), np.full(len(models.languages), LEAST_LIMIT)
     if models.languages:
         shared = sample.sparkSession.sparkContext.broadcast(models)
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
             return lang, float(shared.value.cross_entropy(found)[shared.value.languages.index(lang)]) if known else None, len(found)
 
         schema = "lang string, entropy double, length long"
-        kept = sample.filter(F.col("rank") % CALIBRATE_ONE_IN == 1).select("lang", "text")
+        kept = sample.filter(F.col("rank") % CALIBRATE_ONE_IN == 0).select("lang", "text")
         rows = map_rows(kept, entropy, schema).filter("entropy IS NOT NULL").collect()  # bounded as the sample is
         for k, lang in enumerate(models.languages):
             own = [(r.entropy, r.length) for r in rows if r.lang == lang] or [(np.log(100), 1)]

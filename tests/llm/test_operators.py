@@ -409,6 +409,15 @@ def test_language(spark, odd, none):
     assert empty.predict("some words") == ("und", 0.0, False)
 
 
+def test_languages_of_few_documents_are_learned(spark):
+    english = ["the quick brown fox jumps over the lazy dog and runs away", "a cat sat on the mat while it rained all day long"]
+    rows = [(k, english[k % 2], "en") for k in range(20)] + [(100, "η γλώσσα αυτή έχει μόνο ένα έγγραφο για μάθηση", "el")]
+    known = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert known.models.languages == ["el", "en"]
+    lang, _, accepted = known.predict("ένα έγγραφο έχει γλώσσα")
+    assert lang == "el" and accepted
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(DATA.replace("sf0.001", "sf0.1") + f"/{t}.parquet") for t in ("documents", "labels"))
     apart = language.held_out(F.col("doc_id"), 5, 0)
