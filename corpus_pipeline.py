@@ -8,7 +8,7 @@ one. All but the last return the columns of ``documents``.
 2. simhash_dedup  keeps one document of each near-duplicate group, that with the smallest id (of none, the lowest hash)
 3. secrets        replaces secrets by a placeholder; every document stays
 4. mixture        repeats or leaves out documents by source, so that sources come near their target weights
-5. sentencepiece  gives the piece ids of every document
+5. sentencepiece  gives the piece ids of every document and the text decoded from them
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), outputs="ids")
+    return encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), outputs="text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

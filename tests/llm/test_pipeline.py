@@ -70,6 +70,14 @@ def test_ids_are_those_of_the_library(stages):
     assert all(r.ids == library.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) for r in rows)
 
 
+def test_decoded_texts_are_those_of_the_library(stages):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rows = stages[5].collect()
+    assert rows and all(r.decoded == library.decode(r.ids) for r in rows)
+
+
 def test_run_gives_the_last_stage(spark, stages):
     own = collections.Counter((r.doc_id, r.n_tokens) for r in stages[5].collect())
     assert collections.Counter((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, DATA).collect()) == own
