@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space in the sense of the reference's language - Unicode spaces and line ends, and the byte order mark.
 SPACES = "\t\n\x0b\x0c\r " + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
@@ -14,6 +18,12 @@ ZIP_SIGNATURE, OLE2_SIGNATURE, PDF_SIGNATURE = "504B0304", "D0CF11E0A1B11AE1", "
 #: Elements that tell markup from text.
 MARKUP = r"(?i)<(!doctype|html|head|body|div|p|span|td|a|script|style)\b"
 
+#: The type of paragraphs and chunks with their headings.
+PIECES = T.ArrayType(T.StructType().add("text", T.StringType()).add("heading", T.StringType()))
+
+#: A heading line, once trimmed; its text ends where the line does.
+_HEADING = re.compile(rf"#{{1,6}}[{SPACES}]+([^\n\r\u2028\u2029]+)$")
+
 
 def trim(text: Column) -> Column:
     """Text without white space at its ends."""
@@ -76,33 +86,51 @@ def strip_tags(text: Column) -> Column:
     return normalize_newlines(F.regexp_replace(text, r"<[^>]+>", " "))
 
 
-def paragraphs(text: Column) -> Column:
-    """array<struct<text, heading>>: blocks between blank lines; a heading is carried to the blocks after it."""
-    blocks = F.transform(F.split(collapse_blank(text), r"\n{2,}"), lambda block: F.transform(F.split(block, "\n"), trim))
+def paragraph_list(text: str | None) -> list[tuple[str, str | None]]:
+    """(text, heading) of the blocks between blank lines; a heading is carried to the blocks after it."""
+    out, last = [], None
+    for block in re.split("\n{2,}", (text or "").strip(SPACES)):
+        lines = [x for line in block.split("\n") if (x := line.strip(SPACES))]
+        own = next((m[1].strip(SPACES) for x in lines if (m := _HEADING.match(x))), None)
+        last = last if own is None else own
+        if lines:
+            out.append((" ".join(lines), last))
+    return out
 
-    def described(lines: Column) -> Column:
-        headings = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"^(#{1,6})\s+(.+)$", 2)), lambda h: h != "")
-        return F.struct(
-            trim(F.array_join(F.filter(lines, lambda x: x != ""), " ")).alias("text"),
-            F.when(F.size(headings) > 0, trim(F.element_at(headings, 1))).alias("heading"),
-        )
 
-    empty = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<text:string,heading:string>>").alias("out"))
+@F.arrow_udf(PIECES)
+def _paragraphs(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("text", pa.string()), ("heading", pa.string())]))
+    done = [
+        pa.array([[{"text": t, "heading": h} for t, h in paragraph_list(x)] for x in texts.slice(at, 64).to_pylist()], kind)
+        for at in range(0, len(texts), 64)
+    ]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
 
-    def carry(state: Column, block: Column) -> Column:
-        heading = F.coalesce(block["heading"], state["last"])
-        one = F.array(F.struct(block["text"].alias("text"), heading.alias("heading")))
-        return F.struct(heading.alias("last"), F.when(block["text"] == "", state["out"]).otherwise(F.concat(state["out"], one)).alias("out"))
 
-    return F.aggregate(F.transform(blocks, described), empty, carry, lambda s: s["out"])
+def paragraphs(text: Column) -> Column:
+    """array<struct<text, heading>>: what ``paragraph_list`` gives, in Arrow batches.
+
+    The heading carried on makes this a running state, which an expression
+    could only keep by copying its output at every step.
+    """
+    return _paragraphs(text)
 
 
 def hard_split(text: Column, size: int, overlap: int) -> Column:
-    """array<string>: windows of ``size`` characters, each starting ``size - overlap`` after the one before."""
+    """array<string>: windows of ``size`` characters, each starting ``size - overlap`` after the one before.
+
+    The text is cut into cells of a step by one pass of a pattern; a window is
+    the cells it covers, so no window counts characters from the beginning.
+    """
     step = max(1, size - overlap)
+    cells = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     count = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(float(step)))).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), count), lambda i: F.substring(text, i * step + 1, F.lit(size)))
-    return F.when(F.length(text) > 0, windows).otherwise(F.array().cast("array<string>"))
+    windows = lambda found: F.transform(
+        F.sequence(F.lit(0), count), lambda i: F.substring(F.array_join(F.slice(found, i + 1, -(-size // step)), ""), 1, size)
+    )
+    once = F.element_at(F.transform(F.array(cells), windows), 1)  # a name for the cells, so that they are found once
+    return F.when(F.length(text) > 0, once).otherwise(F.array().cast("array<string>"))
 
 
 def utf16_length(text: Column) -> Column:
