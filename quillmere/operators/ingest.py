@@ -1,4 +1,4 @@
-"""From files to chunks with vectors, and the state of each file, in one plan."""
+"""From files to chunks with vectors, and the state of each file."""
 
 from __future__ import annotations
 
@@ -12,45 +12,63 @@ from quillmere.schemas import CHUNKS, FILES, struct
 from quillmere.sources.files import extracted
 from quillmere.sources.models import Embedder, embedded
 
+#: What is said of a file whose bytes are gone, and of one whose indexing was cancelled.
+MISSING, STOPPED = "the original file is missing", "stopped by user"
 
-def to_chunks(texts: DataFrame, config: Config) -> DataFrame:
-    """(kb_id, file_id, idx, text, heading) of extracted texts."""
-    pieces = chunked(F.col("text"), config.chunkSize, config.chunkOverlap)
-    return texts.select("kb_id", "file_id", F.posexplode(pieces).alias("idx", "piece")).select(
-        "kb_id", "file_id", "idx", F.col("piece.text").alias("text"), F.col("piece.heading").alias("heading")
-    )
 
+def embedded_pieces(raw: DataFrame, config: Config, embedder: Embedder) -> DataFrame:
+    """Raw files as pieces with vectors: a row per chunk, and one without idx for a file that has none.
+
+    Each row has the columns of its file, so that chunks and the state of files
+    both follow from this one table: the caller writes it once, and every file
+    is read, and every text embedded, once.
+    """
+    texts = extracted(raw, strip_markup=config.stripMarkup)
+    found = F.when(F.col("error").isNull(), chunked(F.col("text"), config.chunkSize, config.chunkOverlap))
+    pieces = texts.withColumns({"pieces": found, "blank": trim(F.coalesce("text", F.lit(""))) == ""}).drop("text")
+    rows = pieces.select(*(c for c in pieces.columns if c != "pieces"), F.posexplode_outer("pieces").alias("idx", "piece"))
+    return embedded(rows.select("*", F.col("piece.text").alias("text"), F.col("piece.heading").alias("heading")).drop("piece"), embedder)
 
-def index_files(raw: DataFrame, config: Config, embedder: Embedder, now: int) -> tuple[DataFrame, DataFrame]:
-    """(files, chunks) of raw files (kb_id, file_id, name, ext, rel_path, size, content).
+
+def index_pieces(pieces: DataFrame, model: str, now: int) -> tuple[DataFrame, DataFrame]:
+    """(files, chunks) of a table of embedded pieces.
 
     A file is ready when its text has chunks and all of them have vectors; else
     it has failed, with the reason, and no chunks. Chunk ids follow from file
-    and place, so that a run gives the same ids again. Both results come from
-    the table of embedded chunks, which is read twice: the caller checkpoints.
+    and place, so that a run gives the same ids again. Only what describes a
+    file and its counts is shuffled, combined before.
     """
-    texts = extracted(raw, strip_markup=config.stripMarkup)
-    pieces = embedded(to_chunks(texts.filter("error IS NULL"), config), embedder)
-    rows = pieces.select(
-        F.sha2(F.concat_ws("|", "file_id", F.col("idx").cast("string")), 256).alias("id"),
-        "file_id", "kb_id", F.col("idx").cast("int").alias("idx"), "text", F.size("vector").alias("dim"), "vector",
-        F.length("text").alias("size"), "heading", F.lit(now).cast("long").alias("created_at"), "embed_error",
+    described = ["kb_id", "name", "ext", "kind", "rel_path", "size", "encoding", "char_count", "error", "blank"]
+    state = pieces.groupBy("file_id").agg(
+        *(F.first(c).alias(c) for c in described),
+        F.count("idx").cast("int").alias("chunks"), F.max("embed_error").alias("embed_error"), F.max(F.size("vector")).alias("dim"),
     )
-    state = rows.groupBy("file_id").agg(F.count("*").cast("int").alias("chunk_count"), F.max("embed_error").alias("embed_error"), F.max("dim").alias("embedding_dim"))
-    joined = texts.join(state, "file_id", "left")
     error = (
         F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(trim(F.coalesce("text", F.lit(""))) == "", "no text was found")
+        .when(F.col("blank"), "no text was found")
         .when(F.col("embed_error").isNotNull(), F.col("embed_error"))
-        .when(F.coalesce("chunk_count", F.lit(0)) == 0, "the text has no chunks")
+        .when(F.col("chunks") == 0, "the text has no chunks")
     )
     ready = error.isNull()
-    files = joined.select(
+    files = state.select(
         F.col("file_id").alias("id"), "kb_id", "name", "ext", F.coalesce("kind", F.lit("unknown")).alias("kind"), "rel_path", "size",
         F.coalesce("encoding", F.lit("")).alias("encoding"), F.lit("\n").alias("line_ending"), F.col("char_count").cast("long").alias("char_count"),
-        F.when(ready, F.col("chunk_count")).otherwise(0).alias("chunk_count"), F.when(ready, "ready").otherwise("failed").alias("status"),
-        error.alias("error"), F.when(ready, F.lit(embedder.name)).alias("embedding_model"), F.when(ready, F.col("embedding_dim")).alias("embedding_dim"),
+        F.when(ready, F.col("chunks")).otherwise(0).alias("chunk_count"), F.when(ready, "ready").otherwise("failed").alias("status"),
+        error.alias("error"), F.when(ready, F.lit(model)).alias("embedding_model"), F.when(ready, F.col("dim")).alias("embedding_dim"),
         F.lit(now).cast("long").alias("created_at"), F.lit(now).cast("long").alias("updated_at"),
     ).select(*struct(FILES).names)
+    rows = pieces.filter("idx IS NOT NULL").select(
+        F.sha2(F.concat_ws("|", "file_id", F.col("idx").cast("string")), 256).alias("id"),
+        "file_id", "kb_id", F.col("idx").cast("int").alias("idx"), "text", F.size("vector").alias("dim"), "vector",
+        F.length("text").alias("size"), "heading", F.lit(now).cast("long").alias("created_at"),
+    )
     good = rows.join(files.filter("status = 'ready'").select(F.col("id").alias("file_id")), "file_id", "left_semi")
     return files, good.select(*struct(CHUNKS).names)
+
+
+def waiting_files(raw: DataFrame, status: str, now: int) -> DataFrame:
+    """Rows of files that have arrived and are not indexed yet; their bytes are not read."""
+    given = {c: F.col(c) for c in ("kb_id", "name", "ext", "rel_path", "size")} | {"id": F.col("file_id"), "status": F.lit(status)}
+    given |= {"kind": F.lit("text"), "encoding": F.lit("auto"), "line_ending": F.lit("\n"), "char_count": F.lit(0), "chunk_count": F.lit(0)}
+    given |= {"created_at": F.lit(now), "updated_at": F.lit(now)}
+    return raw.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(FILES).fields))

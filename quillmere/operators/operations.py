@@ -1,4 +1,9 @@
-"""Long operations: started in the background under a job tag, watched, and cancelled by that tag."""
+"""Long operations: run at once or in the background under a job tag, watched, and cancelled by that tag.
+
+An operation is one distributed plan, not a loop over files. What can be seen
+of it while it runs are the tasks of its jobs, which come from Spark's status
+tracker when somebody asks.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark import InheritableThread
 from pyspark.sql import SparkSession
@@ -15,13 +20,21 @@ from pyspark.sql import SparkSession
 KEPT_SECONDS = 15.0
 
 
+class Stopped(RuntimeError):
+    """The operation was cancelled."""
+
+
 @dataclass
 class Operation:
+    """``total`` and ``done`` count files; ``label`` says what it is about, ``current`` what it works on."""
+
     id: str
     kind: str
     kb_id: str | None
+    label: str
     total: int
     done: int = 0
+    current: str = ""
     finished: bool = False
     stopped: bool = False
     error: str | None = None
@@ -38,29 +51,75 @@ class Operations:
         self._threads: dict[str, threading.Thread] = {}
         self._lock = threading.Lock()
 
-    def start(self, kind: str, total: int, work: Callable[[], None], kb_id: str | None = None) -> str:
-        """Run ``work`` in a thread whose Spark jobs carry the operation's tag; returns at once."""
-        op = Operation(uuid.uuid4().hex, kind, kb_id, total, started_at=self.clock())
+    def _new(self, kind: str, label: str, total: int, kb_id: str | None) -> Operation:
+        op = Operation(uuid.uuid4().hex, kind, kb_id, label, total, current=label, started_at=self.clock())
+        with self._lock:
+            self._all[op.id] = op
+        return op
+
+    def _work(self, op: Operation, work: Callable[[], object]) -> object:
+        """``work`` with its Spark jobs under the operation's tag and group."""
+        context = self.spark.sparkContext
+        group = context.getLocalProperty("spark.jobGroup.id")
+        context.addJobTag(op.id)
+        context.setLocalProperty("spark.jobGroup.id", op.id)
+        try:
+            if op.stopped:
+                raise Stopped("stopped by user")
+            found = work()
+            op.done = op.total
+            return found
+        except Exception as e:
+            op.error = "stopped by user" if op.stopped else str(e)[:400]
+            if op.stopped:
+                raise Stopped(op.error) from e
+            raise
+        finally:
+            context.removeJobTag(op.id)
+            context.setLocalProperty("spark.jobGroup.id", group)
+            op.finished, op.finished_at = True, self.clock()
+
+    def run(self, kind: str, label: str, total: int, work: Callable[[], object], kb_id: str | None = None) -> object:
+        """Do ``work`` now, watched and cancellable from other threads; gives what it gives, raises ``Stopped`` if cancelled."""
+        op = self._new(kind, label, total, kb_id)
+        try:
+            return self._work(op, work)
+        finally:
+            with self._lock:
+                self._all.pop(op.id, None)
+
+    def start(self, kind: str, total: int, work: Callable[[], object], kb_id: str | None = None, label: str = "") -> str:
+        """Do ``work`` in a thread; returns the operation's id at once."""
+        op = self._new(kind, label or kind, total, kb_id)
 
         def run():
-            context = self.spark.sparkContext
-            context.addJobTag(op.id)
             try:
-                if not op.stopped:
-                    work()
-                    op.done = op.total
-            except Exception as e:  # noqa: BLE001  reported, not raised: nobody waits here
-                op.error = "stopped" if op.stopped else str(e)[:400]
-            finally:
-                context.removeJobTag(op.id)
-                op.finished, op.finished_at = True, self.clock()
+                self._work(op, work)
+            except Exception:  # noqa: BLE001  kept in the operation: nobody waits here
+                pass
 
-        with self._lock:
-            self._all[op.id] = op
         thread = self._threads[op.id] = InheritableThread(target=run, daemon=True, session=self.spark)
         thread.start()
         return op.id
 
+    def _tasks(self, op: Operation) -> tuple[int, int]:
+        """(done, all) tasks of the stages that the operation's jobs have come to."""
+        tracker = self.spark.sparkContext.statusTracker()
+        jobs = filter(None, map(tracker.getJobInfo, tracker.getJobIdsForGroup(op.id)))
+        stages = [s for j in jobs for k in j.stageIds if (s := tracker.getStageInfo(k))]
+        return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)
+
+    def view(self, op: Operation) -> dict:
+        """What is shown of an operation. Chunk counts are tasks of its plan, since chunks are known only when they are made."""
+        chunk_done, chunk_total = (0, 0) if op.finished else self._tasks(op)
+        part = chunk_done / chunk_total if chunk_total else 0.0
+        progress = 1.0 if op.finished else min(1.0, (op.done + part * op.total) / op.total) if op.total else min(1.0, part)
+        return {
+            "id": op.id, "kind": op.kind, "kbId": op.kb_id, "label": op.label, "total": op.total, "done": op.done, "current": op.current,
+            "chunkTotal": chunk_total, "chunkDone": chunk_done, "progress": progress, "startedAt": int(1000 * op.started_at),
+            "finished": op.finished, "failed": op.stopped or op.error is not None, "error": op.error,
+        }
+
     def active(self) -> list[dict]:
         """What runs, and what ended a short while ago."""
         with self._lock:
@@ -68,15 +127,22 @@ class Operations:
             for k in old:
                 self._all.pop(k)
                 self._threads.pop(k, None)
-            return [{**asdict(o), "progress": 1.0 if o.finished else min(1.0, o.done / o.total) if o.total else 0.0} for o in self._all.values()]
+            now = list(self._all.values())
+        return [self.view(o) for o in now]
 
     def stop(self, operation_id: str) -> bool:
-        """Cancel one; False if there is none or it is over."""
+        """Cancel one, with the jobs that it may still begin; False if there is none or it is over."""
         op = self._all.get(operation_id)
         if op is None or op.finished:
             return False
         op.stopped = True
-        self.spark.sparkContext.cancelJobsWithTag(op.id)
+
+        def cancel():
+            while not op.finished:
+                self.spark.sparkContext.cancelJobsWithTag(op.id)
+                time.sleep(0.2)
+
+        threading.Thread(target=cancel, daemon=True).start()
         return True
 
     def stop_all(self) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quillmere.config import Config
 from quillmere.operators import catalog, search
-from quillmere.operators.ingest import index_files
-from quillmere.operators.operations import Operations
+from quillmere.operators.ingest import MISSING, STOPPED, embedded_pieces, index_pieces, waiting_files
+from quillmere.operators.operations import Operations, Stopped
 from quillmere.schemas import BASES, TABLES
 from quillmere.sources.files import raw_rows, read_files
 from quillmere.sources.models import Embedder, HttpEmbedder, HttpReranker, Reranker, probe
@@ -57,14 +59,19 @@ class KnowledgeEngine:
 
     def embedder(self) -> Embedder:
         config = self.get_config()
-        return self._embedder or HttpEmbedder(config.endpoint, config.model, config.apiKey)
+        return self._embedder or HttpEmbedder(config.endpointBaseUrl, config.embeddingModel, config.apiKey)
 
     def reranker(self) -> Reranker | None:
         config = self.get_config()
         return self._reranker or (HttpReranker(config.rerank_endpoint(), config.rerankModel, config.apiKey) if config.rerankModel else None)
 
-    def probe(self) -> dict:
-        return probe(self.embedder())
+    def probe(self, overrides: dict | None = None) -> dict:
+        """Whether the model answers; ``overrides`` are configuration values that are tried before they are saved."""
+        given = {k: v for k, v in (overrides or {}).items() if k in ("endpointBaseUrl", "embeddingModel", "apiKey") and isinstance(v, str) and (v or k == "apiKey")}
+        if not given:
+            return probe(self.embedder())
+        config = Config.merged(json.loads(self.get_config().to_json()), given)
+        return probe(HttpEmbedder(config.endpointBaseUrl, config.embeddingModel, config.apiKey))
 
     # bases, files, mounts
 
@@ -82,30 +89,33 @@ class KnowledgeEngine:
         return catalog.base_by_id(t["bases"], t["files"], t["chunks"], kb_id)
 
     def delete_base(self, kb_id: str) -> None:
-        t = self.store.tables()
-        left = catalog.delete_base(t, kb_id)
-        for name in ("chunks", "files", "mounts", "bases"):
-            self.store.write(name, left[name])
-        self.store.write("raw", t["raw"].filter(F.col("kb_id") != kb_id))
+        """The base and all that belongs to it; only fragments that hold rows of it are written anew."""
+        gone = self._ids([kb_id])
+        for name, key in (("chunks", "kb_id"), ("files", "kb_id"), ("mounts", "kb_id"), ("bases", "id"), ("raw", "kb_id")):
+            self.store.replace(name, key, gone)
+
+    def _ids(self, ids: Iterable[str]) -> DataFrame:
+        return self.spark.createDataFrame([(x,) for x in ids], "id string")
 
     def files(self, kb_id: str) -> DataFrame:
         return catalog.files_of_base(self.store.read("files"), kb_id)
 
     def delete_file(self, file_id: str) -> None:
-        t = self.store.tables()
-        self.store.write("raw", t["raw"].filter(F.col("file_id") != file_id))
-        left = catalog.delete_file(t, file_id)
-        for name in ("chunks", "files"):
-            self.store.write(name, left[name])
+        """The file, its bytes and chunks; only fragments that hold them are written anew."""
+        gone = self._ids([file_id])
+        for name, key in (("raw", "file_id"), ("chunks", "file_id"), ("files", "id")):
+            self.store.replace(name, key, gone)
 
     def read_file_bytes(self, rel_path: str) -> bytes | None:
         row = self.store.read("raw").filter(F.col("rel_path") == rel_path).select("content").first() if rel_path else None
         return bytes(row.content) if row else None
 
-    def set_mount(self, kb_id: str, workspace_id: str, enabled: bool = True, note: str = "") -> None:
+    def set_mount(self, kb_id: str, workspace_id: str, enabled: bool = True, note: str = "") -> DataFrame:
+        """Switch a base on or off for a workspace; gives the mount's row."""
         mounts = self.store.read("mounts")
         new = self.spark.createDataFrame([(kb_id, workspace_id, enabled, note, self.clock())], mounts.schema)
         self.store.write("mounts", catalog.set_mounts(mounts, new))
+        return self.store.read("mounts").filter((F.col("kb_id") == kb_id) & (F.col("workspace_id") == workspace_id))
 
     def delete_mount(self, kb_id: str, workspace_id: str) -> None:
         self.store.write("mounts", catalog.delete_mount(self.store.read("mounts"), kb_id, workspace_id))
@@ -120,54 +130,98 @@ class KnowledgeEngine:
 
     def import_folder(self, kb_id: str, path: str, pattern: str = "*") -> DataFrame:
         """Import every file under a folder as one plan; gives the files' rows. A broken file is a failed row."""
-        return self._import(kb_id, raw_rows(read_files(self.spark, path, pattern), kb_id))
+        files = read_files(self.spark, path, pattern)
+        return self._tracked(kb_id, path, files.select("path").count(), raw_rows(files, kb_id))
 
     def import_file(self, kb_id: str, name: str, content: bytes) -> DataFrame:
+        """Import one file from memory; gives its row. Empty bytes are an error of the caller."""
+        if not content:
+            raise ValueError("empty upload")
         files = self.spark.createDataFrame([(f"{uuid.uuid4()}/{name}", name, len(content), content)], "path string, name string, size long, content binary")
-        return self._import(kb_id, raw_rows(files, kb_id))
+        return self._tracked(kb_id, name, 1, raw_rows(files, kb_id))
+
+    def _tracked(self, kb_id: str, label: str, total: int, raw: DataFrame) -> DataFrame:
+        """An import as an operation that can be watched and stopped; files of a stopped one have failed."""
+        try:
+            return self.operations.run("import", label, total, lambda: self.import_rows(kb_id, raw), kb_id)
+        except Stopped:
+            return self.store.read("files").join(raw.select(F.col("file_id").alias("id")), "id", "left_semi")
 
-    def _import(self, kb_id: str, raw: DataFrame) -> DataFrame:
+    def import_rows(self, kb_id: str, raw: DataFrame) -> DataFrame:
+        """Keep raw files and index them. They are ``indexing`` until they are ready or have failed."""
         if self.store.read("bases").filter(F.col("id") == kb_id).isEmpty():
             raise ValueError(f"there is no base {kb_id}")
-        known = self.store.read("raw")
-        raw = raw.select(*known.columns)
-        if known.join(raw.select("file_id"), "file_id", "left_semi").isEmpty():  # only ids are read
-            self.store.append("raw", raw)
-        else:
-            self.store.write("raw", catalog.without(known, raw, file_id="file_id").unionByName(raw))
+        raw = raw.select(*self.store.read("raw").columns)
+        self.store.replace("raw", "file_id", raw.select("file_id"), raw)
         ids = raw.select("file_id")
-        fresh = self.store.read("raw").join(ids, "file_id", "left_semi")
-        return self._index(fresh, new=True)
-
-    def _index(self, raw: DataFrame, new: bool) -> DataFrame:
-        """Index raw files; files not known before are appended, others replaced. A file that fails again keeps its old chunks."""
-        files, chunks = index_files(raw, self.get_config().checked(), self.embedder(), self.clock())
-        files, chunks = files.persist(), chunks.persist()
+        waiting = waiting_files(raw, "indexing", self.clock())
+        self.store.replace("files", "id", ids, self._created(waiting))
+        return self._index(self.store.read("raw").join(ids, "file_id", "left_semi"), ids, keep_old=False)
+
+    def _created(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of files with the time of creation that the table has for them."""
+        known = self.store.read("files")
+        created = known.select("id", F.col("created_at").alias("_created"))
+        return rows.join(created, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at")).select(*known.columns)
+
+    def _index(self, raw: DataFrame, ids: DataFrame, keep_old: bool) -> DataFrame:
+        """Index raw files. Every file is read and every text embedded once: the pieces are written, then both tables made from them.
+
+        With ``keep_old``, a file that fails again keeps the chunks it has.
+        """
+        ids, staged = ids.toDF("id"), None
         try:
-            t = self.store.tables()
-            if t["files"].join(files.select("id"), "id", "left_semi").isEmpty():
-                self.store.append("chunks", chunks)
-                self.store.append("files", files)
-            else:
-                ready = files if new else files.filter("status = 'ready'")
-                self.store.write("chunks", catalog.replace_chunks(t["chunks"], chunks, ready))
-                created = t["files"].select("id", F.col("created_at").alias("_created"))
-                rows = files.join(created, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
-                self.store.write("files", catalog.without(t["files"], files, id="id").unionByName(rows.select(*t["files"].columns)))
-            return self.store.read("files").join(raw.select(F.col("file_id").alias("id")), "id", "left_semi")
+            embedder = self.embedder()
+            pieces, staged = self.store.staged(embedded_pieces(raw, self.get_config().checked(), embedder))
+            files, chunks = index_pieces(pieces, embedder.name, self.clock())
+            gone = files.filter("status = 'ready'").select("id") if keep_old else files.select("id")
+            self.store.replace("chunks", "file_id", gone, chunks)
+            self.store.replace("files", "id", files.select("id"), self._created(files))
+        except Exception as e:
+            stopped = "cancelled" in str(e).lower() or "canceled" in str(e).lower()
+            self._without_tag(lambda: self._fail(ids, STOPPED if stopped else str(e)[:400]))
+            raise
         finally:
-            files.unpersist()
-            chunks.unpersist()
+            if staged:
+                self.store.delete(staged)
+        return self.store.read("files").join(ids, "id", "left_semi")
+
+    def _without_tag(self, work: Callable[[], None]) -> None:
+        """``work`` outside the operation that was cancelled, whose tag would cancel it too."""
+        thread = threading.Thread(target=work)
+        thread.start()
+        thread.join()
+
+    def _fail(self, ids: DataFrame, reason: str) -> None:
+        """Mark files as failed; their chunks stay."""
+        known = self.store.read("files")
+        patch = ids.select("id", F.lit("failed").alias("status"), F.lit(reason).alias("error")).join(known.select("id"), "id", "left_semi")
+        marked = catalog.patch_files(known.join(ids, "id", "left_semi"), patch, self.clock())
+        self.store.replace("files", "id", ids, marked)
 
     def reindex(self, kb_id: str | None = None) -> str:
         """Embed all files of a base, or of all bases, again: one distributed job under a tag; gives the operation's id."""
-        raw = self.store.read("raw")
-        raw = raw if kb_id is None else raw.filter(F.col("kb_id") == kb_id)
-        return self.operations.start("reindex" if kb_id else "reindex-all", raw.count(), lambda: self._index(raw, new=False), kb_id)
+        files = self.store.read("files")
+        files = files if kb_id is None else files.filter(F.col("kb_id") == kb_id)
+        kind, label = ("reindex-all", "all bases") if kb_id is None else ("reindex-base", kb_id)
+        return self.operations.start(kind, files.count(), lambda: self._reindex(files), kb_id, label)
+
+    def _reindex(self, files: DataFrame) -> DataFrame:
+        """Files whose bytes are gone fail; of the others only ids meet the raw table before their bytes are read."""
+        ids, raw = files.select(F.col("id")), self.store.read("raw")
+        missing = ids.join(raw.select(F.col("file_id").alias("id")), "id", "left_anti")
+        if not missing.isEmpty():
+            self._fail(missing, MISSING)
+        return self._index(raw.join(ids.toDF("file_id"), "file_id", "left_semi"), ids, keep_old=True)
 
     def reembed_file(self, file_id: str) -> DataFrame | None:
-        raw = self.store.read("raw").filter(F.col("file_id") == file_id)
-        return None if raw.isEmpty() else self._index(raw, new=False)
+        """Embed one file again; None if there is no such file, or its bytes are gone and it has failed."""
+        file = self.store.read("files").filter(F.col("id") == file_id)
+        if file.isEmpty():
+            return None
+        self._reindex(file)
+        row = self.store.read("files").filter(F.col("id") == file_id)
+        return None if row.filter(F.col("error") == MISSING).count() else row
 
     # search
 

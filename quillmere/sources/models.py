@@ -101,13 +101,13 @@ def parse_ranking(answer: dict) -> list[tuple[int, float]]:
 
 
 def probe(embedder: Embedder) -> dict:
-    """Whether a model answers, the dimension of its vectors, and how long it took."""
+    """Whether a model answers, the dimension of its vectors or what went wrong, and how long it took."""
     began = time.monotonic()
     try:
-        dim = len(embedder.embed(["ping"])[0])
-        return {"ok": True, "dim": dim, "latencyMs": round(1000 * (time.monotonic() - began)), "error": None}
+        found = {"ok": True, "dim": len(embedder.embed(["ping"])[0])}
     except Exception as e:  # noqa: BLE001
-        return {"ok": False, "dim": 0, "latencyMs": round(1000 * (time.monotonic() - began)), "error": str(e)[:400]}
+        found = {"ok": False, "error": str(e)[:400]}
+    return {**found, "latencyMs": round(1000 * (time.monotonic() - began)), "model": embedder.name}
 
 
 def embed_texts(embedder: Embedder, texts: list[str], batch: int = QUERY_BATCH) -> list[list[float]]:
@@ -117,29 +117,41 @@ def embed_texts(embedder: Embedder, texts: list[str], batch: int = QUERY_BATCH)
     return out
 
 
+#: Rows whose vectors Python holds as objects at once.
+_SLICE = 256
+
+
 def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "text", vector_col: str = "vector", batch: int = IMPORT_BATCH) -> DataFrame:
     """``rows`` with a vector per text, asked for in small batches on the executors.
 
-    Where the model fails for a batch, its rows have no vector and an
-    ``embed_error``; the job goes on.
+    Rows without a text get no vector and are not sent. Where the model fails
+    for a batch, its rows have no vector and an ``embed_error``; the job goes on.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     kind = pa.list_(pa.float32())
 
+    def asked(texts: list[str]) -> tuple[list, str | None]:
+        try:
+            found = embedder.embed(texts)
+            if len(found) != len(texts):
+                raise RuntimeError(f"{len(found)} vectors for {len(texts)} texts")
+            if not all(len(x) for x in found):
+                raise RuntimeError("a vector is empty")
+            return found, None
+        except Exception as e:  # noqa: BLE001
+            return [None] * len(texts), str(e)[:400]
+
     def run(batches):
         for whole in batches:
-            vectors, errors = [], []
-            texts = whole.column(whole.schema.get_field_index(text_col)).to_pylist()
-            for at in range(0, len(texts), batch):
-                part = [t or "" for t in texts[at : at + batch]]
-                try:
-                    found, error = embedder.embed(part), None
-                    if len(found) != len(part):
-                        raise RuntimeError(f"{len(found)} vectors for {len(part)} texts")
-                except Exception as e:  # noqa: BLE001
-                    found, error = [None] * len(part), str(e)[:400]
-                vectors += found
-                errors += [error] * len(part)
-            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(vectors, kind), pa.array(errors, pa.string())], names=[*whole.schema.names, vector_col, "embed_error"])
+            for at in range(0, whole.num_rows, _SLICE):
+                part = whole.slice(at, _SLICE)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                places = [n for n, t in enumerate(texts) if t is not None]
+                vectors, errors = [None] * len(texts), [None] * len(texts)
+                for some in (places[k : k + batch] for k in range(0, len(places), batch)):
+                    found, error = asked([texts[n] for n in some])
+                    for n, vector in zip(some, found):
+                        vectors[n], errors[n] = vector, error
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, kind), pa.array(errors, pa.string())], names=[*part.schema.names, vector_col, "embed_error"])
 
     return rows.mapInArrow(run, f"{schema}, `{vector_col}` array<float>, embed_error string")

@@ -21,6 +21,6 @@ def watch_folder(engine: KnowledgeEngine, kb_id: str, path: str, checkpoint: str
     def batch(found: DataFrame, _: int) -> None:
         files = found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content")
         if not files.isEmpty():
-            engine._import(kb_id, raw_rows(files, kb_id))
+            engine.import_rows(kb_id, raw_rows(files, kb_id))
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,7 +4,7 @@ import pytest
 
 from quillmere.config import Config, candidate_budget, search_arguments
 from quillmere.operators.search import rerank_merge
-from quillmere.plans.api import handle
+from quillmere.plans.api import handle, knowledge_search
 from quillmere.plans.engine import KnowledgeEngine
 from quillmere.sources.models import HashingEmbedder, OverlapReranker, parse_ranking
 
@@ -29,7 +29,7 @@ def base(engine, tmp_path_factory):
     folder = tmp_path_factory.mktemp("files")
     (folder / "a.md").write_text("# Cats\ncats sleep all day\n\nand dogs run")
     (folder / "b.html").write_text("<html><body><p>birds fly<br>high</p></body></html>")
-    (folder / "c.txt").write_bytes(bytes.fromhex("D6D0CEC40D0AB1A8BAEC0D0A"))
+    (folder / "c.txt").write_bytes("河水很清\r\n山也很高\r\n".encode("gb18030"))
     (folder / "d.pdf").write_bytes(b"%PDF-1.4")
     (folder / "e.txt").write_text("  \n ")
     kb = engine.create_base("animals")
@@ -74,16 +74,125 @@ def test_failed_reembedding_keeps_old_chunks(engine, base, spark):
 
 
 def test_requests(engine, base):
-    assert handle(engine, "GET", "health") == (200, {"bases": 1, "files": 5})
+    assert handle(engine, "GET", "health") == (200, {"ok": True, "baseCount": 1, "fileCount": 5})
+    assert handle(engine, "GET", "health", same_origin=False)[0] == 403
     assert handle(engine, "POST", "bases", {"name": " "})[0] == 400
+    assert handle(engine, "POST", "bases", ["x"])[0] == 400
     assert handle(engine, "POST", "nope")[0] == 404
-    status, hits = handle(engine, "POST", "search", {"query": "cats", "topK": 2, "kbId": base})
-    assert status == 200 and len(hits) == 2
     assert handle(engine, "POST", "config", {"chunkSize": 10})[0] == 400
+    assert handle(engine, "POST", "config", {"chunkSize": "abc"})[0] == 400
+    assert handle(engine, "POST", "config", {"stripMarkup": 1})[0] == 400
     assert handle(engine, "POST", "config", {"chunkSize": 900, "extra": 1})[1]["chunkSize"] == 900
     assert engine.get_config().extra == {"extra": 1}
-    assert handle(engine, "POST", "config/test")[1]["ok"]
-    assert handle(engine, "POST", "operations/stop", {"id": "none"}) == (200, {"stopped": False})
+    probe = handle(engine, "POST", "config/test")[1]
+    assert probe["ok"] and (probe["dim"], probe["model"]) == (64, "hashing-64") and "error" not in probe
+    away = handle(engine, "POST", "config/test", {"endpointBaseUrl": "http://127.0.0.1:9/v1", "embeddingModel": "m"})[1]
+    assert not away["ok"] and away["model"] == "m" and away["error"] and "dim" not in away
+    assert engine.get_config().endpointBaseUrl != "http://127.0.0.1:9/v1"
+    assert handle(engine, "POST", "operations/stop", {"operationId": "none"}) == (200, {"ok": False})
+    assert handle(engine, "POST", "files/delete", {"id": "x"})[0] == 400
+    files = handle(engine, "GET", f"files?kbId={base}")[1]
+    assert len(files) == 5 and {"id", "kbId", "relPath", "charCount", "chunkCount", "embeddingModel"} <= set(files[0])
+    assert handle(engine, "GET", "files")[0] == 400
+
+
+def test_search_requests_keep_to_their_bases(engine, base):
+    status, answer = handle(engine, "POST", "search", {"query": "cats", "topK": 2, "kbId": base})
+    assert status == 200 and (answer["query"], answer["count"], len(answer["hits"])) == ("cats", 2, 2)
+    assert {"kbId", "kbName", "fileId", "fileName", "chunkId", "text", "index", "score", "rerankScore"} <= set(answer["hits"][0])
+    assert "rerankScore" not in handle(engine, "POST", "search", {"query": "cats", "useRerank": False})[1]["hits"][0]
+    empty = handle(engine, "POST", "bases", {"name": "empty", "description": "d"})[1]
+    assert (empty["name"], empty["description"], empty["fileCount"], empty["chunkCount"]) == ("empty", "d", 0, 0)
+    assert handle(engine, "POST", "search", {"query": "cats", "kbIds": [empty["id"]]})[1] == {"query": "cats", "count": 0, "hits": []}
+    assert handle(engine, "POST", "search", {"query": "cats", "kbIds": [empty["id"], base]})[1]["count"] == 3
+    assert handle(engine, "POST", "search", {"query": " "})[0] == 400
+    tool = knowledge_search(engine, "cats", kbId=empty["id"], topK=3)
+    assert tool == {"query": "cats", "count": 0, "hits": []} and knowledge_search(engine, "cats", workspace="", topK=1)["count"] == 1
+    mount = handle(engine, "POST", "mounts", {"kbId": empty["id"], "workspaceId": "v", "note": "n"})[1]
+    assert (mount["workspaceId"], mount["enabled"], mount["note"]) == ("v", True, "n")
+    assert handle(engine, "POST", "bases/delete", {"id": empty["id"]}) == (200, {"ok": True})
+    assert all(m["kbId"] != empty["id"] for m in handle(engine, "GET", "mounts")[1])
+
+
+def test_uploads(engine, base):
+    status, answer = handle(engine, "POST", f"files?kbId={base}&name=up.txt", "whales sing".encode())
+    assert status == 200 and (answer["chunkCount"], answer["embeddingDim"], answer["file"]["status"]) == (1, 64, "ready")
+    assert handle(engine, "POST", f"files?kbId={base}&name=up.txt", b"")[0] == 400
+    assert handle(engine, "POST", "files", b"x")[0] == 400
+    assert handle(engine, "POST", "files/delete", {"fileId": answer["file"]["id"]}) == (200, {"ok": True})
+
+
+class Counting:
+    """Writes each text that it is asked for to a file of its own, since it runs in other processes."""
+
+    name = "counting"
+
+    def __init__(self, folder, seconds=0.0):
+        self.folder, self.seconds = str(folder), seconds
+
+    def embed(self, texts):
+        import pathlib
+        import time
+        import uuid
+
+        time.sleep(self.seconds)
+        for t in texts:
+            (pathlib.Path(self.folder) / uuid.uuid4().hex).write_text(t)
+        return [[1.0, 2.0] for _ in texts]
+
+
+def test_every_text_is_embedded_once(spark, tmp_path):
+    (tmp_path / "in").mkdir(), (tmp_path / "seen").mkdir()
+    for n in range(4):
+        (tmp_path / "in" / f"{n}.txt").write_text(f"text number {n}")
+    engine = KnowledgeEngine(spark, str(tmp_path / "kb"), Counting(tmp_path / "seen"))
+    kb = engine.create_base("b")
+    engine.import_folder(kb, str(tmp_path / "in"))
+    seen = lambda: sorted(x.read_text() for x in (tmp_path / "seen").iterdir())
+    assert seen() == [f"text number {n}" for n in range(4)]
+    engine.operations.wait(engine.reindex(kb), 120)
+    assert seen() == sorted(2 * [f"text number {n}" for n in range(4)])
+    assert engine.store._names("staging") == []
+    engine.import_folder(kb, str(tmp_path / "in"))  # again: the same ids
+    assert engine.files(kb).count() == 4 and engine.store.read("chunks").count() == 4
+
+
+def test_deleting_a_file_writes_only_its_fragments(spark, tmp_path):
+    engine = KnowledgeEngine(spark, str(tmp_path / "kb"), HashingEmbedder())
+    kb = engine.create_base("b")
+    ids = [engine.import_file(kb, f"{n}.txt", f"text {n}".encode()).first().id for n in range(3)]
+    before = {t: engine.store.fragments(t) for t in ("raw", "chunks", "files")}
+    assert len(before["raw"]) == len(before["chunks"]) == 3
+    engine.delete_file(ids[1])
+    for t, old in before.items():
+        now = engine.store.fragments(t)
+        assert len(set(old) - set(now)) == 1 and len(set(now) - set(old)) == 1
+    assert {r.id for r in engine.files(kb).collect()} == {ids[0], ids[2]}
+    engine.delete_file("none")
+    assert engine.store.read("chunks").count() == 2
+    engine.store.replace("raw", "file_id", spark.createDataFrame([(ids[0],)], "id string"))  # its bytes get lost
+    assert engine.reembed_file(ids[0]) is None and engine.reembed_file("none") is None
+    assert {r.id: r.status for r in engine.files(kb).collect()} == {ids[0]: "failed", ids[2]: "ready"}
+    assert engine.reembed_file(ids[2]).first().status == "ready"
+
+
+def test_an_import_can_be_watched_and_stopped(spark, tmp_path):
+    import threading
+    import time
+
+    (tmp_path / "seen").mkdir()
+    engine = KnowledgeEngine(spark, str(tmp_path / "kb"), Counting(tmp_path / "seen", 60.0))
+    kb, out = engine.create_base("b"), []
+    thread = threading.Thread(target=lambda: out.append(engine.import_file(kb, "slow.txt", b"slow text").first()))
+    thread.start()
+    began = time.time()
+    while time.time() - began < 60 and [r.status for r in engine.files(kb).collect()] != ["indexing"]:
+        time.sleep(0.2)
+    (op,) = engine.operations.active()
+    assert (op["kind"], op["label"], op["current"], op["total"], op["finished"]) == ("import", "slow.txt", "slow.txt", 1, False)
+    assert engine.operations.stop(op["id"]) and engine.operations.stop_all() <= 1
+    thread.join(60)
+    assert (out[0].status, out[0].error) == ("failed", "stopped by user") and engine.operations.active() == []
 
 
 def test_streaming_import(engine, base, tmp_path):
@@ -103,7 +212,7 @@ def test_delete(engine, base):
     engine.delete_file(file.id)
     assert engine.read_file_bytes(file.rel_path) is None
     engine.delete_base(base)
-    assert handle(engine, "GET", "health")[1] == {"bases": 0, "files": 0}
+    assert handle(engine, "GET", "health")[1] == {"ok": True, "baseCount": 0, "fileCount": 0}
     assert engine.mounts().count() == 0
     with pytest.raises(ValueError):
         engine.import_file(base, "x.txt", b"x")
@@ -112,10 +221,11 @@ def test_delete(engine, base):
 
 
 def test_arguments_and_config():
-    assert search_arguments({"query": "q", "kbIds": [1, "a"], "topK": 99}) == {"query": "q", "kb_ids": ["a"], "workspace_id": None, "top_k": 20}
+    assert search_arguments({"query": "q", "kbIds": [1, "a"], "topK": 99}) == {"query": "q", "kb_ids": ["a"], "workspace_id": None, "top_k": 20, "use_rerank": True}
     assert search_arguments({"topK": 0.5})["top_k"] == 5
     assert (candidate_budget(2), candidate_budget(9), candidate_budget(9, 3)) == (20, 36, 3)
-    assert Config.merged("not json").chunkSize == 1200
+    assert Config.merged("not json").chunkSize == Config.merged('{"chunkSize": "x"}').chunkSize == 1200
+    assert Config.merged('{"endpointBaseUrl": "u", "embeddingModel": "m", "other": 1}', {"apiKey": "k"}) == Config("u", "m", "k", extra={"other": 1})
     with pytest.raises(ValueError):
         Config(chunkOverlap=1200).checked()
 
@@ -147,16 +257,22 @@ def test_many_questions_in_blocks(spark, monkeypatch):
 
 
 def test_store_appends_and_cleans(spark, tmp_path):
-    from quillmere.sources.store import KEPT, TableStore
+    from quillmere.sources.store import KEPT, MERGED, TableStore
 
     store = TableStore(spark, str(tmp_path), {"t": "id int"})
-    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int").coalesce(1)
     assert store.read("t").count() == 0
     store.write("t", rows(1, 2))
     store.append("t", rows(3))
     before = store.read("t")
-    store.write("t", before.filter("id > 1"))
+    store.replace("t", "id", rows(1, 9))
     assert sorted(r.id for r in store.read("t").collect()) == [2, 3] and before.count() == 3
+    store.replace("t", "id", rows(3), rows(3, 4))
+    store.replace("t", "id", rows(77), rows(5))
+    assert sorted(r.id for r in store.read("t").collect()) == [2, 3, 4, 5]
     for k in range(KEPT + 2):
         store.write("t", rows(k))
     assert len(store.versions("t")) == KEPT and len([x for x in store._names("t") if x.startswith("data-")]) == KEPT
+    for k in range(MERGED + 3):
+        store.append("t", rows(100 + k))
+    assert len(store.fragments("t")) < MERGED and store.read("t").count() == MERGED + 4
