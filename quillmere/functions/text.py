@@ -35,9 +35,13 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
 
 
+#: Fixed value: the characters of file names that become underscores.
+UNSAFE = r'[\\/:*?"<>|]'
+
+
 def safe_name(name: Column) -> Column:
     """A file name without path separators and other characters that file systems refuse."""
-    return F.regexp_replace(F.regexp_replace(name, r'[\\/:*?"<>|]', "_"), r"\.\.", "_")
+    return F.regexp_replace(F.regexp_replace(name, UNSAFE, "_"), r"\.\.", "_")
 
 
 def _starts(content: Column, signature: str) -> Column:
@@ -67,6 +71,13 @@ def reader_of(name: Column, content: Column) -> Column:
     )
 
 
+def looks_like_text(content: Column) -> Column:
+    """Whether the first kilobyte has no NUL and is printable for more than 85 %; true for nothing at all."""
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")  # a character per byte
+    good = F.length(F.regexp_replace(head, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+    return F.coalesce((F.length(head) == 0) | (~F.contains(head, F.lit("\0")) & (good / F.nullif(F.length(head), F.lit(0)) > 0.85)), F.lit(True))
+
+
 def normalize_newlines(text: Column) -> Column:
     """CRLF and lone CR become LF."""
     return F.regexp_replace(text, r"\r\n?", "\n")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,41 +56,58 @@ def nearest(found: DataFrame, query: Sequence[float], k: int) -> DataFrame:
 def batch_nearest(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, chunk_id, score) for a stated set of queries (query_id, vector) against all chunks.
 
-    Queries and chunks are dealt into blocks of bounded size; every pair of
-    blocks is one matrix product that keeps k rows per query, and those are
-    ranked. Vectors of another dimension, or with a null, meet nothing; ties go
-    by chunk id.
+    Up to ``QUERY_BLOCK`` queries are broadcast: no chunk vector moves, each
+    Arrow batch of chunks keeps k rows per query, and those are ranked. More
+    queries are dealt into blocks, and so are the chunks; every pair of blocks
+    is one matrix product that keeps k rows per query. Vectors of another
+    dimension, or with a null, meet nothing; ties go by chunk id.
     """
     whole = lambda df, key, vector: df.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(
         F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim")
     )
     asked, stored = whole(queries, "query_id", "vector"), whole(chunks, "id", "vector")
-    n_asked, n_stored = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-stored.count() // CHUNK_BLOCK))
-    own = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = asked.select("key", "v", "dim", own(n_asked).alias("a"), every(n_stored).alias("b"))
-    b = stored.select("key", "v", "dim", every(n_asked).alias("a"), own(n_stored).alias("b"))
     kinds = [dict(df.dtypes)["key"] for df in (asked, stored)]
-    schema = to_arrow_schema(T.StructType.fromDDL(f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[pa.Table] = []
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("key")
-            x, y = _unit_rows(left), _unit_rows(right)
-            keep = min(k, len(y))
-            for at in range(0, len(x), 64):
-                score = x[at : at + 64] @ y.T
-                best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-                who = np.repeat(np.arange(at, at + len(score)), keep)
-                rows.append(pa.table([left["key"].take(pa.array(who)), right["key"].take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, 1).ravel())], schema=schema))
-        return pa.concat_tables(rows) if rows else schema.empty_table()
-
-    found = a.groupBy("dim", "a", "b").cogroup(b.groupBy("dim", "a", "b")).applyInArrow(run, T.StructType.fromDDL(f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"))
+    ddl = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    some = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if some.num_rows <= QUERY_BLOCK:
+        shared = stored.sparkSession.sparkContext.broadcast(some)  # QUERY_BLOCK vectors
+
+        def against_all(batches):
+            dims = np.asarray(shared.value["dim"])
+            for batch in batches:
+                rows = pa.Table.from_batches([batch])
+                for dim in np.unique(np.asarray(rows["dim"])):
+                    yield from _best(shared.value.filter(pa.array(dims == dim)), rows.filter(pc.equal(rows["dim"], int(dim))), k, schema).to_batches()
+
+        found = stored.mapInArrow(against_all, ddl)
+    else:
+        n_asked, n_stored = -(-asked.count() // QUERY_BLOCK), max(1, -(-stored.count() // CHUNK_BLOCK))
+        own = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = asked.select("key", "v", "dim", own(n_asked).alias("a"), every(n_stored).alias("b"))
+        b = stored.select("key", "v", "dim", every(n_asked).alias("a"), own(n_stored).alias("b"))
+        blocks = a.groupBy("dim", "a", "b").cogroup(b.groupBy("dim", "a", "b"))
+        found = blocks.applyInArrow(lambda left, right: _best(left, right, k, schema), T.StructType.fromDDL(ddl))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
+def _best(left: pa.Table, right: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """The k nearest rows of ``right`` for each of ``left``, all of one dimension."""
+    rows: list[pa.Table] = []
+    if left.num_rows and right.num_rows:
+        right = right.sort_by("key")
+        x, y = _unit_rows(left), _unit_rows(right)
+        keep = min(k, len(y))
+        for at in range(0, len(x), 64):
+            score = x[at : at + 64] @ y.T
+            best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
+            who = np.repeat(np.arange(at, at + len(score)), keep)
+            rows.append(pa.table([left["key"].take(pa.array(who)), right["key"].take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, 1).ravel())], schema=schema))
+    return pa.concat_tables(rows) if rows else schema.empty_table()
+
+
 def _unit_rows(table: pa.Table) -> np.ndarray:
     """Vectors of a block at unit length; zero vectors stay, so that their cosine is 0."""
     x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)

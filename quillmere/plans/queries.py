@@ -10,6 +10,7 @@ import io
 import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ from quillmere.functions.chunking import chunks as chunked
 from quillmere.functions.chunking import fold
 from quillmere.functions.vectors import cosine, literal, top_k
 from quillmere.operators import catalog, search
-from quillmere.operators.ingest import index_files
+from quillmere.operators.ingest import embedded_pieces, index_pieces
+from quillmere.sources.checkpoint import cut
 from quillmere.sources.files import extracted
 from quillmere.sources.models import HashingEmbedder, OverlapReranker
 
@@ -62,12 +64,14 @@ def _files(spark, d) -> DataFrame:
     return _read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
 
 
-def _mounts(spark) -> DataFrame:
-    rows = [(1, "w1", True, "", 10), (3, "w1", True, "main", 20), (5, "w1", False, "off", 30), (2, "w2", True, "", 40)]
-    return spark.createDataFrame(rows, "kb_id int, workspace_id string, enabled boolean, note string, created_at long")
+def _mounts(spark, d) -> DataFrame:
+    """Every base in five workspaces, switched on or off."""
+    first = F.min("vec_id")
+    by = _read(spark, d, "embeddings").groupBy(F.col("label").alias("kb_id"), F.concat(F.lit("w"), (F.col("vec_id") % 5).cast("string")).alias("workspace_id"))
+    return by.agg((first % 3 != 0).alias("enabled"), F.concat(F.lit("n"), first.cast("string")).alias("note"), first.alias("created_at"))
 
 
-_MOUNTS = "(VALUES (1, 'w1', true, '', 10), (3, 'w1', true, 'main', 20), (5, 'w1', false, 'off', 30), (2, 'w2', true, '', 40)) AS mounts(kb_id, workspace_id, enabled, note, created_at)"
+_MOUNTS = "(SELECT label AS kb_id, 'w' || (vec_id % 5) AS workspace_id, min(vec_id) % 3 <> 0 AS enabled, 'n' || min(vec_id) AS note, min(vec_id) AS created_at FROM embeddings GROUP BY label, vec_id % 5) AS mounts"
 _CHUNKS = "chunks AS (SELECT vec_id AS id, vec_id AS file_id, label AS kb_id, vec_id % 7 AS idx, 'chunk ' || vec_id AS text, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings)"
 _FOUND = (
     _CHUNKS
@@ -130,7 +134,7 @@ def scoped_search_kb(spark, d):
 
 @query(f"WITH {_FOUND} SELECT {_HIT} FROM found WHERE kb_id IN (SELECT kb_id FROM {_MOUNTS} WHERE workspace_id = 'w1' AND enabled) ORDER BY found.score DESC, idx, chunk_id LIMIT 20")
 def scoped_search_workspace(spark, d):
-    found = search.candidates(search.in_scope(_chunks(spark, d), _mounts(spark), workspace_id="w1"), _bases(spark, d), _files(spark, d))
+    found = search.candidates(search.in_scope(_chunks(spark, d), _mounts(spark, d), workspace_id="w1"), _bases(spark, d), _files(spark, d))
     return _hits(search.nearest(found, _vector(spark, d), 20))
 
 
@@ -189,7 +193,7 @@ def _catalog(spark, d) -> dict[str, DataFrame]:
     )
     turns = _read(spark, d, "conversations").join(docs.select("doc_id", "source"), F.col("conv_id") == F.col("doc_id"))
     chunks = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("file_id"), F.col("source").alias("kb_id"), F.col("turn").alias("idx"))
-    mounts = _mounts(spark).withColumn("kb_id", F.concat(F.lit("src"), F.col("kb_id").cast("string")))
+    mounts = _mounts(spark, d).withColumn("kb_id", F.concat(F.lit("src"), F.col("kb_id").cast("string")))
     return {"bases": bases.unionByName(empty), "files": files, "chunks": chunks, "mounts": mounts}
 
 
@@ -269,20 +273,25 @@ def patch_file(spark, d):
     return catalog.patch_files(files, patch, now=777).drop("error")
 
 
-@query(f"SELECT kb_id, workspace_id, CASE WHEN kb_id = 3 AND workspace_id = 'w1' THEN false ELSE enabled END AS enabled, CASE WHEN kb_id = 3 AND workspace_id = 'w1' THEN 'new' ELSE note END AS note, created_at::BIGINT AS created_at FROM {_MOUNTS} UNION ALL SELECT 9, 'w9', true, 'added', 99")
+@query(
+    f"SELECT kb_id, workspace_id, CASE WHEN kb_id % 2 = 0 THEN NOT enabled ELSE enabled END AS enabled, CASE WHEN kb_id % 2 = 0 THEN 'new' ELSE note END AS note, created_at FROM {_MOUNTS} "
+    f"UNION ALL SELECT kb_id, 'w9', true, 'added', created_at + 5000 FROM {_MOUNTS} WHERE workspace_id = 'w1'"
+)
 def mount_upsert(spark, d):
-    new = spark.createDataFrame([(3, "w1", False, "new", 98), (9, "w9", True, "added", 99)], _mounts(spark).schema)
-    return catalog.set_mounts(_mounts(spark), new)
+    mounts = _mounts(spark, d)
+    changed = mounts.filter("kb_id % 2 = 0").select("kb_id", "workspace_id", (~F.col("enabled")).alias("enabled"), F.lit("new").alias("note"), (F.col("created_at") + 9000).alias("created_at"))
+    added = mounts.filter("workspace_id = 'w1'").select("kb_id", F.lit("w9").alias("workspace_id"), F.lit(True).alias("enabled"), F.lit("added").alias("note"), (F.col("created_at") + 5000).alias("created_at"))
+    return catalog.set_mounts(mounts, changed.unionByName(added))
 
 
-@query(f"SELECT kb_id, workspace_id, enabled, note, created_at::BIGINT AS created_at FROM {_MOUNTS} WHERE NOT (kb_id = 3 AND workspace_id = 'w1')")
+@query(f"SELECT kb_id, workspace_id, enabled, note, created_at FROM {_MOUNTS} WHERE NOT (kb_id = 3 AND workspace_id = 'w1')")
 def mount_delete(spark, d):
-    return catalog.delete_mount(_mounts(spark), 3, "w1")
+    return catalog.delete_mount(_mounts(spark, d), 3, "w1")
 
 
 @query(f"SELECT DISTINCT kb_id FROM {_MOUNTS} WHERE workspace_id = 'w1' AND enabled")
 def workspace_scope(spark, d):
-    return catalog.workspace_bases(_mounts(spark), "w1")
+    return catalog.workspace_bases(_mounts(spark, d), "w1")
 
 
 @query(f"WITH {_CATALOG} SELECT id, id IN (SELECT kb_id FROM mounted WHERE workspace_id = 'w1' AND enabled) AS mounted FROM bases")
@@ -291,12 +300,21 @@ def mounted_bases(spark, d):
     return catalog.is_mounted(t["bases"], t["mounts"], "w1").select("id", "mounted")
 
 
-@query("SELECT * FROM (VALUES (1, '1200', '150', 'm'), (2, '800', '150', 'text-embedding-bge-m3'), (3, '1200', '150', 'text-embedding-bge-m3'), (4, '1200', '150', 'text-embedding-bge-m3')) t(id, chunk_size, chunk_overlap, model)")
+@query(
+    "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN CAST(800 + doc_id % 100 AS VARCHAR) ELSE '1200' END AS chunk_size, '150' AS chunk_overlap, "
+    "CASE WHEN doc_id % 4 = 0 THEN 'm' || doc_id ELSE 'text-embedding-bge-m3' END AS model FROM documents"
+)
 def config_merge(spark, d):
-    stored = spark.createDataFrame([(1, '{"model": "m", "other": 1}'), (2, '{"chunkSize": 800}'), (3, None), (4, "not json")], "id int, json string")
+    number = F.col("doc_id").cast("string")
+    stored = (
+        F.when(F.col("doc_id") % 4 == 0, F.to_json(F.struct(F.concat(F.lit("m"), number).alias("embeddingModel"), F.lit(1).alias("other"))))
+        .when(F.col("doc_id") % 4 == 1, F.to_json(F.struct((800 + F.col("doc_id") % 100).alias("chunkSize"))))
+        .when(F.col("doc_id") % 4 == 2, "not json")
+    )
     defaults = Config()
-    keys = {"chunkSize": str(defaults.chunkSize), "chunkOverlap": str(defaults.chunkOverlap), "model": defaults.model}
-    return stored.select("id", *merged_columns(F.col("json"), keys)).toDF("id", "chunk_size", "chunk_overlap", "model")
+    keys = {"chunkSize": str(defaults.chunkSize), "chunkOverlap": str(defaults.chunkOverlap), "embeddingModel": defaults.embeddingModel}
+    rows = _read(spark, d, "documents").select("doc_id", stored.alias("json"))
+    return rows.select("doc_id", *merged_columns(F.col("json"), keys)).toDF("id", "chunk_size", "chunk_overlap", "model")
 
 
 @query("SELECT event_id AS id, least(1.0, (event_id % 7 + CASE WHEN event_id % 5 > 0 THEN (event_id % 3) / (event_id % 5) ELSE 0.0 END) / 6.0) AS progress FROM events")
@@ -329,20 +347,52 @@ def blank_collapse(spark, d):
     return _marked(spark, d).select("doc_id", T.collapse_blank(F.col("text")).alias("text"))
 
 
-_BLOCKS = (
-    f"marked AS (SELECT doc_id, source, string_split_regex(trim(regexp_replace({_MARKED}, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(10) || chr(13)), '\\n{{2,}}') AS blocks FROM documents), "
-    "numbered AS (SELECT doc_id, source, unnest(range(len(blocks))) AS pos, unnest(blocks) AS block FROM marked), "
-    "lines AS (SELECT doc_id, source, pos, list_filter(list_transform(string_split(block, chr(10)), lambda x: trim(x, chr(32) || chr(9))), lambda x: x <> '') AS lines FROM numbered), "
-    "paras AS (SELECT doc_id, source, pos, trim(array_to_string(lines, ' ')) AS text, nullif(trim(regexp_extract(list_filter(lines, lambda x: regexp_matches(x, '^#{1,6}\\s+.+$'))[1], '^#{1,6}\\s+(.+)$', 1)), '') AS heading FROM lines WHERE len(lines) > 0)"
-)
+#: White space as an SQL string.
+_SPACE = " || ".join(f"chr({ord(c)})" for c in T.SPACES)
+
+
+def _blocks(key: str, text: str, table: str) -> str:
+    """SQL of paragraphs (key, pos, text, own, heading) of a table's texts; ``own`` is a paragraph's own heading."""
+    return (
+        f"marked AS (SELECT {key}, string_split_regex(trim(regexp_replace({text}, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_SPACE}), '\\n{{2,}}') AS blocks FROM {table}), "
+        f"numbered AS (SELECT {key}, unnest(range(len(blocks))) AS n, unnest(blocks) AS block FROM marked), "
+        f"lines AS (SELECT {key}, n, list_filter(list_transform(string_split(block, chr(10)), lambda x: trim(x, {_SPACE})), lambda x: x <> '') AS lines FROM numbered), "
+        f"owned AS (SELECT {key}, n, array_to_string(lines, ' ') AS text, nullif(trim(regexp_extract(list_filter(lines, lambda x: regexp_matches(x, '^#{{1,6}}\\s+.+$'))[1], '^#{{1,6}}\\s+(.+)$', 1), {_SPACE}), '') AS own FROM lines WHERE len(lines) > 0), "
+        f"paras AS (SELECT {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY n) - 1 AS pos, text, last_value(own IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY n) AS heading FROM owned)"
+    )
+
+
+def _chunked(size: int, overlap: int) -> str:
+    """SQL of the greedy chunker over ``paras``: each step of a document keeps the open text and gives what it closes; (k, idx, text, heading)."""
+    step, over = size - overlap, f"open <> '' AND length(open) + 1 + length(p.text) > {size}"
+    return f"""
+steps(k, n, open, heading, given) AS (
+  SELECT DISTINCT k, 0::BIGINT, '', CAST(NULL AS VARCHAR), CAST([] AS STRUCT(t VARCHAR, h VARCHAR)[]) FROM paras
+  UNION ALL
+  SELECT s.k, n + 1,
+    CASE WHEN open = '' AND length(p.text) > {size} THEN '' WHEN {over} THEN right(trim(open, {_SPACE}), {overlap}) || chr(10) || p.text
+         WHEN open = '' THEN p.text ELSE open || chr(10) || p.text END,
+    CASE WHEN open = '' AND length(p.text) > {size} THEN coalesce(p.heading, s.heading) WHEN {over} THEN p.heading ELSE coalesce(s.heading, p.heading) END,
+    CASE WHEN open = '' AND length(p.text) > {size}
+         THEN list_transform(range(CAST(ceil((length(p.text) - {size}) / {step}.0) AS BIGINT) + 1), lambda i: {{'t': substr(p.text, i * {step} + 1, {size}), 'h': coalesce(p.heading, s.heading)}})
+         WHEN {over} THEN [{{'t': trim(open, {_SPACE}), 'h': s.heading}}] ELSE CAST([] AS STRUCT(t VARCHAR, h VARCHAR)[]) END
+  FROM steps s JOIN paras p ON p.k = s.k AND p.pos = s.n),
+closed AS (
+  SELECT k, n, given FROM steps
+  UNION ALL SELECT k, n + 1, [{{'t': trim(open, {_SPACE}), 'h': heading}}] FROM steps QUALIFY n = max(n) OVER (PARTITION BY k) AND open <> ''),
+given AS (SELECT k, n, unnest(range(len(given))) AS i, unnest(given) AS c FROM closed),
+pieces AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY n, i) - 1 AS INTEGER) AS idx, c.t AS text, c.h AS heading FROM given)"""
+
 
+_BLOCKS = _blocks("doc_id", _MARKED, "documents")
 
-@query(f"WITH {_BLOCKS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, text FROM paras")
+
+@query(f"WITH {_BLOCKS} SELECT k AS doc_id, CAST(pos AS INTEGER) AS pos, text FROM paras")
 def paragraphs(spark, d):
     return _marked(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "p")).select("doc_id", "pos", F.col("p.text").alias("text"))
 
 
-@query(f"WITH {_BLOCKS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS heading FROM paras")
+@query(f"WITH {_BLOCKS} SELECT k AS doc_id, CAST(pos AS INTEGER) AS pos, heading FROM paras")
 def heading_carry(spark, d):
     return _marked(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "p")).select("doc_id", "pos", F.col("p.heading").alias("heading"))
 
@@ -367,28 +417,13 @@ def chunk_counts_per_base(spark, d):
     return rows.groupBy(F.col("source").alias("kb_id")).agg(F.count("*").alias("chunk_count"))
 
 
-_ONE = "replace(replace(text, chr(10), ' '), chr(13), ' ')"
+_TURNS = (
+    f"talk AS (SELECT conv_id, turn, trim(replace(replace(text, chr(10), ' '), chr(13), ' '), {_SPACE}) AS text FROM conversations), "
+    "paras AS (SELECT conv_id AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, text, CAST(NULL AS VARCHAR) AS heading FROM talk WHERE text <> '')"
+)
 
 
-@query(
-    f"""
-WITH RECURSIVE talks AS (
-  SELECT conv_id, list(trim(regexp_replace({_ONE}, '\\s+$', ''), chr(32)) ORDER BY turn) AS ps FROM conversations WHERE trim({_ONE}) <> '' GROUP BY conv_id),
-steps(conv_id, n, open, done) AS (
-  SELECT conv_id, 0, '', CAST([] AS VARCHAR[]) FROM talks
-  UNION ALL
-  SELECT s.conv_id, n + 1,
-    CASE WHEN open = '' AND length(p) > 1200 THEN ''
-         WHEN open <> '' AND length(open) + 1 + length(p) > 1200 THEN right(trim(open, ' ' || chr(10)), 150) || chr(10) || p
-         WHEN open = '' THEN p ELSE open || chr(10) || p END,
-    CASE WHEN open = '' AND length(p) > 1200
-         THEN list_concat(done, list_transform(range(CAST(ceil((length(p) - 1200) / 1050.0) AS BIGINT) + 1), lambda i: substr(p, i * 1050 + 1, 1200)))
-         WHEN open <> '' AND length(open) + 1 + length(p) > 1200 THEN list_append(done, trim(open, ' ' || chr(10))) ELSE done END
-  FROM (SELECT s.*, t.ps[n + 1] AS p, len(t.ps) AS m FROM steps s JOIN talks t USING (conv_id)) s WHERE n < m),
-last AS (SELECT conv_id, CASE WHEN open <> '' THEN list_append(done, trim(open, ' ' || chr(10))) ELSE done END AS out FROM steps s JOIN talks t USING (conv_id) WHERE s.n = len(t.ps))
-SELECT conv_id, CAST(unnest(range(len(out))) AS INTEGER) AS idx, unnest(out) AS text FROM last
-"""
-)
+@query(f"WITH RECURSIVE {_TURNS}, {_chunked(1200, 150)} SELECT k AS conv_id, idx, text FROM pieces")
 def greedy_chunks(spark, d):
     line = T.trim(F.translate("text", "\n\r", "  "))
     talks = _read(spark, d, "conversations").select("conv_id", "turn", line.alias("text")).filter("text <> ''")
@@ -397,7 +432,7 @@ def greedy_chunks(spark, d):
     return blocks.select("conv_id", F.posexplode(fold(paras, 1200, 150)).alias("idx", "c")).select("conv_id", "idx", F.col("c.text").alias("text"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BLOCKS}, {_chunked(600, 80)} SELECT k AS doc_id, idx, text, heading FROM pieces")
 def heading_chunks(spark, d):
     """Chunks with headings of documents that have paragraphs."""
     return _marked(spark, d).select("doc_id", F.posexplode(chunked(F.col("text"), 600, 80)).alias("idx", "c")).select("doc_id", "idx", "c.text", "c.heading")
@@ -433,6 +468,19 @@ def signature_dispatch(spark, d):
     return _named(spark, d).select("doc_id", T.reader_of(F.col("name"), F.col("content")).alias("reader"))
 
 
+@query(
+    "WITH c AS (SELECT doc_id, repeat(chr((doc_id % 32)::INTEGER), (doc_id % 400)::INTEGER) || repeat(md5(doc_id::VARCHAR), (doc_id % 41)::INTEGER) AS t FROM documents), h AS (SELECT doc_id, left(t, 1024) AS t, doc_id % 32 AS x FROM c) "
+    "SELECT doc_id, length(t) = 0 OR (NOT (x = 0 AND doc_id % 400 > 0) AND (length(t) - CASE WHEN x IN (9, 10, 13) THEN 0 ELSE least(1024, doc_id % 400) END) / length(t) > 0.85) AS textual FROM h"
+)
+def text_likeness(spark, d):
+    """Made-up bytes: as many control characters as the number of the document tells, then its digest, some times."""
+    n = F.col("doc_id")
+    control = F.repeat(F.char(n % 32), (n % 400).cast("int"))
+    zeros = F.when(n % 32 == 0, F.repeat(F.lit("\0"), (n % 400).cast("int"))).otherwise(control)
+    content = F.encode(F.concat(zeros, F.repeat(F.md5(n.cast("string").cast("binary")), (n % 41).cast("int"))), "UTF-8")
+    return _read(spark, d, "documents").select("doc_id", T.looks_like_text(content).alias("textual"))
+
+
 @query("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")
 def tag_strip(spark, d):
     return _read(spark, d, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
@@ -463,11 +511,20 @@ def html_text(spark, d):
     return extracted(pages).select("page_id", "text", "subtype", "char_count", "error")
 
 
-@query()
+@query(
+    "SELECT doc_id, ['utf-16le', 'utf-8', 'utf-8', 'gb18030', 'windows-1252'][doc_id % 5 + 1] AS encoding, doc_id % 5 IN (0, 2) AS had_bom, CAST(length(t) AS INTEGER) AS char_count, t AS text "
+    "FROM (SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '河水很清 ' || doc_id WHEN 4 THEN 'café ' || doc_id ELSE regexp_replace(text, '\\r\\n?', chr(10), 'g') END AS t FROM documents)"
+)
 def decode_charset(spark, d):
-    """Documents in several encodings, read back."""
-    mark = F.unhex(F.lit("FFFE"))
-    data = F.when(F.col("doc_id") % 3 == 0, F.concat(mark, F.encode("text", "UTF-16LE"))).when((F.col("doc_id") % 3 == 1) & F.col("text").rlike("^[\\x00-\\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    """Documents with and without marks, and others in two legacy charsets, read back."""
+    which, number = F.col("doc_id") % 5, F.encode(F.col("doc_id").cast("string"), "UTF-8")
+    data = (
+        F.when(which == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+        .when(which == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+        .when(which == 3, F.concat(F.lit("河水很清 ".encode("gb18030")), number))
+        .when(which == 4, F.concat(F.lit("café ".encode("cp1252")), number))
+        .otherwise(F.encode("text", "UTF-8"))
+    )
     files = _read(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), data.alias("content"))
     return extracted(files).select("doc_id", "encoding", "had_bom", "char_count", "text")
 
@@ -481,31 +538,46 @@ def _zip(members: dict[str, str]) -> bytes:
 
 
 def _office(spark, d, ext: str, make: Callable[[str], bytes]) -> DataFrame:
-    """Every conversation turn as a small office file, written and read back."""
-    build = F.udf(make, "binary")
-    text = F.translate(F.translate("text", "<>&", "   "), "\n", " ")
-    rows = _read(spark, d, "conversations").select("conv_id", "turn", F.lit(f"f.{ext}").alias("name"), build(text).alias("content"))
-    return extracted(rows).select("conv_id", "turn", "kind", "subtype", "text", "error")
+    """Every conversation turn as a small office file, written in Arrow batches and read back."""
 
+    def build(batches):
+        for batch in batches:
+            content = pa.array([make(t) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), content], names=["conv_id", "turn", "content"])
 
-@query()
+    rows = _read(spark, d, "conversations").select("conv_id", "turn", F.translate("text", "<>&\n\r", "     ").alias("text"))
+    made = rows.mapInArrow(build, "conv_id long, turn long, content binary").withColumn("name", F.lit(f"f.{ext}"))
+    return extracted(made).select("conv_id", "turn", "kind", "subtype", "text", "error")
+
+
+_LINE = "translate(text, '<>&' || chr(10) || chr(13), '     ')"
+_READ = "SELECT conv_id, turn, 'office' AS kind, '{}' AS subtype, {} AS text, CAST(NULL AS VARCHAR) AS error FROM conversations"
+
+
+@query(_READ.format("docx", f"{_LINE} || chr(9) || 'end'"))
 def docx_text(spark, d):
     return _office(spark, d, "docx", lambda t: _zip({"word/document.xml": f'<w:document xmlns:w="w"><w:p><w:r><w:t>{t}</w:t></w:r><w:r><w:tab/><w:t>end</w:t></w:r></w:p></w:document>'}))
 
 
-@query()
+@query(_READ.format("pptx", f"'--- Slide 1 ---' || chr(10) || {_LINE} || ' 1' || chr(10) || '--- Slide 2 ---' || chr(10) || {_LINE} || ' 2'"))
 def pptx_text(spark, d):
     return _office(spark, d, "pptx", lambda t: _zip({f"ppt/slides/slide{n}.xml": f'<p:s xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>{t} {n}</a:t></a:r></a:p></p:s>' for n in (2, 1)}))
 
 
-@query()
+@query(_READ.format("xlsx", f"'--- Sheet xl/worksheets/sheet1.xml ---' || chr(10) || {_LINE} || chr(9) || chr(9) || 'TRUE'"))
 def xlsx_text(spark, d):
     return _office(spark, d, "xlsx", lambda t: _zip({"xl/sharedStrings.xml": f"<s><si><t>{t}</t></si></s>", "xl/worksheets/sheet1.xml": '<w><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="b"><v>1</v></c></row></w>'}))
 
 
-@query()
+@query(_READ.format("doc", f"array_to_string(list_transform(regexp_extract_all({_LINE} || ' and more', '[\\x20-\\x7e\\x{{80}}-\\x{{ff}}]{{4,}}'), lambda x: trim(x, {_SPACE})), ' ')"))
 def ole_text(spark, d):
-    return _office(spark, d, "doc", lambda t: bytes.fromhex(T.OLE2_SIGNATURE) + t.encode("utf-16-le") + b"\x00\x00")
+    return _office(spark, d, "doc", lambda t: bytes.fromhex(T.OLE2_SIGNATURE) + (t + " and more").encode("utf-16-le") + b"\x00\x00")
+
+
+@query(_READ.format("doc", f"{_LINE} || chr(9) || 'end'"))
+def renamed_office_text(spark, d):
+    """Newer office files under an older extension."""
+    return _office(spark, d, "doc", lambda t: _zip({"word/document.xml": f'<w:document xmlns:w="w"><w:p><w:r><w:t>{t}</w:t></w:r><w:r><w:tab/><w:t>end</w:t></w:r></w:p></w:document>'}))
 
 
 def _pipeline(spark, d) -> dict[str, DataFrame]:
@@ -515,18 +587,25 @@ def _pipeline(spark, d) -> dict[str, DataFrame]:
         F.concat(F.lit("kb"), (F.col("conv_id") % 3).cast("string")).alias("kb_id"), F.col("conv_id").cast("string").alias("file_id"), F.concat(F.col("conv_id").cast("string"), F.lit(".md")).alias("name"),
         F.lit("md").alias("ext"), F.lit("").alias("rel_path"), F.octet_length(body).cast("long").alias("size"), F.encode(body, "UTF-8").alias("content"),
     )
-    files, chunks = index_files(raw, Config(), HashingEmbedder(), now=0)
+    files, chunks = index_pieces(cut(embedded_pieces(raw, Config(), HashingEmbedder())), HashingEmbedder().name, now=0)
     bases = spark.createDataFrame([(f"kb{n}", f"Base {n}") for n in range(3)], "id string, name string")
-    return {"files": files, "chunks": chunks, "bases": bases, "mounts": _mounts(spark).withColumn("kb_id", F.concat(F.lit("kb"), F.col("kb_id").cast("string")))}
+    return {"files": files, "chunks": chunks, "bases": bases, "mounts": _mounts(spark, d).withColumn("kb_id", F.concat(F.lit("kb"), F.col("kb_id").cast("string")))}
 
 
-@query()
+_TALKS = "talks AS (SELECT conv_id, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY turn), '\\r\\n?', chr(10), 'g') AS body FROM conversations GROUP BY conv_id)"
+_PIECES = f"{_TALKS}, {_blocks('conv_id', 'body', 'talks')}, {_chunked(1200, 150)}"
+
+
+@query(f"WITH RECURSIVE {_PIECES} SELECT sha256(k || '|' || idx) AS id, CAST(k AS VARCHAR) AS file_id, 'kb' || (k % 3) AS kb_id, idx, text, 64 AS dim, CAST(length(text) AS INTEGER) AS size FROM pieces")
 def embed_pipeline(spark, d):
     """Conversations as files: extracted, chunked and embedded."""
     return _pipeline(spark, d)["chunks"].select("id", "file_id", "kb_id", "idx", "text", "dim", "size")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_PIECES}, counts AS (SELECT k, count(*) AS n FROM pieces GROUP BY k) SELECT CAST(conv_id AS VARCHAR) AS id, 'kb' || (conv_id % 3) AS kb_id, 'text' AS kind, length(body) AS char_count, CAST(coalesce(n, 0) AS INTEGER) AS chunk_count, "
+    "CASE WHEN n IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN n IS NULL THEN 'no text was found' END AS error FROM talks LEFT JOIN counts ON k = conv_id"
+)
 def import_status(spark, d):
     return _pipeline(spark, d)["files"].select("id", "kb_id", "kind", "char_count", "chunk_count", "status", "error")
 

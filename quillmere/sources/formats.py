@@ -15,7 +15,7 @@ from quillmere.functions.text import MARKUP, OLE2_SIGNATURE, PDF_SIGNATURE, ZIP_
 
 #: Extensions by reader.
 OOXML, LEGACY = ("docx", "pptx", "xlsx"), ("doc", "ppt", "xls")
-TEXT = ("txt", "md", "markdown", "csv", "json", "xml", "log", "ini", "conf", "yml", "yaml", "tsv", "text", "html", "htm")
+TEXT = ("txt", "md", "markdown", "csv", "html", "htm", "xml", "json", "log", "ini", "conf", "yml", "yaml", "tsv", "text")
 _SUBTYPES = {"htm": "html", "markdown": "md"}
 _LEAST_RUN = 4
 
@@ -180,13 +180,6 @@ def html_text(markup: str, mode: str = "lenient") -> str:
     return newlines(re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "\n".join(found))))
 
 
-def looks_like_text(data: bytes) -> bool:
-    """Whether the first kilobyte has no NUL and is printable for more than 85 %."""
-    head = data[:1024]
-    good = sum(b in (9, 10, 13) or (b >= 0x20 and b != 0x7F) for b in head)
-    return not head or (0 not in head and good / len(head) > 0.85)
-
-
 def _office(ext: str, data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         return {"docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx}[ext](archive)
@@ -195,18 +188,19 @@ def _office(ext: str, data: bytes) -> str:
 def extract(name: str, data: bytes | None, preferred: str | None = None, strip_markup: bool = True, mode: str = "lenient") -> Extracted:
     """Text of a file by its name and first bytes; what cannot be read is a row with an error, never an exception."""
     data, ext = data or b"", extension_of(name)
-    zipped = data.startswith(bytes.fromhex(ZIP_SIGNATURE))
+    zipped, compound = data.startswith(bytes.fromhex(ZIP_SIGNATURE)), data.startswith(bytes.fromhex(OLE2_SIGNATURE))
     try:
         if ext in OOXML and zipped:
-            text = _office(ext, data)
+            text = newlines(_office(ext, data))
             return Extracted(text, "office", ext, "utf-8", False, len(text), False)
-        if ext in LEGACY or data.startswith(bytes.fromhex(OLE2_SIGNATURE)):
-            text, degraded = read_legacy(data), False
-            if not text.strip() and zipped:
-                text, degraded = _office(ext + "x", data) if ext in LEGACY else "", True
-            return Extracted(text, "office", ext or "ole", "utf-16le", False, len(text), degraded)
+        if ext in LEGACY or compound:
+            text, encoding = read_legacy(data) if compound else "", "latin1"
+            if not text.strip() and zipped:  # a newer file under an older name
+                text, encoding = newlines(_office(ext + "x", data)), "utf-8"
+            error = None if text.strip() else "no readable text"
+            return Extracted(text, "office", ext or "ole", encoding, False, len(text), True, error)
         if ext == "pdf" or data.startswith(bytes.fromhex(PDF_SIGNATURE)):
-            return Extracted("", "pdf", "pdf", "", False, 0, True, "PDF text is not supported")
+            return Extracted("", "unknown", "pdf", "utf-8", False, 0, True, "PDF text is not supported")
         decoded = decode(data, preferred)
         text = newlines(decoded.text)
         if ext in ("html", "htm") and strip_markup and re.search(MARKUP, text):

@@ -237,12 +237,13 @@ def test_ranking_rules(spark):
     assert [(r.chunk_id, r.rerank_score) for r in rerank_merge(hits, scores, 5).collect()] == [("b", 0.25), ("a", 0.0), ("c", -1.0)]
 
 
-def test_many_questions_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("block", [3, 1024])
+def test_many_questions_in_blocks(spark, monkeypatch, block):
     import numpy as np
 
     from quillmere.operators import search
 
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
     monkeypatch.setattr(search, "CHUNK_BLOCK", 7)
     rng = np.random.default_rng(1)
     rows = [(f"c{n:02}", [float(x) for x in rng.normal(size=4)]) for n in range(40)] + [("zero", [0.0] * 4), ("short", [1.0]), ("none", None), ("twin", None)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmere.functions.charset import decode, newlines
 from quillmere.functions.chunking import chunks
-from quillmere.functions.text import extension, hard_split, trim
+from quillmere.functions.text import extension, hard_split, paragraphs, trim
 from quillmere.sources.formats import column_number, extract, html_text
 
 
@@ -52,8 +52,23 @@ def test_sixty_short_paragraphs(spark):
 
 
 def test_windows_of_one_line(spark):
-    found = one(spark, chunks(F.col("t"), 100, 20), t="x" * 500)
-    assert [len(c.text) for c in found] == [100] * 6
+    line = "abcdefghij" * 43
+    found = one(spark, chunks(F.col("t"), 90, 15), t=line)
+    assert [c.text for c in found] == windows(line, 90, 15)
+
+
+def test_time_grows_with_the_number_of_paragraphs(spark):
+    import time
+
+    def seconds(n):
+        text = "\n\n".join(f"## part {k}\n" + "some words " * 5 for k in range(n))
+        df = spark.createDataFrame([(text,)], "t string")
+        began = time.perf_counter()
+        assert df.select(F.size(chunks(F.col("t"), 500, 50)), F.size(paragraphs(F.col("t")))).first()[1] == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(64_000) < 2 * 32 * max(seconds(2_000), 0.1)
 
 
 def test_chunks_equal_a_plain_fold(spark):
@@ -95,7 +110,7 @@ def test_names_and_trim(spark):
 @pytest.mark.parametrize(
     ("data", "text", "encoding", "bom"),
     [
-        (bytes.fromhex("D6D0CEC40D0AB1A8BAEC0D0A"), "中文\n报红\n", "gb18030", False),
+        ("河水很清\r\n山也很高\r\n".encode("gb18030"), "河水很清\n山也很高\n", "gb18030", False),
         ("é日本".encode(), "é日本", "utf-8", False),
         (b"\xef\xbb\xbfab", "ab", "utf-8", True),
         (b"\xff\xfea\x00", "a", "utf-16le", True),
@@ -137,9 +152,19 @@ def test_xlsx_grid():
 
 def test_legacy_office_and_broken_files():
     assert extract("a.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + "hello there".encode("utf-16-le")).text == "hello there"
-    assert extract("a.xls", b"plain words\x00\x01more here").text == "plain words more here"
+    ole = bytes.fromhex("D0CF11E0A1B11AE1")
+    assert extract("noext", ole + b"\x01plain words\x00\x01more here").text.endswith("plain words more here")
+    found = extract("a.doc", ole + "hello there".encode("utf-16-le"))
+    assert (found.kind, found.subtype, found.encoding, found.degraded, found.error) == ("office", "doc", "latin1", True, None)
+    body = "<w:d xmlns:w='w'><w:p><w:r><w:t>a newer\r\nfile</w:t></w:r></w:p></w:d>"
+    found = extract("a.doc", archive(word__document_xml=body))
+    assert (found.text, found.subtype, found.degraded, found.error) == ("a newer\nfile", "doc", True, None)
+    for other in (b"{\\rtf1 text}", b"plain words"):
+        found = extract("a.doc", other)
+        assert (found.text, found.kind, found.degraded) == ("", "office", True) and found.error
     assert extract("a.docx", b"PK\x03\x04broken").error
-    assert extract("a.pdf", b"%PDF-1.4").degraded
+    found = extract("a.pdf", b"%PDF-1.4")
+    assert (found.text, found.kind, found.subtype, found.encoding, found.degraded) == ("", "unknown", "pdf", "utf-8", True) and found.error
     assert extract("x", None).text == ""
 
 
