@@ -1,14 +1,17 @@
-"""Helpers shared by the training-data operators: folders, cuts and batches."""
+"""Helpers shared by the training-data operators: tables, cuts and batches."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.sources.checkpoint import cut, ensure_checkpoint_dir
+
+__all__ = ["SLICE", "column_or_null", "cut", "ensure_checkpoint_dir", "map_rows", "table"]
+
 #: Rows of a batch that Python holds as objects at once.
 SLICE = 256
 
@@ -18,19 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where none is set (tests), a temporary one."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmere-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: lineage ends there, and lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def column_or_null(df: DataFrame, name: str, kind: str):
     """Column ``name`` cast to ``kind``; a null column if ``df`` has none."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)

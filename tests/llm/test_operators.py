@@ -199,9 +199,10 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(table.limit(1), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_near_vectors(spark, block, monkeypatch):
-    monkeypatch.setattr(permutation, "BLOCK", block)
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 16, "UNIT": 30, "SHORT": 5, "TASK_NUMBERS": 3000}, {"BLOCK": 7, "SHORT": 2}])
+def test_near_vectors(spark, sizes, monkeypatch):
+    for name, value in sizes.items():
+        monkeypatch.setattr(permutation, name, value)
     rng = np.random.default_rng(5)
     unit = lambda x: x / np.linalg.norm(x)
     rows = [(k, unit(rng.normal(size=64)), int(rng.integers(3))) for k in range(300)]
@@ -224,6 +225,31 @@ def test_near_vectors(spark, block, monkeypatch):
     assert all(found[i] == (0, i, True) for i in range(6000, 6006))
     assert all(kept == (root == i) for i, (_, root, kept) in found.items())
     assert permutation.near_vectors(df.limit(0)).count() == 0
+    repeated = df.filter("vec_id < 40").select(F.when(F.col("vec_id") % 4 == 0, 7).when(F.col("vec_id") % 4 > 1, F.col("vec_id")).alias("vec_id"), "embedding", "label")
+    twice = permutation.near_vectors(repeated.unionByName(repeated)).collect()
+    assert len(twice) == 80 and all(r.n_links >= 1 for r in twice)
+    assert all(r.component_id == r.vec_id or r.vec_id is None and r.component_id is None for r in twice)
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.75, 0.85])
+def test_index_of_vectors_that_share_a_direction(shared):
+    """Recall against brute force and short lists, where random pairs have this cosine."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    common = np.eye(64)[0]
+    base = unit(shared**0.5 * common + (1 - shared) ** 0.5 * unit(rng.normal(size=(4500, 64))))
+    own = base[rng.integers(4500, size=1500)]
+    turn = rng.normal(size=own.shape)
+    turn = unit(turn - (turn * own).sum(axis=1, keepdims=True) * own)
+    cosine = rng.uniform(0.93, 1, size=(1500, 1))
+    x = np.concatenate([base, cosine * own + np.sqrt(1 - cosine**2) * turn])
+    points = permutation.choose_points(x, len(x), 0.93)
+    near = points.nearest(x)
+    held = np.zeros((len(x), len(points.points)), np.float32)
+    np.put_along_axis(held, near.astype(np.int64), 1, 1)
+    pairs, linked = np.triu(held @ held.T >= 2, 1), np.triu(x @ x.T >= 0.93, 1)
+    assert (pairs & linked).sum() >= 0.9 * linked.sum()
+    assert pairs.sum() * 2 / len(x) < 0.1 * len(x) and len(points.points) >= 64
 
 
 # ---- sharding and mixing
