@@ -30,17 +30,23 @@ ANNULUS, ANNULI, PART, GROUP = 2048, 16, 4096, 2048
 _SLACK = 1e-9
 
 
+#: Up to this squared norm, products and their sums are exact in doubles; from the second on they don't fit a long.
+_EXACT, _FITS = 2.0**53, 2.0**63
+
+
 def quantized(vector: Column, scale: float = 256.0) -> Column:
-    """floor(scale * x) of each component as an integer; null unless all components are finite."""
+    """floor(scale * x) of each component as an integer; null unless all components are finite and the squared norm fits a long."""
     double = F.transform(vector, lambda x: x.cast("double"))
     fine = F.forall(double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(vector.isNotNull() & fine, F.transform(double, lambda x: F.floor(x * scale).cast("long")))
+    square = F.aggregate(double, F.lit(0.0), lambda a, x: a + F.pow(F.abs(x * scale) + 1, F.lit(2.0)))
+    whole = F.when(vector.isNotNull() & fine, square)
+    return F.when(whole < F.lit(_FITS), F.transform(double, lambda x: F.floor(x * scale).cast("long")))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind=np.float64) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
 
 
 def _pivot_matrix(rows: DataFrame, largest: float, n: int) -> np.ndarray:
@@ -90,22 +96,25 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query with every other row.
 
     ``is_query`` is a condition on ``rows``. Defined cases: rows without an id
-    or with a null, empty, non-finite or differently long vector than most take
-    no part; ties go to the smaller id; rows that repeat a query's id are its
-    own; a query with fewer others gets all; an empty table gives an empty one;
-    other columns are ignored.
+    or with a null, empty or non-finite vector take no part, nor do those whose
+    squared norm, in these integers, would not fit a long; a shorter vector
+    counts as filled up with zeros; ties go to the smaller id; rows that repeat
+    a query's id are its own; a query with fewer others gets all; an empty
+    table gives an empty one; other columns are ignored.
     """
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     whole = rows.select(F.col(id_col).cast("long").alias("vec_id"), quantized(F.col(vector_col), scale).alias("q"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     whole = whole.filter("vec_id IS NOT NULL AND q IS NOT NULL AND size(q) > 0")
-    width = whole.groupBy(F.size("q").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
+    square = F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    width, shortest, largest, asking, n = whole.agg(
+        F.max(F.size("q")), F.min(F.size("q")), F.max(square), F.sum(F.col("asks").cast("long")), F.count("*")
+    ).first()
     if width is None:
         return spark.createDataFrame([], schema)
-    width = width["width"]
-    whole = whole.filter(F.size("q") == width)
-    square = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    largest, asking, n = whole.agg(F.max(square), F.sum(F.col("asks").cast("long")), F.count("*")).first()
+    if shortest < width:
+        whole = whole.withColumn("q", F.concat("q", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("q"))))
+    exact = largest * (1 + 1e-9) < _EXACT  # by Cauchy and Schwarz it bounds every partial sum
     pivots = _pivot_matrix(whole, float(largest), n)
     groups = max(1, -(-asking // GROUP))
 
@@ -114,11 +123,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
             distance = _distances(_lift(_matrix(batch.column(1), width), float(largest)), pivots)
             nearest = distance.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nearest, pa.int32()), pa.array(distance[np.arange(len(nearest)), nearest], pa.float64())],
+                [*batch.columns[:3], pa.array(nearest, pa.int32()), pa.array(distance[np.arange(len(nearest)), nearest], pa.float64())],
                 names=["vec_id", "q", "asks", "pivot", "distance"],
             )
 
-    keyed = cut(whole.mapInArrow(place, "vec_id long, q array<long>, asks boolean, pivot int, distance double"))
+    # rows are numbered, so that those of one id can be dealt into parts too
+    keyed = cut(whole.mapInArrow(place, "vec_id long, q array<long>, asks boolean, pivot int, distance double").withColumn("row", F.monotonically_increasing_id()))
     counts = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("distance", [i / ANNULI for i in range(1, ANNULI)]).alias("cuts"))
     step = F.greatest(F.lit(1), F.ceil(F.lit(ANNULI) * F.lit(ANNULUS) / F.col("n"))).cast("int")
     cuts = counts.select("pivot", F.filter("cuts", lambda x, i: (i + 1) % step == 0).alias("cuts"))
@@ -126,17 +136,17 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     index = cut(annuli)
     listed = index.groupBy("pivot", "annulus").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"))
     directory = _Directory(listed.orderBy("pivot", "annulus").collect(), pivots)  # PIVOTS * ANNULI rows at most
-    part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / PART)).cast("int")
+    part = F.pmod(F.xxhash64("vec_id", "row"), F.ceil(F.col("n") / PART)).cast("int")
     blocks = index.join(F.broadcast(listed.select("pivot", "annulus", "n")), ["pivot", "annulus"]).select(
         "pivot", "annulus", part.alias("part"), "vec_id", "q", "distance"
     )
-    queries = index.filter("asks").select(F.col("vec_id").alias("query_id"), "q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("group"))
+    queries = index.filter("asks").select(F.col("vec_id").alias("query_id"), "q", F.pmod(F.xxhash64("vec_id", "row", F.lit(1)), F.lit(groups)).cast("int").alias("group"))
 
     near = _visits(queries, directory, width, float(largest), k, seeds=True)
-    best = _meet(near, blocks, width, k).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
+    best = _meet(near, blocks, width, k, exact).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
     reach = best.select("query_id", F.when(F.size("scores") >= k, F.element_at(F.slice("scores", 1, k), -1)).alias("least"))
     asked = cut(queries.join(reach, "query_id", "left"))
-    found = _meet(_visits(asked, directory, width, float(largest), k, seeds=False), blocks, width, k)
+    found = _meet(_visits(asked, directory, width, float(largest), k, seeds=False), blocks, width, k, exact)
     # parts give k rows at most, so the lists of a query stay short
     ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("best"))
     return ranked.select("query_id", F.posexplode("best").alias("at", "hit")).select(
@@ -187,8 +197,12 @@ def _visits(queries: DataFrame, directory: _Directory, width: int, largest: floa
     return wanted.select("query_id", "q", "group", "least").mapInArrow(run, _VISIT)
 
 
-def _meet(visits: DataFrame, blocks: DataFrame, width: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best k rows of each visited block within the query's window."""
+def _meet(visits: DataFrame, blocks: DataFrame, width: int, k: int, exact: bool) -> DataFrame:
+    """(query_id, vec_id, score): the best k rows of each visited block within the query's window.
+
+    Products are taken in doubles where these are ``exact``, else in integers.
+    """
+    kind = np.float64 if exact else np.int64
     keys = ["pivot", "annulus", "part", "group"]
     wanted = visits.select(*(F.col(c).alias(f"to_{c}") for c in keys)).distinct()
     same = [F.col(c) == F.col(f"to_{c}") for c in keys[:3]]
@@ -200,20 +214,20 @@ def _meet(visits: DataFrame, blocks: DataFrame, width: int, k: int) -> DataFrame
         if left.num_rows and right.num_rows:
             ids, distance = right.column("vec_id").to_numpy(), right.column("distance").to_numpy()
             rank = np.lexsort((ids, distance))
-            ids, distance, x = ids[rank], distance[rank], _matrix(right.column("q"), width)[rank]
+            ids, distance, x = ids[rank], distance[rank], _matrix(right.column("q"), width, kind)[rank]
             places = np.empty(len(ids), np.int64)
             places[np.argsort(ids, kind="stable")] = np.arange(len(ids))
             asked, e, r = (left.column(c).to_numpy() for c in ("query_id", "e", "r"))
-            least = left.column("least").to_numpy().astype(float)
+            least = left.column("least").combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy()
             low, high = np.searchsorted(distance, e - r - 1e-6 * (1 + e)), np.searchsorted(distance, e + r + 1e-6 * (1 + e), "right")
-            q = _matrix(left.column("q"), width)
+            q = _matrix(left.column("q"), width, kind)
             order = np.argsort(e, kind="stable")
             for at in range(0, len(order), 64):
                 some = order[at : at + 64]
                 a, b = low[some].min(), high[some].max()
                 if a >= b:
                     continue
-                score = q[some] @ x[a:b].T  # exact: sums of products of integers below 2**53
+                score = (q[some] @ x[a:b].T).astype(np.int64)
                 inside = (np.arange(a, b)[None] >= low[some, None]) & (np.arange(a, b)[None] < high[some, None])
                 inside &= ids[None, a:b] != asked[some, None]
                 inside &= ~(score < least[some, None])

@@ -192,6 +192,27 @@ def test_top_k_is_exact(spark, small, monkeypatch):
     assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == slow_top(rows, lambda i: i % 10 == 0)
 
 
+@pytest.mark.parametrize("size", [1e5, 3e5, 3e6])
+def test_top_k_of_large_values_is_exact(spark, size):
+    rng = np.random.default_rng(11)
+    values = [[int(x) for x in rng.integers(-size, size, 5) * 256] for _ in range(60)]
+    values += [[v[0] + d, *v[1:]] for v in values[:20] for d in (1, 2)]  # products that differ in their last digits
+    rows = [(k, [x / 256 for x in v]) for k, v in enumerate(values)] + [(500, [1e300] * 5), (501, [1e30, 0.0, 0.0, 0.0, 0.0]), (502, [-1e17] * 5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = []
+    for i, q in enumerate(values):
+        best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in enumerate(values) if j != i)[:5]
+        expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best) if i % 10 == 0]
+    assert sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 10 == 0).collect())) == expected
+
+
+def test_top_k_of_repeated_ids_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PART", 50)
+    rows = [(7, [float(k % 9)]) for k in range(2000)] + [(0, [1.0]), (1, [2.0, 5.0])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in found] == [(0, n, 7, 8 * 65536) for n in range(1, 6)]
+
+
 def test_top_k_of_few_and_none(spark):
     table = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[1:] for r in topk.top_k(table, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1, 131072), (2, 2, 131072)]
