@@ -5,6 +5,8 @@ stays at one or two characters per token. Runs of key characters are encoded,
 with or without digits, and a ratio under the limit marks a span, once known
 digests, identifiers and numbers are left out. What patterns leave of a run is
 tested whole and then in its parts, so that a path before a key doesn't hide it.
+A run of many short parts packs badly whatever they say (paths, file names,
+times), so parts that pack badly by themselves must make up half of it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 #: Random strings have so many characters at least, and fewer characters per token than this.
 RANDOM_LEAST, CHARS_PER_TOKEN = 20, 2.2
+#: A part of a run says something about it from so many characters on; share of the run that such parts must make up.
+PART_LEAST, PART_SHARE = 5, 0.5
 #: Lengths in hex digits of common digests, and forms of identifiers: they are no secrets by themselves.
 DIGESTS = frozenset({32, 40, 56, 64, 96, 128})
 IDENTIFIER = (
@@ -76,7 +80,13 @@ class SecretScanner:
             return False
         if len(bare) in DIGESTS and self.digest.fullmatch(bare):
             return False
-        return self._packs_badly(run)
+        return self._packs_badly(run) and self._holds_random_parts(run)
+
+    def _holds_random_parts(self, run: str) -> bool:
+        """Whether half of the run or more is parts that pack badly themselves; a run without joining characters is one part."""
+        parts = _PARTS.findall(run)
+        bad = sum(len(x) for x in parts if len(x) >= PART_LEAST and not x.isdigit() and self._packs_badly(x))
+        return len(parts) == 1 or bad >= PART_SHARE * sum(map(len, parts))
 
     def _packs_badly(self, run: str) -> bool:
         return len(run) / len(self.encoding.encode_ordinary(run)) < self.limit
@@ -116,11 +126,17 @@ class SecretScanner:
         if any(x in lowered for x in ("passw", "secret", "token", "api")):
             found += [("assign", m.start(), m.end()) for m in self.assign.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
         # the characters of access keys and hex runs are all characters of such runs, and both are at least as long
+        assigned, at_assign = [(s, e) for _, s, e in found], 0
         for run in self.run.finditer(text):
             word, at = run[0], run.start()
             own = [("access", at + m.start(), at + m.end()) for m in self.access.finditer(word) if m.end() - m.start() >= ACCESS_LEAST]
             own += [("hex", at + m.start(), at + m.end()) for m in self.hex.finditer(word) if m.end() - m.start() >= HEX_LEAST]
-            base = [(s, e) for _, s, e in found + own if s < run.end() and at < e]
+            while at_assign < len(assigned) and assigned[at_assign][1] <= at:
+                at_assign += 1  # assignments don't overlap, and those before this run are before all later ones
+            base, k = [(s, e) for _, s, e in own], at_assign
+            while k < len(assigned) and assigned[k][0] < run.end():
+                base.append(assigned[k])
+                k += 1
             for s, e in between(at, run.end(), base):
                 own += [("random", s + a, s + b) for a, b in self._random(text[s:e])]
             found += own
@@ -182,7 +198,13 @@ def scan_documents(
 def redact_documents(
     docs: DataFrame, vocabulary_path: str, pattern: str, text_col: str = "text", length_col: str | None = "n_chars"
 ) -> DataFrame:
-    """``docs`` with every secret replaced; ``length_col``, if there, is the new length of changed texts."""
+    """``docs`` with every secret replaced; ``length_col``, if there, is the new length of changed texts.
+
+    Defined cases: null and empty texts and those without secrets stay as they
+    are, with their lengths; overlapping spans are one placeholder; repeated
+    rows are each replaced; an empty table gives an empty one; other columns,
+    whatever their names, are returned as they are. No shuffle.
+    """
     import pyarrow as pa
 
     schema = docs.schema
