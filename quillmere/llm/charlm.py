@@ -3,10 +3,12 @@
 A text becomes symbols: lower-case letters as their code points and every run
 of anything else as one space (0). N-grams of up to four symbols of 16 bits
 pack into 64 bits; a multiplication by an odd number hashes that one to one, so
-the sorted arrays have no collisions. One array per order serves all languages:
-beside each hash stands a row of log probabilities, one per language, already
-interpolated; n-grams that no language has seen back off by the array of
-context weights.
+the sorted arrays have no collisions. Letters above U+FFFF are one symbol. One
+array per order serves a group of ``GROUP`` languages: beside each hash stands a
+row of log probabilities, one per language, already interpolated; n-grams that
+none of them has seen back off by the array of context weights. A group's tables
+hold only the n-grams of its own languages, so their size grows with the number
+of languages and not with its square.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import numpy as np
 ORDER = 4
 _BITS = 16
 _HASH = np.uint64(0x9E3779B97F4A7C15)
+#: Languages whose n-grams share tables.
+GROUP = 8
 #: Symbols scored at once, which bounds memory on very long texts.
 _STEP = 1 << 18
 
@@ -63,29 +67,42 @@ def _mask(order: int) -> np.uint64:
 class CharModels:
     """Models of several languages; ``cross_entropy`` scores a text under all of them."""
 
-    def __init__(self, languages, hashes, logs, context_hashes, context_logs, floor):
-        self.languages = languages
-        self.hashes, self.logs = hashes, logs  # by order, 1 to ORDER
-        self.context_hashes, self.context_logs = context_hashes, context_logs
-        self.floor = floor
+    def __init__(self, groups: list[_Tables]):
+        self.groups = groups
+        self.languages = [x for g in groups for x in g.languages]
 
     @staticmethod
-    def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> CharModels:
-        """From {language: (packed n-grams of the highest order, their counts)}."""
-        languages = sorted(counts)
-        tables = [CharModels._counts_by_order(*counts[x]) for x in languages]
-        alphabet = max(2, len(np.unique(np.concatenate([t[1][0] for t in tables]))) + 1) if tables else 2
-        floor = -np.log(alphabet)
-        hashes, logs, context_hashes, context_logs = {}, {}, {}, {}
+    def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: int | None = None) -> CharModels:
+        """From {language: (packed n-grams of the highest order, their counts)}; ``alphabet`` counts symbols that may follow."""
+        known = sorted(counts)
+        if alphabet is None:
+            alphabet = len(np.unique(np.concatenate([k & _mask(1) for k, _ in counts.values()]))) + 1 if counts else 2
+        return CharModels([_Tables({x: counts[x] for x in known[at : at + GROUP]}, max(2, alphabet)) for at in range(0, len(known), GROUP)])
+
+    def cross_entropy(self, found: np.ndarray) -> np.ndarray:
+        """Nats per symbol under each language."""
+        packed = grams(found)
+        total = np.concatenate([g.log_prob(packed) for g in self.groups] or [np.zeros(0)])
+        return -total / max(1, len(packed))
+
+
+class _Tables:
+    """Sorted hash arrays of the languages of a group."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: int):
+        self.languages = sorted(counts)
+        languages, tables = self.languages, [_Tables._counts_by_order(*counts[x]) for x in self.languages]
+        self.floor = -np.log(alphabet)
+        self.hashes, self.logs, self.context_hashes, self.context_logs = {}, {}, {}, {}  # by order, 1 to ORDER
         below: tuple[np.ndarray, np.ndarray] | None = None
         for order in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([t[order][0] for t in tables])) if tables else np.empty(0, np.uint64)
+            keys = np.unique(np.concatenate([t[order][0] for t in tables]))
             contexts = np.unique(keys >> np.uint64(_BITS))
             probs = np.zeros((len(keys), len(languages)))
             weights = np.ones((len(contexts), len(languages)))
             for n, table in enumerate(tables):
                 own, count = table[order]
-                discount = CharModels._discount(count)
+                discount = _Tables._discount(count)
                 at = np.searchsorted(contexts, own >> np.uint64(_BITS))
                 total = np.bincount(at, count, len(contexts))
                 types = np.bincount(at, minlength=len(contexts))
@@ -98,11 +115,10 @@ class CharModels:
                 lower = below[1][np.searchsorted(below[0], keys & _mask(order - 1))]
             probs += weights[np.searchsorted(contexts, keys >> np.uint64(_BITS))] * lower
             below = keys, probs
-            for part, by, to_hash, to_log in ((keys, probs, hashes, logs), (contexts, weights, context_hashes, context_logs)):
+            for part, by, to_hash, to_log in ((keys, probs, self.hashes, self.logs), (contexts, weights, self.context_hashes, self.context_logs)):
                 hashed = part * _HASH
                 rank = np.argsort(hashed)
                 to_hash[order], to_log[order] = hashed[rank], np.log(by[rank]).astype(np.float32)
-        return CharModels(languages, hashes, logs, context_hashes, context_logs, floor)
 
     @staticmethod
     def _counts_by_order(keys: np.ndarray, count: np.ndarray) -> dict:
@@ -137,9 +153,9 @@ class CharModels:
             out[~found] = lower
         return out
 
-    def cross_entropy(self, found: np.ndarray) -> np.ndarray:
-        """Nats per symbol under each language."""
-        total, packed = np.zeros(len(self.languages)), grams(found)
+    def log_prob(self, packed: np.ndarray) -> np.ndarray:
+        """Sum of the log probabilities of packed n-grams under each language."""
+        total = np.zeros(len(self.languages))
         for at in range(0, len(packed), _STEP):
-            total -= self._log_probs(packed[at : at + _STEP], ORDER).sum(axis=0, dtype=np.float64)
-        return total / max(1, len(packed))
+            total += self._log_probs(packed[at : at + _STEP], ORDER).sum(axis=0, dtype=np.float64)
+        return total

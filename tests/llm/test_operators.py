@@ -513,10 +513,98 @@ def test_kneser_ney_sums_to_one():
     alphabet = np.unique(np.concatenate([c[0] & np.uint64(0xFFFF) for c in counts.values()]))
     for context in grams(text)[:40]:
         every = (context << np.uint64(16)) | alphabet
-        total = np.exp(models._log_probs(every, ORDER)).sum(axis=0)
+        total = np.exp(models.groups[0]._log_probs(every, ORDER)).sum(axis=0)
         assert (total < 1.0001).all() and (total > 0.8).all()  # the rest belongs to symbols never seen
 
 
+def slow_kneser_ney(texts):
+    """Log probability of a text under interpolated Kneser-Ney of order 4, by dictionaries: {language: function}."""
+    def letters(text):
+        out = []
+        for c in text:
+            symbol = c.lower() if c.isalpha() else " "
+            if symbol != " " or (out and out[-1] != " "):
+                out.append(symbol)
+        return out + ([] if not out or out[-1] == " " else [" "])
+
+    padded = {x: [[" "] * 3 + letters(t) for t in own] for x, own in texts.items()}
+    alphabet = len({c for own in padded.values() for t in own for c in t[3:]}) + 1
+
+    def model(own):
+        counts = {4: collections.Counter(tuple(t[k - 3 : k + 1]) for t in own for k in range(3, len(t)))}
+        for order in (3, 2, 1):
+            counts[order] = collections.Counter(g[1:] for g in counts[order + 1])
+
+        def prob(gram):
+            if not gram:
+                return 1 / alphabet
+            count = counts[len(gram)]
+            once, twice = (sum(v == k for v in count.values()) for k in (1, 2))
+            discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+            same = {g: v for g, v in count.items() if g[:-1] == gram[:-1]}
+            if not same:
+                return prob(gram[1:])
+            return max(0, same.get(gram, 0) - discount * (gram in same)) / sum(same.values()) + discount * len(same) / sum(same.values()) * prob(gram[1:])
+
+        def entropy(text):
+            t = [" "] * 3 + letters(text)
+            return -sum(math.log(prob(tuple(t[k - 3 : k + 1]))) for k in range(3, len(t))) / max(1, len(t) - 3)
+
+        return entropy
+
+    return {lang: model(own) for lang, own in padded.items()}
+
+
+@pytest.mark.parametrize("size", [1, 2, 8])
+def test_cross_entropy_equals_plain_kneser_ney(monkeypatch, size):
+    from quillmere.llm import charlm
+
+    monkeypatch.setattr(charlm, "GROUP", size)
+    texts = {"a": ["The cat sat on the mat.", "the dog ate the cat"], "b": ["El gato y la casa", "la gata 22 come"], "c": ["der hund und die katze"]}
+    counts = {x: np.unique(np.concatenate([grams(symbols(t)) for t in own]), return_counts=True) for x, own in texts.items()}
+    models, slow = CharModels.fit(counts), slow_kneser_ney(texts)
+    assert models.languages == ["a", "b", "c"] and len(models.groups) == -(-3 // size)
+    for text in ("the cat", "la casa del gato", "Katze!", "zzz", "x", "the 12 dogs, die katzen y el gato"):
+        assert models.cross_entropy(symbols(text)) == pytest.approx([slow[x](text) for x in models.languages], abs=1e-5)
+
+
+def test_rows_of_one_id_are_learned(spark):
+    other = [(5, f"la maison numéro {k} est très belle et grande", "fr") for k in range(3000)]
+    rows = other + [(k, f"el perro número {k} come en la casa", "es") for k in range(10, 310)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    known = language.fit(docs, "doc_id", "text", "lang")
+    assert known.models.languages == ["es", "fr"] and known.predict("cette maison est grande")[0] == "fr"
+    again = language.fit(docs.repartition(7), "doc_id", "text", "lang")
+    assert np.allclose(known.limit, again.limit) and np.allclose(known.usual, again.usual)
+
+
+def test_many_languages_are_learned(spark, monkeypatch):
+    """One document each, of letters of its own."""
+    rows = [(k, " ".join("".join(chr(0x4E00 + 40 * k + (7 * a + b) % 40) for b in range(5)) for a in range(12)), f"l{k:03}") for k in range(500)]
+    known = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert len(known.models.languages) == 500
+    assert all(known.predict(rows[k][1])[0] == f"l{k:03}" for k in range(0, 500, 50))
+
+
+def test_a_language_left_out_is_rejected(spark):
+    docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    left = docs.filter("lang = 'fr'").limit(200).collect()
+    known = language.fit(docs.filter("lang <> 'fr'"), "doc_id", "text", "lang")
+    long = [r for r in left if len(r.text) > 400]
+    assert np.mean([known.predict(r.text)[2] for r in long]) < 0.1
+    assert np.mean([known.predict(r.text[:80])[2] for r in long]) < 0.3
+    own = docs.filter("lang <> 'fr'").limit(1000).collect()
+    assert np.mean([known.predict(r.text)[2] for r in own]) > 0.99
+
+
+def test_keep_known_keeps_rows_as_they_are(spark, odd, none):
+    known = language.fit(odd.withColumn("lang", F.lit("x")), "doc_id", "text", "lang")
+    kept = language.keep_known(odd, known)
+    assert kept.schema == odd.schema and kept.exceptAll(odd).count() == 0
+    assert {r.doc_id for r in kept.collect()} >= {4, 5, 6} and not {r.doc_id for r in kept.collect()} & {1, 2, 3}
+    assert language.keep_known(none, known).count() == 0 and language.keep_known(odd, language.fit(none, "doc_id", "text", "lang")).count() == 0
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet")
     apart = language.held_out(F.col("doc_id"), 4, 2)
