@@ -13,6 +13,7 @@ offensive stem share what is learned about it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,14 +24,16 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.common import map_rows
 
-#: The classifier is fitted on at most so many labelled documents of either class, those with the lowest hashes.
+#: By default the classifier is fitted on at most so many labelled documents of either class, those with the lowest hashes.
 TOXIC_DOCS, CLEAN_DOCS = 4000, 6000
 #: At most so many word features get a weight: those whose share of toxic documents is the least likely by chance,
 #: and only those for which twice the log likelihood ratio of that share reaches LEAST_RATIO.
 FEATURES, LEAST_TOXIC_DOCS, LEAST_RATIO = 20_000, 3, 20.0
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = range(4, 10)
-ROUNDS, RATE, RIDGE = 400, 0.2, 0.003
+RATE, RIDGE = 0.2, 0.003
+#: Training ends when the loss falls by less than this share in so many rounds, or after the most rounds.
+SETTLED, WINDOW, MOST_ROUNDS = 1e-4, 25, 2000
 #: Words whose weights a worker keeps.
 MEMO_ENTRIES = 200_000
 
@@ -107,20 +110,33 @@ def noisy_or(z: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, z).sum()))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled documents to learn from; TOXIC_DOCS + CLEAN_DOCS rows at most."""
+def _sample(docs: DataFrame, labels: DataFrame, toxic_docs: int, clean_docs: int) -> DataFrame:
+    """(doc_id, text, toxic) of the labelled documents to learn from; of rows that share an id, the one whose text has the lowest hash."""
     def lowest(kind: int, most: int) -> DataFrame:
         return labels.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
-    chosen = lowest(1, TOXIC_DOCS).unionByName(lowest(0, CLEAN_DOCS))
-    return docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Detector:
+    chosen = lowest(1, toxic_docs).unionByName(lowest(0, clean_docs))
+    rows = docs.join(F.broadcast(chosen), "doc_id")  # toxic_docs + clean_docs ids
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("row")
+    return rows.groupBy("doc_id").agg(first).select("doc_id", "row.text", "row.toxic")
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    toxic_docs: int = TOXIC_DOCS,
+    clean_docs: int = CLEAN_DOCS,
+    most_features: int = FEATURES,
+) -> Detector:
     """Learn from the labelled rows that are passed; without toxic ones among them every score is near 0.
 
     Of several labels of one document the highest counts; rows without id or
-    label teach nothing.
+    label teach nothing; of several texts under one id one is taken, in every
+    run the same. ``toxic_docs``, ``clean_docs`` and ``most_features`` bound what
+    the driver holds, with the number of sentences that differ in their features.
     """
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -131,26 +147,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not count.get(1):
         return Detector({}, -20.0)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    sample = _sample(texts, known).persist()
-    vocabulary = _vocabulary(sample)
+    sample = _sample(texts, known, toxic_docs, clean_docs).persist()
+    vocabulary = _vocabulary(sample, most_features)
     shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rows(doc_id, text, toxic):
-        """Ids of the chosen features, and how many each sentence has that has any; how many sentences have none."""
-        found, lengths, empty = [], [], 0
-        for start, end in sentences(text):
-            own = [shared.value[f] for w in words((text or "")[start:end]) for f in features(w) if f in shared.value]
-            found += own
-            lengths += [len(own)] if own else []
-            empty += not own
-        return toxic, empty, lengths, found
-
-    learned = map_rows(sample.select("doc_id", "text", "toxic"), rows, "toxic int, empty int, lengths array<int>, found array<int>").toArrow()
+        return toxic, *sentence_kinds(text, shared.value)
+
+    schema = "toxic int, empty int, times array<int>, lengths array<int>, found array<int>"
+    learned = map_rows(sample.select("doc_id", "text", "toxic").orderBy("doc_id"), rows, schema).toArrow()
     sample.unpersist()
     return _train(learned, vocabulary, count)
 
 
-def _vocabulary(sample: DataFrame) -> dict[str, int]:
+def sentence_kinds(text: str | None, vocabulary: dict[str, int]) -> tuple[int, list[int], list[int], list[int]]:
+    """What training needs of a document: the number of sentences without a chosen feature, and of each kind of other
+    sentence (one set of features) how often it is there, how many features it has, and which."""
+    kinds = Counter(
+        tuple(sorted(vocabulary[f] for w in words((text or "")[start:end]) for f in features(w) if f in vocabulary)) for start, end in sentences(text)
+    )
+    empty = kinds.pop((), 0)
+    return empty, list(kinds.values()), [len(x) for x in kinds], [i for x in kinds for i in x]
+
+
+def _vocabulary(sample: DataFrame, most: int) -> dict[str, int]:
     """The features whose toxic share exceeds the expected beyond chance, numbered."""
     def one(text, toxic):
         return toxic, list({f for start, end in sentences(text) for w in words((text or "")[start:end]) for f in features(w)})
@@ -165,35 +185,64 @@ def _vocabulary(sample: DataFrame) -> dict[str, int]:
         .withColumn("ratio", 2 * F.col("toxic") * F.ln(F.col("toxic") / (F.col("n") * F.lit(share))))
         .filter(F.col("ratio") >= LEAST_RATIO)
         .orderBy(F.desc("ratio"), "feature")
-        .limit(FEATURES)
+        .limit(most)
     )
     return {r.feature: i for i, r in enumerate(counts.collect())}
 
 
+@dataclass
+class Bags:
+    """Documents as bags of sentences, in flat arrays: kinds of sentences with their document and how often they are
+    there, features with their kind, and per document label, weight and number of sentences without features."""
+
+    label: np.ndarray
+    weight: np.ndarray
+    empty: np.ndarray
+    doc: np.ndarray
+    times: np.ndarray
+    kind: np.ndarray
+    feature: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table, count: dict[int, int]) -> Bags:
+        """Clean documents weigh as in all labels."""
+        label = rows.column("toxic").to_numpy().astype(float)
+        lists = [rows.column(c).combine_chunks() for c in ("times", "lengths", "found")]
+        times, lengths, found = (x.flatten().to_numpy() for x in lists)
+        doc = np.repeat(np.arange(len(label)), np.diff(lists[0].offsets.to_numpy()))
+        weight = np.where(label == 1, count[1] / max(1.0, label.sum()), count.get(0, 0) / max(1.0, (1 - label).sum()))
+        weight *= len(label) / max(1e-300, weight.sum())
+        return Bags(label, weight, rows.column("empty").to_numpy().astype(float), doc, times.astype(float), np.repeat(np.arange(len(doc)), lengths), found)
+
+    def loss(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Weighted log loss of the noisy-or with a ridge on the weights, and its gradient; the last of ``x`` is the bias."""
+        sigmoid = lambda z: 1 / (1 + np.exp(-z))
+        z = x[-1] + np.bincount(self.kind, x[self.feature], len(self.doc))
+        none = np.bincount(self.doc, self.times * np.logaddexp(0, z), len(self.label)) + self.empty * np.logaddexp(0, x[-1])  # -log(1 - P)
+        none = np.clip(none, 1e-9, 500)
+        toxic = self.label == 1
+        loss = (self.weight * np.where(toxic, -np.log(-np.expm1(-none)), none)).sum() + RIDGE / 2 * (x[:-1] ** 2).sum()
+        pull = self.weight * np.where(toxic, -1 / np.expm1(none), 1.0)
+        by_kind = pull[self.doc] * self.times * sigmoid(z)
+        gradient = np.empty_like(x)
+        gradient[:-1] = np.bincount(self.feature, by_kind[self.kind], len(x) - 1) + RIDGE * x[:-1]
+        gradient[-1] = by_kind.sum() + (pull * self.empty).sum() * sigmoid(x[-1])
+        return float(loss), gradient
+
+
 def _train(rows: pa.Table, vocabulary: dict[str, int], count: dict[int, int]) -> Detector:
-    """Minimise the log loss of the noisy-or by Adam; clean documents weigh as in all labels."""
-    label = rows.column("toxic").to_numpy().astype(float)
-    if not len(label) or not label.sum():
+    """Minimise the loss by Adam until it has settled."""
+    bags = Bags.of(rows, count)
+    if not bags.label.sum():
         return Detector({}, -20.0)
-    empty = rows.column("empty").to_numpy().astype(float)
-    lengths, found = (rows.column(c).combine_chunks() for c in ("lengths", "found"))
-    doc = np.repeat(np.arange(len(label)), np.diff(lengths.offsets.to_numpy()))
-    per_sentence = lengths.flatten().to_numpy()
-    sentence, feature = np.repeat(np.arange(len(doc)), per_sentence), found.flatten().to_numpy()
-    weight = np.where(label == 1, count[1] / label.sum(), count.get(0, 0) / max(1.0, (1 - label).sum()))
-    weight *= len(label) / weight.sum()
     x = np.zeros(len(vocabulary) + 1)
     x[-1] = -4.0
-    first, second = np.zeros_like(x), np.zeros_like(x)
-    sigmoid = lambda z: 1 / (1 + np.exp(-z))
-    for step in range(1, ROUNDS + 1):
-        z = x[-1] + np.bincount(sentence, x[feature], len(doc))
-        none = np.bincount(doc, np.logaddexp(0, z), len(label)) + empty * np.logaddexp(0, x[-1])  # -log(1 - P)
-        pull = weight * np.where(label == 1, -1 / np.expm1(np.clip(none, 1e-9, 500)), 1.0)
-        gradient_z = pull[doc] * sigmoid(z)
-        gradient = np.zeros_like(x)
-        gradient[:-1] = np.bincount(feature, gradient_z[sentence], len(vocabulary)) + RIDGE * x[:-1]
-        gradient[-1] = gradient_z.sum() + (pull * empty).sum() * sigmoid(x[-1])
+    first, second, losses = np.zeros_like(x), np.zeros_like(x), []
+    for step in range(1, MOST_ROUNDS + 1):
+        loss, gradient = bags.loss(x)
+        losses.append(loss)
+        if step > WINDOW and losses[-1 - WINDOW] - loss < SETTLED * abs(loss):
+            break
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         x -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -218,7 +267,13 @@ def score_documents(docs: DataFrame, detector: Detector, id_col: str = "doc_id",
 
 
 def locate_sentences(docs: DataFrame, detector: Detector, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start_at, end_at, probability) of each offending sentence."""
+    """(doc_id, start_at, end_at, probability) of each sentence that is toxic by itself, places in code points.
+
+    Defined cases: documents without such a sentence, null and empty ones among
+    them, give no row; ids may be null or repeat, and repeated rows give their
+    sentences each; an empty table gives an empty one; other columns are
+    ignored. Whole texts are read, without a shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(detector)
 
     def one(doc_id, text):

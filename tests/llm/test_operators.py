@@ -633,6 +633,57 @@ def test_languages_of_few_documents_are_learned(spark):
     assert lang == "el" and accepted
 
 
+def slow_probability(weights, bias, text):
+    """The noisy-or by its definition, sentence by sentence."""
+    out = 1.0
+    for sentence in [x for x in re.split(r"[.!?\n]+", text) if x] or [""]:
+        z = bias + sum(weights.get(f, 0.0) for w in set(re.findall(r"[^\W\d_]+", sentence.lower())) for f in [w + "$"] + [w[:n] for n in range(4, 10) if n <= len(w)])
+        out *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - out
+
+
+def test_scores_and_gradient_equal_plain_python(spark):
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    words = ["idiot", "idiots", "clown", "clownish", "fine", "weather", "today", "it", "is", "42", "été"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", ". ", "!", "\n", " ?"]) for _ in range(rng.randrange(0, 25))) for _ in range(60)]
+    names = sorted({f for w in words for f in toxicity.features(w)})[::2]
+    vocabulary, labels = {f: i for i, f in enumerate(names)}, [int("idiot" in t or rng.random() < 0.1) for t in texts]
+    rows = [(y, *toxicity.sentence_kinds(t, vocabulary)) for y, t in zip(labels, texts)]
+    table = pa.table({n: pa.array(list(c), k) for n, c, k in zip(("toxic", "empty", "times", "lengths", "found"), zip(*rows), (pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3))})
+    count = {1: 30, 0: 900}
+    bags = toxicity.Bags.of(table, count)
+    for _ in range(5):
+        x = np.array([rng.gauss(0, 1) for _ in names] + [-2.0])
+        weights = dict(zip(names, x))
+        p = [slow_probability(weights, x[-1], t) for t in texts]
+        detector = toxicity.Detector(weights, x[-1])
+        assert [detector.score(t)[0] for t in texts] == pytest.approx(p)
+        n = {k: labels.count(k) for k in (0, 1)}
+        w = [count[y] / n[y] for y in labels]
+        w = [v * len(texts) / sum(w) for v in w]
+        slow = sum(v * -math.log(q if y else 1 - q) for v, q, y in zip(w, p, labels)) + toxicity.RIDGE / 2 * sum(v * v for v in x[:-1])
+        loss, gradient = bags.loss(x)
+        assert loss == pytest.approx(slow)
+        for k in range(len(x)):
+            step = np.zeros_like(x)
+            step[k] = 1e-5
+            assert gradient[k] == pytest.approx((bags.loss(x + step)[0] - bags.loss(x - step)[0]) / 2e-5, abs=1e-4)
+
+
+def test_toxicity_of_repeated_ids(spark):
+    bad, good = "what an idiot you are. really", "fine weather today. it is warm"
+    rows = [(k, bad if k % 4 == 0 else good) for k in range(80)] + [(0, good), (0, bad), (None, bad)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)] + [(8, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    one = toxicity.fit(docs.repartition(3), labels)
+    two = toxicity.fit(docs.repartition(5), labels.repartition(4))
+    assert one.weights == pytest.approx(two.weights) and one.bias == pytest.approx(two.bias)
+    few = toxicity.fit(docs, labels, toxic_docs=10, clean_docs=10, most_features=3)
+    assert len(few.weights) <= 3
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(DATA.replace("sf0.001", "sf0.1") + f"/{t}.parquet") for t in ("documents", "labels"))
     apart = language.held_out(F.col("doc_id"), 5, 0)
@@ -646,6 +697,7 @@ def test_toxicity(spark, odd, none):
     assert edge[9].predicted == 1 and text[edge[9].worst_start : edge[9].worst_end].strip() in ("An idiot", "A clown")
     spots = {text[r.start_at : r.end_at].strip() for r in toxicity.locate_sentences(odd.filter("doc_id = 9"), detector).collect()}
     assert spots == {"An idiot", "A clown"}
-    assert toxicity.score_documents(none, detector).count() == 0
+    assert toxicity.score_documents(none, detector).count() == 0 and toxicity.locate_sentences(none, detector).count() == 0
+    assert toxicity.locate_sentences(odd.filter("doc_id < 6 OR doc_id IS NULL"), detector).count() == 0
     untaught = toxicity.fit(docs, labels.limit(0))
     assert untaught.score("idiot")[0] < 1e-6
