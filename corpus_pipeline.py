@@ -29,25 +29,33 @@ from quillmere.llm.simhash import keep_first
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learned from the same part of the documents as the query of this operator."""
+    """Learned from the same part of the documents as the query of this operator.
+
+    Rows without text or letters go, and so do all where nothing can be
+    learned; ids may be null (such rows teach nothing) or repeat.
+    """
     return keep_known(docs, fit(docs.filter(~held_out(F.col("doc_id"), 4, 2)), "doc_id", "text", "lang"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates stays, also where ids repeat or are null; texts without words are one group."""
     return keep_first(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays; null and clean texts as they are."""
     import public_tokenizers
 
     return redact_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, each as often as the mix takes at least half of it; texts without words have no part in the mix."""
     return mixed_documents(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of every row; a null text has no ids."""
     return encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), outputs="text")
 
 
@@ -64,14 +72,27 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table ``documents``; what lies between them is in the shared checkpoint folder."""
+    """All stages on the table ``documents``.
+
+    What lies between stages is written to the shared checkpoint folder and
+    removed once the next stage is there; the input of the last one, which is
+    read when the result is, stays.
+    """
     ensure_checkpoint_dir(spark)
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
     folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if before:
+                _remove(spark, before)
+            before = f"{folder}/{k}-{name}"
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
