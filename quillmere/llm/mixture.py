@@ -22,6 +22,8 @@ from quillmere.llm.common import cut
 
 #: Words in a block, hex digits that make the hash ranges of a source's stream, slots ranked at once, and cells of the weight axis.
 BLOCK, BUCKET_DIGITS, CHUNK, CELLS = 128, 3, 4096, 4096
+#: A hash range with so many rows more than four times what is usual in its source holds a hot id; ranges of rows it is cut into.
+HOT_ROWS, HOT_PARTS = 50_000, 256
 #: frac(n * phi) in 32 bits; n repeats after 2**31 slots, which keeps products within a long.
 _GOLDEN, _PERIOD, _UNIT = 2654435769, 1 << 31, 1 << 32
 WORD = r"[^\x20\x09-\x0D]+"
@@ -97,21 +99,27 @@ def plan_mixture(
     - in the order of ``slot`` the mix itself; (number, start) names the row.
     Defined cases: null and blank texts have size 0, a place and no part of the
     mix; a null source is a source; rows that repeat take part each; a source's
-    rows are ordered by the MD5 of their id, so reruns agree; an empty table gives
-    two empty ones; other columns are kept out.
+    rows are ordered by the MD5 of their id, then by their own hashes, so reruns
+    agree; an id may have any number of rows; an empty table gives two empty
+    ones; other columns are kept out.
     """
     sized = cut(_streams(docs, id_col, text_col, source_col, row_key(docs)))
     targets = cut(target_table(sized, weights, share, most))
     numbered = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(sized["*"], "number", "source_size", "target")
-    sums = numbered.groupBy("number", "bucket").agg(F.sum("size").alias("n"))
+    sums = cut(numbered.groupBy("number", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("rows")))
     earlier = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("number", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("number", "bucket").orderBy("spread", "doc_id", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut(
-        numbered.join(offsets, ["number", "bucket"])
-        .withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .drop("offset", "bucket", "spread")
+    usual = F.sum("rows").over(Window.partitionBy("number")) / 16**BUCKET_DIGITS
+    offsets = sums.select(
+        "number", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), (F.col("rows") > HOT_ROWS + 4 * usual).alias("hot")
     )
+    offered = numbered.join(offsets, ["number", "bucket"])
+    within = Window.partitionBy("number", "bucket").orderBy("spread", "doc_id", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start")
+    columns = ["number", "doc_id", "source", "size", "row_hash", "source_size", "target"]
+    placed = offered.filter("NOT hot").select(*columns, start)
+    if not offsets.filter("hot").isEmpty():
+        placed = placed.unionByName(_hot_starts(offered.filter("hot")).select(*columns, "start"))
+    placed = cut(placed)
     budget = targets.select("number", F.floor("target").cast("long").alias("budget"), "source_size").filter("budget > 0")
     parts = (
         placed.filter("size > 0")
@@ -130,6 +138,28 @@ def plan_mixture(
     return placed, parts.join(_slots(budget, block), ["number", "block"])
 
 
+def _hot_starts(rows: DataFrame) -> DataFrame:
+    """``start`` in hash ranges where one id has very many rows.
+
+    Equal rows are one with a count before they move; the rows of an id are cut
+    by their hash into ranges whose sums come first, then running sums within.
+    """
+    keys = ["number", "bucket", "spread", "doc_id", "part"]
+    distinct = rows.groupBy(*rows.columns).agg(F.count("*").alias("times")).withColumn("part", F.pmod(F.col("row_hash.a"), F.lit(HOT_PARTS)))
+    sums = distinct.groupBy(*keys).agg(F.sum(F.col("size") * F.col("times")).alias("n"))
+    earlier = Window.partitionBy("number", "bucket").orderBy("spread", "doc_id", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*(F.col(c).alias(f"_{c}") for c in keys), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*keys).orderBy("row_hash").rowsBetween(Window.unboundedPreceding, -1)
+    found = distinct.join(before, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]).withColumn(
+        "first", F.col("offset") + F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("times")).over(within), F.lit(0))
+    )
+    return (
+        found.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {CHUNK}"))))  # no array of all copies of a row
+        .withColumn("copy", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, "times") - 1)))
+        .withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
+    )
+
+
 def _slots(budget: DataFrame, block: int) -> DataFrame:
     """(number, block, slot): slots of the schedule, ranked per source."""
     needed = budget.select("number", F.expr(f"(budget + {block - 1}) div {block}").alias("blocks"))
@@ -190,7 +220,8 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix in whole documents: each row of ``docs`` once per pass of which the mix takes at least half.
 
-    All columns are returned. Rows equal in all columns count together.
+    All columns are returned, whatever their names. Rows equal in all columns
+    count together. Each source comes near its target, to a document per pass.
     """
     placed, schedule = plan_mixture(docs, **options)
     passes = schedule.groupBy("number", "start", "pass").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from quillmere.llm.common import column_or_null, cut
 from quillmere.llm.fingerprint import words_of
 
-#: Weight of a lower order, and the least count with which a bigram is in the table.
-BACKOFF, LEAST_COUNT = 0.4, 2
+#: Weight of a lower order, the least count with which an n-gram of more than one word is in the table, and the usual highest order.
+BACKOFF, LEAST_COUNT, ORDER = 0.4, 2, 2
 #: Bytes of text in a group of documents and behind a range of hashes. They bound what a task holds.
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 _PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -34,10 +34,13 @@ def unigrams(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def bigrams(one: np.ndarray) -> np.ndarray:
-    """Hash of each word with the one before it."""
-    both = (one[:-1] * _PAIR + one[1:]) * _MIX
-    return both ^ (both >> np.uint64(29))
+def ngrams(one: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of the n-grams of orders 1 to ``order`` that start at each word."""
+    out = [one]
+    for k in range(1, order):
+        both = (out[-1][:-1] * _PAIR + one[k:]) * _MIX if len(one) > k else np.empty(0, np.uint64)
+        out.append(both ^ (both >> np.uint64(29)))
+    return out
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -54,31 +57,34 @@ def _hashes(texts: pa.ChunkedArray) -> list[np.ndarray]:
     return [unigrams(words_of(text)) for chunk in texts.chunks for at in range(0, len(chunk), 256) for text in chunk.slice(at, 256).to_pylist()]
 
 
-def _distinct(ones: list[np.ndarray], inverse: bool):
-    """Sorted distinct hashes of all unigrams and bigrams, and their counts or where each occurrence is."""
-    both = np.concatenate([*ones, *(bigrams(x) for x in ones if len(x) > 1), np.empty(0, np.uint64)])
+def _distinct(ones: list[np.ndarray], order: int, inverse: bool):
+    """Sorted distinct hashes of all n-grams, and their counts or where each occurrence is: by order, then by document."""
+    every = [ngrams(x, order) for x in ones]
+    both = np.concatenate([*(x[k] for k in range(order) for x in every), np.empty(0, np.uint64)])
     return np.unique(both, return_counts=not inverse, return_inverse=inverse)
 
 
-def _edges(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range of hashes starts in sorted keys, and the end."""
-    starts = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
-    return np.r_[0, np.searchsorted(keys, starts), len(keys)]
+def _ranges(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of hashes that sorted keys are in, and where each of these starts, and the end."""
+    if ranges == 1 or not len(keys):
+        return np.arange(min(1, len(keys))), np.array([0, len(keys)])
+    own, starts = np.unique(keys // np.uint64(-(-(1 << 64) // ranges)), return_index=True)
+    return own, np.r_[starts, len(keys)]
 
 
-def _explode(groups: DataFrame, ranges: int) -> DataFrame:
+def _explode(groups: DataFrame, order: int, ranges: int) -> DataFrame:
     """(range, group, grams, counts): the distinct n-grams of each group, packed by range of hashes."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = _distinct(_hashes(table.column("text")), inverse=False)
-        edges = _edges(keys, ranges)
-        own = [k for k in range(ranges) if edges[k] < edges[k + 1]]
+        keys, counts = _distinct(_hashes(table.column("text")), order, inverse=False)
+        own, edges = _ranges(keys, ranges)
+        parts = list(zip(edges, edges[1:]))
         return pa.table(
             {
                 "range": pa.array(own, pa.int32()),
                 "group": pa.array([table.column("group")[0].as_py()] * len(own), pa.int32()),
-                "grams": pa.array([_planes(keys[edges[k] : edges[k + 1]]) for k in own], pa.binary()),
-                "counts": pa.array([_planes(counts[edges[k] : edges[k + 1]].astype(np.uint32)) for k in own], pa.binary()),
+                "grams": pa.array([_planes(keys[a:b]) for a, b in parts], pa.binary()),
+                "counts": pa.array([_planes(counts[a:b].astype(np.uint32)) for a, b in parts], pa.binary()),
             }
         )
 
@@ -99,53 +105,73 @@ def _join_counts(exploded: DataFrame) -> DataFrame:
     return exploded.groupBy("range").applyInArrow(run, "range int, group int, totals binary")
 
 
-_SUMS = "doc_id long, n_words long, n_backed long, log_sum double"
+_SUMS = "doc_id long, n_words long, n_backed long, n_single long, log_sum double"
 
 
-def _sum(groups: DataFrame, totals: DataFrame) -> DataFrame:
-    """Per document: words, how many backed off, and the sum of log scores without the corpus size."""
+def backoff_scores(known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Per word of a document the log score and the order it was taken from, given the counts of its n-grams by order.
+
+    Scores of order 1 lack the division by the corpus size.
+    """
+    n, order = len(known[0]), len(known)
+    score, used = np.log(known[0]), np.ones(n, np.int64)
+    for k in range(2, order + 1):
+        seen = known[k - 1] >= LEAST_COUNT  # of the n-gram that ends at word k - 1 + place
+        ends = np.nonzero(seen)[0] + k - 1
+        score[ends], used[ends] = np.log(known[k - 1][seen] / known[k - 2][: len(seen)][seen]), k
+    highest = np.minimum(np.arange(n) + 1, order)  # the first words have no longer history
+    return score + (highest - used) * np.log(BACKOFF), used
+
+
+def _sum(groups: DataFrame, totals: DataFrame, order: int) -> DataFrame:
+    """Per document: words, how many have a lower order than the highest, how many the lowest, and the sum of log scores without the corpus size."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         ones = _hashes(docs.column("text"))
-        keys, place = _distinct(ones, inverse=True)
+        keys, place = _distinct(ones, order, inverse=True)
         if len(keys):
-            order = np.argsort(answers.column("range").to_numpy())
+            rank = np.argsort(answers.column("range").to_numpy())
             parts = answers.column("totals").to_pylist()
-            known = np.concatenate([_unplaned(parts[k], np.uint64) for k in order]).astype(float)[place]
+            known = np.concatenate([_unplaned(parts[k], np.uint64) for k in rank]).astype(float)[place]
         else:
             known = np.empty(0)
-        out, at, pair = [], 0, sum(map(len, ones))
-        for one in ones:
-            n = len(one)
-            if not n:
-                out.append((0, 0, 0.0))
+        sizes = np.array([[max(0, len(x) - k) for x in ones] for k in range(order)])
+        starts = np.r_[0, np.cumsum(sizes.ravel())[:-1]].reshape(sizes.shape) if sizes.size else sizes
+        out = []
+        for d, one in enumerate(ones):
+            if not len(one):
+                out.append((0, 0, 0, 0.0))
                 continue
-            single, double = known[at : at + n], known[pair : pair + n - 1]
-            seen = np.r_[False, double >= LEAST_COUNT]
-            total = np.log(double[seen[1:]] / single[:-1][seen[1:]]).sum() + np.log(single[~seen]).sum()
-            backed = int((~seen).sum())
-            out.append((n, backed, float(total + (backed - 1) * np.log(BACKOFF))))  # the first word has no higher order
-            at, pair = at + n, pair + n - 1
-        words, backed, total = zip(*out)
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(words, pa.int64()), "n_backed": pa.array(backed, pa.int64()), "log_sum": pa.array(total, pa.float64())})
+            score, used = backoff_scores([known[starts[k, d] : starts[k, d] + sizes[k, d]] for k in range(order)])
+            out.append((len(one), int((used < order).sum()), int((used == 1).sum()), float(score.sum())))
+        columns = zip(*out) if out else ([], [], [], [])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        names = ("n_words", "n_backed", "n_single", "log_sum")
+        return pa.table({"doc_id": docs.column("doc_id"), **{n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds)}})
 
     return groups.groupBy("group").cogroup(totals.groupBy("group")).applyInArrow(run, _SUMS)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, n_backed, score): the mean log stupid-backoff score of each document under all documents.
 
-    A word scores c(v w) / c(v) after v if the pair is in the table, else
-    BACKOFF * c(w) / N; the first word c(w) / N. Words are cut at white space,
-    with A-Z lower-cased. Defined cases: documents without words have a null
-    score; rows that repeat count and are scored each; ids may be null or
-    repeat; an empty table gives an empty one; other columns are ignored.
+    A word scores c(h w) / c(h) after the longest history h of up to
+    ``order`` - 1 words with which it is in the table, times BACKOFF for each
+    word that was left out of the history; without any, c(w) / N. ``n_backed``
+    counts words with a history shorter than ``order`` - 1. Words are cut at
+    white space, with A-Z lower-cased. N-grams are known by 64-bit hashes: two
+    of 10**9 different ones share theirs with a chance of some 3 %. Defined
+    cases: documents without words have a null score; rows that repeat count
+    and are scored each; ids may be null or repeat; an empty table gives an
+    empty one; other columns are ignored.
     """
     wanted = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, ranges = max(1, -(-size // GROUP_BYTES)), max(1, -(-size // RANGE_BYTES))
-    dealt = wanted.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    sums = cut(_sum(dealt, _join_counts(_explode(dealt, ranges))))
+    dealt = wanted.filter(worded).withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    sums = cut(_sum(dealt, _join_counts(_explode(dealt, order, ranges)), order))
     corpus = sums.agg(F.sum("n_words")).first()[0] or 1
-    score = F.when(F.col("n_words") > 0, (F.col("log_sum") - F.col("n_backed") * F.lit(float(np.log(corpus)))) / F.col("n_words"))
-    return sums.select("doc_id", "n_words", "n_backed", score.alias("score"))
+    score = (F.col("log_sum") - F.col("n_single") * F.lit(float(np.log(corpus)))) / F.col("n_words")
+    none = wanted.filter(~worded).select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("n_words", "n_backed")), F.lit(None).cast("double").alias("score"))
+    return sums.select("doc_id", "n_words", "n_backed", score.alias("score")).unionByName(none)

@@ -342,6 +342,27 @@ def test_mixture_targets_and_schedule(spark, odd, none):
     assert mixed.columns == odd.columns and mixed.filter("text IS NULL").count() == 0
 
 
+def test_a_hot_id_takes_part_as_any_other(spark, monkeypatch):
+    rows = [(7, f"{'w ' * (k % 5)}text{k}", "a") for k in range(900)] + [(None, "same words", "a")] * 9000 + [(k, "some more words", "ab"[k % 2]) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    outcomes = []
+    for hot in (10**9, 20):
+        monkeypatch.setattr(mixture, "HOT_ROWS", hot)
+        placed, _ = mixture.plan_mixture(docs)
+        spans = collections.defaultdict(list)
+        for r in placed.collect():
+            spans[r.number].append((r.start, r.start + r["size"]))
+        for own in spans.values():  # the stream of a source has neither gaps nor overlaps
+            own.sort()
+            assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        taken = mixture.taken_words(docs).collect()
+        assert len(taken) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in taken)
+        outcomes.append(sorted((r.source_size, r.target) for r in taken))
+    assert outcomes[0] == outcomes[1]
+    again = sorted(map(str, mixture.taken_words(docs.repartition(7)).collect()))
+    assert again == sorted(map(str, taken))
+
+
 def test_excess_is_reshared_until_none_is_above(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 100)], "source string, size long")
     found = {r.source: r.target for r in mixture.target_table(sized, (3, 1, 2), 1.5, 2.0).collect()}
@@ -353,26 +374,31 @@ def test_excess_is_reshared_until_none_is_above(spark):
 # ---- scoring, secrets, language, toxicity
 
 
-def test_stupid_backoff(spark, odd, none, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_stupid_backoff(spark, odd, none, monkeypatch, order):
     monkeypatch.setattr(ngramlm, "GROUP_BYTES", 100_000)
     monkeypatch.setattr(ngramlm, "RANGE_BYTES", 90_000)
     words = [(i, (t or "").encode().lower().split()) for i, t in TEXTS]
-    one = collections.Counter(w for _, ws in words for w in ws)
-    two = collections.Counter(p for _, ws in words for p in zip(ws, ws[1:]))
-    total = sum(one.values())
-
-    def score(ws):
-        s = 0.0
-        for k, w in enumerate(ws):
-            if k and two[ws[k - 1], w] >= 2:
-                s += math.log(two[ws[k - 1], w] / one[ws[k - 1]])
-            else:
-                s += math.log(one[w] / total) + (math.log(0.4) if k else 0)
-        return round(s / len(ws), 9) if ws else None
-
-    found = [(r.doc_id, r.n_words, None if r.score is None else round(r.score, 9)) for r in ngramlm.score_documents(odd).collect()]
-    assert collections.Counter(found) == collections.Counter((i, len(ws), score(ws)) for i, ws in words)
-    assert ngramlm.score_documents(none).count() == 0
+    counts = collections.Counter(tuple(ws[k : k + n]) for _, ws in words for n in range(1, order + 1) for k in range(len(ws) - n + 1))
+    total = sum(len(ws) for _, ws in words)
+
+    def log_score(ws, k, history):
+        """Of word k after so many words."""
+        if not history:
+            return math.log(counts[ws[k],] / total), 1
+        gram = tuple(ws[k - history : k + 1])
+        if counts[gram] >= 2:
+            return math.log(counts[gram] / counts[gram[:-1]]), history + 1
+        s, used = log_score(ws, k, history - 1)
+        return s + math.log(0.4), used
+
+    def row(i, ws):
+        found = [log_score(ws, k, min(k, order - 1)) for k in range(len(ws))]
+        return i, len(ws), sum(used < order for _, used in found), round(sum(s for s, _ in found) / len(ws), 9) if ws else None
+
+    found = [(r.doc_id, r.n_words, r.n_backed, None if r.score is None else round(r.score, 9)) for r in ngramlm.score_documents(odd, order=order).collect()]
+    assert collections.Counter(found) == collections.Counter(row(i, ws) for i, ws in words)
+    assert ngramlm.score_documents(none, order=order).count() == 0
 
 
 @pytest.fixture(scope="module")
