@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,6 +202,12 @@ class PieceCodec:
         """Ids of a whole text, as the library gives them without begin, end and sampling."""
         return [int(i) for unit in self.units_of(text or "") for i in unit[1].split(",")]
 
+    def both(self, text: str | None) -> tuple[np.ndarray, str]:
+        """Ids of a whole text, and the text decoded from them unit by unit."""
+        units = self.units_of(text or "")
+        ids = np.fromstring(",".join([u[1] for u in units]), np.int32, sep=",")
+        return ids, self._bare("".join([u[2] for u in units]))
+
     def _plain(self, ids) -> str:
         if self.special.isdisjoint(ids):
             return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
@@ -268,8 +275,8 @@ def encode_documents(
         def one(doc_id, text):
             if outputs == "digests":
                 return doc_id, *own.digests(text)
-            ids = own.encode(text)
-            return (doc_id, len(ids), ids) if outputs == "ids" else (doc_id, len(ids), ids, own.decode(ids))
+            ids, decoded = own.both(text)
+            return (doc_id, len(ids), ids) if outputs == "ids" else (doc_id, len(ids), ids, decoded)
 
         return one
 
