@@ -32,8 +32,8 @@ FEATURES, LEAST_TOXIC_DOCS, LEAST_RATIO = 20_000, 3, 20.0
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = range(4, 10)
 RATE, RIDGE = 0.2, 0.003
-#: Training ends when the loss falls by less than this share in so many rounds, or after the most rounds.
-SETTLED, WINDOW, MOST_ROUNDS = 1e-4, 25, 2000
+#: Training ends when the loss falls in so many rounds by less than this share of what it was at first, or after the most rounds.
+SETTLED, WINDOW, MOST_ROUNDS = 1e-4, 25, 1000
 #: Words whose weights a worker keeps.
 MEMO_ENTRIES = 200_000
 
@@ -154,20 +154,21 @@ def fit(
     def rows(doc_id, text, toxic):
         return toxic, *sentence_kinds(text, shared.value)
 
-    schema = "toxic int, empty int, times array<int>, lengths array<int>, found array<int>"
+    schema = "toxic int, empty int, times array<int>, kinds array<string>"
     learned = map_rows(sample.select("doc_id", "text", "toxic").orderBy("doc_id"), rows, schema).toArrow()
     sample.unpersist()
     return _train(learned, vocabulary, count)
 
 
-def sentence_kinds(text: str | None, vocabulary: dict[str, int]) -> tuple[int, list[int], list[int], list[int]]:
-    """What training needs of a document: the number of sentences without a chosen feature, and of each kind of other
-    sentence (one set of features) how often it is there, how many features it has, and which."""
+def sentence_kinds(text: str | None, vocabulary: dict[str, int]) -> tuple[int, list[int], list[str]]:
+    """What training needs of a document: the number of sentences without a chosen feature, and how often each kind of
+    other sentences is there. A kind is one set of features, their numbers joined by commas."""
     kinds = Counter(
-        tuple(sorted(vocabulary[f] for w in words((text or "")[start:end]) for f in features(w) if f in vocabulary)) for start, end in sentences(text)
+        ",".join(map(str, sorted(vocabulary[f] for w in words((text or "")[start:end]) for f in features(w) if f in vocabulary)))
+        for start, end in sentences(text)
     )
-    empty = kinds.pop((), 0)
-    return empty, list(kinds.values()), [len(x) for x in kinds], [i for x in kinds for i in x]
+    empty = kinds.pop("", 0)
+    return empty, list(kinds.values()), list(kinds)
 
 
 def _vocabulary(sample: DataFrame, most: int) -> dict[str, int]:
@@ -192,38 +193,50 @@ def _vocabulary(sample: DataFrame, most: int) -> dict[str, int]:
 
 @dataclass
 class Bags:
-    """Documents as bags of sentences, in flat arrays: kinds of sentences with their document and how often they are
-    there, features with their kind, and per document label, weight and number of sentences without features."""
+    """Documents as bags of sentences, in flat arrays.
+
+    Per document its label, weight and number of sentences without features;
+    per entry a document, a kind of sentence and how often it is there; per
+    feature of a kind that kind. Kinds are told apart over all documents, so
+    that what is costly is done once for each.
+    """
 
     label: np.ndarray
     weight: np.ndarray
     empty: np.ndarray
     doc: np.ndarray
+    entry: np.ndarray
     times: np.ndarray
     kind: np.ndarray
     feature: np.ndarray
+    kinds: int
 
     @staticmethod
     def of(rows: pa.Table, count: dict[int, int]) -> Bags:
         """Clean documents weigh as in all labels."""
         label = rows.column("toxic").to_numpy().astype(float)
-        lists = [rows.column(c).combine_chunks() for c in ("times", "lengths", "found")]
-        times, lengths, found = (x.flatten().to_numpy() for x in lists)
-        doc = np.repeat(np.arange(len(label)), np.diff(lists[0].offsets.to_numpy()))
+        times, kinds = (rows.column(c).combine_chunks() for c in ("times", "kinds"))
+        doc = np.repeat(np.arange(len(label)), np.diff(times.offsets.to_numpy()))
+        coded = kinds.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        feature = np.array([int(i) for x in names for i in x.split(",")], np.int64)
         weight = np.where(label == 1, count[1] / max(1.0, label.sum()), count.get(0, 0) / max(1.0, (1 - label).sum()))
         weight *= len(label) / max(1e-300, weight.sum())
-        return Bags(label, weight, rows.column("empty").to_numpy().astype(float), doc, times.astype(float), np.repeat(np.arange(len(doc)), lengths), found)
+        return Bags(
+            label, weight, rows.column("empty").to_numpy().astype(float), doc, coded.indices.to_numpy().astype(np.int64),
+            times.flatten().to_numpy().astype(float), np.repeat(np.arange(len(names)), [x.count(",") + 1 for x in names]).astype(np.int64), feature, len(names),
+        )
 
     def loss(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         """Weighted log loss of the noisy-or with a ridge on the weights, and its gradient; the last of ``x`` is the bias."""
         sigmoid = lambda z: 1 / (1 + np.exp(-z))
-        z = x[-1] + np.bincount(self.kind, x[self.feature], len(self.doc))
-        none = np.bincount(self.doc, self.times * np.logaddexp(0, z), len(self.label)) + self.empty * np.logaddexp(0, x[-1])  # -log(1 - P)
+        z = x[-1] + np.bincount(self.kind, x[self.feature], self.kinds)
+        none = np.bincount(self.doc, self.times * np.logaddexp(0, z)[self.entry], len(self.label)) + self.empty * np.logaddexp(0, x[-1])  # -log(1 - P)
         none = np.clip(none, 1e-9, 500)
         toxic = self.label == 1
         loss = (self.weight * np.where(toxic, -np.log(-np.expm1(-none)), none)).sum() + RIDGE / 2 * (x[:-1] ** 2).sum()
         pull = self.weight * np.where(toxic, -1 / np.expm1(none), 1.0)
-        by_kind = pull[self.doc] * self.times * sigmoid(z)
+        by_kind = np.bincount(self.entry, pull[self.doc] * self.times, self.kinds) * sigmoid(z)
         gradient = np.empty_like(x)
         gradient[:-1] = np.bincount(self.feature, by_kind[self.kind], len(x) - 1) + RIDGE * x[:-1]
         gradient[-1] = by_kind.sum() + (pull * self.empty).sum() * sigmoid(x[-1])
@@ -241,7 +254,7 @@ def _train(rows: pa.Table, vocabulary: dict[str, int], count: dict[int, int]) ->
     for step in range(1, MOST_ROUNDS + 1):
         loss, gradient = bags.loss(x)
         losses.append(loss)
-        if step > WINDOW and losses[-1 - WINDOW] - loss < SETTLED * abs(loss):
+        if step > WINDOW and losses[-1 - WINDOW] - loss < SETTLED * losses[0]:
             break
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2

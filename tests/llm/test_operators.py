@@ -677,7 +677,7 @@ def test_scores_and_gradient_equal_plain_python(spark):
     names = sorted({f for w in words for f in toxicity.features(w)})[::2]
     vocabulary, labels = {f: i for i, f in enumerate(names)}, [int("idiot" in t or rng.random() < 0.1) for t in texts]
     rows = [(y, *toxicity.sentence_kinds(t, vocabulary)) for y, t in zip(labels, texts)]
-    table = pa.table({n: pa.array(list(c), k) for n, c, k in zip(("toxic", "empty", "times", "lengths", "found"), zip(*rows), (pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3))})
+    table = pa.table({n: pa.array(list(c), k) for n, c, k in zip(("toxic", "empty", "times", "kinds"), zip(*rows), (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())))})
     count = {1: 30, 0: 900}
     bags = toxicity.Bags.of(table, count)
     for _ in range(5):
