@@ -9,6 +9,10 @@ Exploded n-grams are distinct within a group of documents before they move, so
 a frequent n-gram is one row per group and no key is hot. Rows of a group that
 go to the same range of hashes travel as one packed row (sorted hashes as byte
 planes, which compress), and the answer is just the counts in that order.
+
+Rows equal in id and text are in one group by their hash. Where some of them
+are more than a group may hold, equal rows are merged before they move, count
+as often as they are there, and are copied again at the end.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from quillmere.llm.fingerprint import words_of
 BACKOFF, LEAST_COUNT, ORDER = 0.4, 2, 2
 #: Bytes of text in a group of documents and behind a range of hashes. They bound what a task holds.
 GROUP_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+#: Copies of a merged row that one row of the plan stands for when they are written out.
+COPIES = 65_536
 _PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,6 +70,11 @@ def _distinct(ones: list[np.ndarray], order: int, inverse: bool):
     return np.unique(both, return_counts=not inverse, return_inverse=inverse)
 
 
+def _sizes(ones: list[np.ndarray], order: int) -> np.ndarray:
+    """How many n-grams of each order, by row, each document, by column, has."""
+    return np.array([[max(0, len(x) - k) for x in ones] for k in range(order)], np.int64)
+
+
 def _ranges(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """The ranges of hashes that sorted keys are in, and where each of these starts, and the end."""
     if ranges == 1 or not len(keys):
@@ -76,7 +87,11 @@ def _explode(groups: DataFrame, order: int, ranges: int) -> DataFrame:
     """(range, group, grams, counts): the distinct n-grams of each group, packed by range of hashes."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = _distinct(_hashes(table.column("text")), order, inverse=False)
+        ones, times = _hashes(table.column("text")), table.column("times").to_numpy()
+        keys, counts = _distinct(ones, order, inverse=bool((times > 1).any()))
+        if (times > 1).any():
+            counts = np.bincount(counts, np.repeat(np.tile(times, order), _sizes(ones, order).ravel()), len(keys))
+        kind = np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64
         own, edges = _ranges(keys, ranges)
         parts = list(zip(edges, edges[1:]))
         return pa.table(
@@ -84,7 +99,7 @@ def _explode(groups: DataFrame, order: int, ranges: int) -> DataFrame:
                 "range": pa.array(own, pa.int32()),
                 "group": pa.array([table.column("group")[0].as_py()] * len(own), pa.int32()),
                 "grams": pa.array([_planes(keys[a:b]) for a, b in parts], pa.binary()),
-                "counts": pa.array([_planes(counts[a:b].astype(np.uint32)) for a, b in parts], pa.binary()),
+                "counts": pa.array([_planes(counts[a:b].astype(kind)) for a, b in parts], pa.binary()),
             }
         )
 
@@ -97,7 +112,8 @@ def _join_counts(exploded: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         grams = [_unplaned(x, np.uint64) for x in table.column("grams").to_pylist()]
         keys, place = np.unique(np.concatenate(grams), return_inverse=True)
-        counts = np.concatenate([_unplaned(x, np.uint32) for x in table.column("counts").to_pylist()])
+        packed = zip(table.column("counts").to_pylist(), grams)
+        counts = np.concatenate([_unplaned(x, np.uint32 if len(x) == 4 * len(g) else np.uint64) for x, g in packed])
         found = np.bincount(place, counts, len(keys)).astype(np.uint64)[place]
         parts = np.split(found, np.cumsum([len(x) for x in grams])[:-1])
         return pa.table({"range": table.column("range"), "group": table.column("group"), "totals": pa.array([_planes(x) for x in parts], pa.binary())})
@@ -105,7 +121,7 @@ def _join_counts(exploded: DataFrame) -> DataFrame:
     return exploded.groupBy("range").applyInArrow(run, "range int, group int, totals binary")
 
 
-_SUMS = "doc_id long, n_words long, n_backed long, n_single long, log_sum double"
+_SUMS = "doc_id long, times long, n_words long, n_backed long, n_single long, log_sum double"
 
 
 def backoff_scores(known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +151,7 @@ def _sum(groups: DataFrame, totals: DataFrame, order: int) -> DataFrame:
             known = np.concatenate([_unplaned(parts[k], np.uint64) for k in rank]).astype(float)[place]
         else:
             known = np.empty(0)
-        sizes = np.array([[max(0, len(x) - k) for x in ones] for k in range(order)])
+        sizes = _sizes(ones, order)
         starts = np.r_[0, np.cumsum(sizes.ravel())[:-1]].reshape(sizes.shape) if sizes.size else sizes
         out = []
         for d, one in enumerate(ones):
@@ -147,11 +163,31 @@ def _sum(groups: DataFrame, totals: DataFrame, order: int) -> DataFrame:
         columns = zip(*out) if out else ([], [], [], [])
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         names = ("n_words", "n_backed", "n_single", "log_sum")
-        return pa.table({"doc_id": docs.column("doc_id"), **{n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds)}})
+        return pa.table({"doc_id": docs.column("doc_id"), "times": docs.column("times"), **{n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds)}})
 
     return groups.groupBy("group").cogroup(totals.groupBy("group")).applyInArrow(run, _SUMS)
 
 
+def _merged(rows: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(doc_id, text, times), the bytes of all texts, and whether equal rows are one: they are where some make up more than a group.
+
+    Only hashes and sizes move to find that out, combined before.
+    """
+    alike = rows.groupBy(F.xxhash64("doc_id", "text").alias("key")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"))
+    size, largest = alike.agg(F.sum("bytes"), F.max(F.when(F.col("n") > 1, F.col("bytes")))).first()
+    hot = (largest or 0) > GROUP_BYTES
+    if hot:
+        return rows.groupBy("doc_id", "text").agg(F.count("*").alias("times")), size, hot
+    return rows.withColumn("times", F.lit(1).cast("long")), size or 0, hot
+
+
+def _copied(sums: DataFrame) -> DataFrame:
+    """Every row as often as ``times`` says, dealt over tasks in parts of COPIES."""
+    parts = sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(times - 1) div {COPIES}").cast("int")))).repartition("doc_id", "part")
+    left = F.least(F.lit(COPIES).cast("long"), F.col("times") - F.col("part") * F.lit(COPIES))
+    return parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("part", "copy")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, n_backed, score): the mean log stupid-backoff score of each document under all documents.
 
@@ -167,11 +203,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     wanted = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows, size, hot = _merged(wanted.filter(worded))
     groups, ranges = max(1, -(-size // GROUP_BYTES)), max(1, -(-size // RANGE_BYTES))
-    dealt = wanted.filter(worded).withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     sums = cut(_sum(dealt, _join_counts(_explode(dealt, order, ranges)), order))
-    corpus = sums.agg(F.sum("n_words")).first()[0] or 1
+    corpus = sums.agg(F.sum(F.col("n_words") * F.col("times"))).first()[0] or 1
+    sums = _copied(sums) if hot else sums
     score = (F.col("log_sum") - F.col("n_single") * F.lit(float(np.log(corpus)))) / F.col("n_words")
     none = wanted.filter(~worded).select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("n_words", "n_backed")), F.lit(None).cast("double").alias("score"))
     return sums.select("doc_id", "n_words", "n_backed", score.alias("score")).unionByName(none)

@@ -401,6 +401,19 @@ def test_stupid_backoff(spark, odd, none, monkeypatch, order):
     assert ngramlm.score_documents(none, order=order).count() == 0
 
 
+@pytest.mark.parametrize("copies", [7, 65_536])
+def test_a_hot_row_counts_and_is_scored_as_often_as_it_is_there(spark, monkeypatch, copies):
+    """The same rows, merged or not; 20,000 of them are equal."""
+    rows = [(5, "the hot row is the row"), (None, "no id is the row")] * 10_000 + [(k, f"some row {k} of {k % 7}") for k in range(300)] + TEXTS[:7]
+    docs = documents(spark, rows)
+    one = sorted(map(str, ngramlm.score_documents(docs, order=3).collect()))
+    monkeypatch.setattr(ngramlm, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(ngramlm, "COPIES", copies)
+    merged, size, hot = ngramlm._merged(docs.filter("text IS NOT NULL").select("doc_id", "text"))
+    assert hot and size == sum(len((t or "").encode()) for _, t in rows) and merged.count() < 320
+    assert sorted(map(str, ngramlm.score_documents(docs, order=3).collect())) == one
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers
