@@ -19,6 +19,8 @@ LEGACY = {"gb18030": "gb18030", "shift_jis": "cp932", "big5": "big5", "windows-1
 
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
+#: What the codec makes of the four bytes that are none of Shift_JIS (A0, FD, FE, FF).
+_NO_SHIFT_JIS = re.compile("[\uf8f0-\uf8f3]")
 
 
 class Decoded(NamedTuple):
@@ -42,9 +44,10 @@ def plausibility(text: str) -> int:
 
 def _strict(data: bytes, codec: str) -> str | None:
     try:
-        return data.decode(codec, "quillmere-c1" if codec == "cp1252" else "strict")
+        text = data.decode(codec, "quillmere-c1" if codec == "cp1252" else "strict")
     except (UnicodeDecodeError, LookupError):
         return None
+    return None if codec == "cp932" and _NO_SHIFT_JIS.search(text) else text
 
 
 def decode(data: bytes, preferred: str | None = None) -> Decoded:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Digits of a score that count; products of matrices differ beyond them with the place of a row.
+DIGITS = 12
+
 
 def _double(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -46,8 +49,9 @@ def literal(vector: Sequence[float]) -> Column:
 def scored(rows: DataFrame, query: Sequence[float], vector_col: str = "vector", score_col: str = "score") -> DataFrame:
     """``rows`` of the query's dimension with their cosine; the vector column goes.
 
-    Scores come from one matrix product per Arrow batch. Rows without a vector
-    or of another dimension drop out before Python sees them.
+    Scores come from one matrix product per Arrow batch, rounded to ``DIGITS``
+    so that equal vectors tie wherever they lie. Rows without a vector or of
+    another dimension drop out before Python sees them.
     """
     wanted = np.asarray(query, float)
     norm = float(np.sqrt(wanted @ wanted))
@@ -59,7 +63,7 @@ def scored(rows: DataFrame, query: Sequence[float], vector_col: str = "vector",
             x = batch.column(batch.schema.get_field_index(vector_col)).flatten().to_numpy(zero_copy_only=False)
             x = x.astype(float).reshape(batch.num_rows, len(wanted))
             norms = np.sqrt((x * x).sum(axis=1)) * norm
-            score = np.divide(x @ wanted, norms, out=np.zeros(len(x)), where=norms > 0)
+            score = np.divide(x @ wanted, norms, out=np.zeros(len(x)), where=norms > 0).round(DIGITS)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(score)], names=[*kept, score_col])
 
     fitting = rows.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == len(wanted)) & ~F.exists(vector_col, lambda x: x.isNull()))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +20,25 @@ from quillmere.sources.models import Embedder, embedded
 MISSING, STOPPED = "the original file is missing", "stopped by user"
 
 
-def embedded_pieces(raw: DataFrame, config: Config, embedder: Embedder) -> DataFrame:
+def embedded_pieces(raw: DataFrame, config: Config, embedder: Embedder, counted: Callable[[int, int], None] | None = None) -> DataFrame:
     """Raw files as pieces with vectors: a row per chunk, and one without idx for a file that has none.
 
     Each row has the columns of its file, so that chunks and the state of files
     both follow from this one table: the caller writes it once, and every file
-    is read, and every text embedded, once.
+    is read, and every text embedded, once. ``counted`` is told, where the work
+    is done, of how many files and chunks it was.
     """
     texts = extracted(raw, strip_markup=config.stripMarkup)
     found = F.when(F.col("error").isNull(), chunked(F.col("text"), config.chunkSize, config.chunkOverlap))
     pieces = texts.withColumns({"pieces": found, "blank": trim(F.coalesce("text", F.lit(""))) == ""}).drop("text")
     rows = pieces.select(*(c for c in pieces.columns if c != "pieces"), F.posexplode_outer("pieces").alias("idx", "piece"))
-    return embedded(rows.select("*", F.col("piece.text").alias("text"), F.col("piece.heading").alias("heading")).drop("piece"), embedder)
+    rows = rows.select("*", F.col("piece.text").alias("text"), F.col("piece.heading").alias("heading")).drop("piece")
+
+    def told(batch: pa.RecordBatch) -> None:
+        idx = batch.column(batch.schema.get_field_index("idx"))
+        counted(pc.sum(pc.equal(idx.fill_null(0), 0)).as_py() or 0, len(idx) - idx.null_count)
+
+    return embedded(rows, embedder, told=told if counted else None)
 
 
 def index_pieces(pieces: DataFrame, model: str, now: int) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,8 @@
 """Long operations: run at once or in the background under a job tag, watched, and cancelled by that tag.
 
-An operation is one distributed plan, not a loop over files. What can be seen
-of it while it runs are the tasks of its jobs, which come from Spark's status
-tracker when somebody asks.
+An operation goes through its files in batches, each one distributed plan. What
+tasks have done is added up by accumulators as they end, and is shown when
+somebody asks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import InheritableThread
 from pyspark.sql import SparkSession
@@ -24,22 +24,43 @@ class Stopped(RuntimeError):
     """The operation was cancelled."""
 
 
+class Counter:
+    """Files and chunks that tasks are through with; sent to executors, read by the driver.
+
+    A task that runs again counts again, so shares are cut to what there is.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.files, self.chunks = (spark.sparkContext.accumulator(0) for _ in range(2))
+
+    def add(self, files: int, chunks: int) -> None:
+        self.files.add(files)
+        self.chunks.add(chunks)
+
+
 @dataclass
 class Operation:
-    """``total`` and ``done`` count files; ``label`` says what it is about, ``current`` what it works on."""
+    """``total`` and ``done`` count files; ``label`` says what it is about, ``current`` what it works on; ``chunk_total`` is what is expected."""
 
     id: str
     kind: str
     kb_id: str | None
     label: str
     total: int
+    counter: Counter
     done: int = 0
+    chunk_total: int = 0
     current: str = ""
     finished: bool = False
     stopped: bool = False
     error: str | None = None
     started_at: float = 0.0
     finished_at: float | None = None
+    over: threading.Event = field(default_factory=threading.Event)
+
+    def seen(self) -> int:
+        """Files that tasks or whole batches are through with."""
+        return min(self.total, max(self.done, self.counter.files.value))
 
 
 class Operations:
@@ -48,25 +69,22 @@ class Operations:
     def __init__(self, spark: SparkSession, clock: Callable[[], float] = time.time):
         self.spark, self.clock = spark, clock
         self._all: dict[str, Operation] = {}
-        self._threads: dict[str, threading.Thread] = {}
         self._lock = threading.Lock()
 
-    def _new(self, kind: str, label: str, total: int, kb_id: str | None) -> Operation:
-        op = Operation(uuid.uuid4().hex, kind, kb_id, label, total, current=label, started_at=self.clock())
+    def _new(self, kind: str, label: str, total: int, kb_id: str | None, chunk_total: int = 0) -> Operation:
+        op = Operation(uuid.uuid4().hex, kind, kb_id, label, total, Counter(self.spark), chunk_total=chunk_total, current=label, started_at=self.clock())
         with self._lock:
             self._all[op.id] = op
         return op
 
-    def _work(self, op: Operation, work: Callable[[], object]) -> object:
-        """``work`` with its Spark jobs under the operation's tag and group."""
+    def _work(self, op: Operation, work: Callable[[Operation], object]) -> object:
+        """``work`` with its Spark jobs under the operation's tag."""
         context = self.spark.sparkContext
-        group = context.getLocalProperty("spark.jobGroup.id")
         context.addJobTag(op.id)
-        context.setLocalProperty("spark.jobGroup.id", op.id)
         try:
             if op.stopped:
                 raise Stopped("stopped by user")
-            found = work()
+            found = work(op)
             op.done = op.total
             return found
         except Exception as e:
@@ -76,10 +94,10 @@ class Operations:
             raise
         finally:
             context.removeJobTag(op.id)
-            context.setLocalProperty("spark.jobGroup.id", group)
             op.finished, op.finished_at = True, self.clock()
+            op.over.set()
 
-    def run(self, kind: str, label: str, total: int, work: Callable[[], object], kb_id: str | None = None) -> object:
+    def run(self, kind: str, label: str, total: int, work: Callable[[Operation], object], kb_id: str | None = None) -> object:
         """Do ``work`` now, watched and cancellable from other threads; gives what it gives, raises ``Stopped`` if cancelled."""
         op = self._new(kind, label, total, kb_id)
         try:
@@ -88,9 +106,9 @@ class Operations:
             with self._lock:
                 self._all.pop(op.id, None)
 
-    def start(self, kind: str, total: int, work: Callable[[], object], kb_id: str | None = None, label: str = "") -> str:
+    def start(self, kind: str, total: int, work: Callable[[Operation], object], kb_id: str | None = None, label: str = "", chunk_total: int = 0) -> str:
         """Do ``work`` in a thread; returns the operation's id at once."""
-        op = self._new(kind, label or kind, total, kb_id)
+        op = self._new(kind, label or kind, total, kb_id, chunk_total)
 
         def run():
             try:
@@ -98,35 +116,33 @@ class Operations:
             except Exception:  # noqa: BLE001  kept in the operation: nobody waits here
                 pass
 
-        thread = self._threads[op.id] = InheritableThread(target=run, daemon=True, session=self.spark)
-        thread.start()
+        InheritableThread(target=run, daemon=True, session=self.spark).start()
         return op.id
 
-    def _tasks(self, op: Operation) -> tuple[int, int]:
-        """(done, all) tasks of the stages that the operation's jobs have come to."""
-        tracker = self.spark.sparkContext.statusTracker()
-        jobs = filter(None, map(tracker.getJobInfo, tracker.getJobIdsForGroup(op.id)))
-        stages = [s for j in jobs for k in j.stageIds if (s := tracker.getStageInfo(k))]
-        return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)
+    def without_tag(self, op: Operation, work: Callable[[], object]) -> object:
+        """``work`` outside an operation that may be cancelled, whose tag would cancel it too."""
+        context = self.spark.sparkContext
+        context.removeJobTag(op.id)
+        try:
+            return work()
+        finally:
+            context.addJobTag(op.id)
 
     def view(self, op: Operation) -> dict:
-        """What is shown of an operation. Chunk counts are tasks of its plan, since chunks are known only when they are made."""
-        chunk_done, chunk_total = (0, 0) if op.finished else self._tasks(op)
-        part = chunk_done / chunk_total if chunk_total else 0.0
-        progress = 1.0 if op.finished else min(1.0, (op.done + part * op.total) / op.total) if op.total else min(1.0, part)
+        """What is shown of an operation."""
+        done, chunks = op.seen(), op.counter.chunks.value
         return {
-            "id": op.id, "kind": op.kind, "kbId": op.kb_id, "label": op.label, "total": op.total, "done": op.done, "current": op.current,
-            "chunkTotal": chunk_total, "chunkDone": chunk_done, "progress": progress, "startedAt": int(1000 * op.started_at),
+            "id": op.id, "kind": op.kind, "kbId": op.kb_id, "label": op.label, "total": op.total, "done": done, "current": op.current,
+            "chunkTotal": max(op.chunk_total, chunks), "chunkDone": chunks,
+            "progress": 1.0 if op.finished or not op.total else done / op.total, "startedAt": int(1000 * op.started_at),
             "finished": op.finished, "failed": op.stopped or op.error is not None, "error": op.error,
         }
 
     def active(self) -> list[dict]:
         """What runs, and what ended a short while ago."""
         with self._lock:
-            old = [k for k, o in self._all.items() if o.finished and self.clock() - o.finished_at > KEPT_SECONDS]
-            for k in old:
+            for k in [k for k, o in self._all.items() if o.finished and self.clock() - o.finished_at > KEPT_SECONDS]:
                 self._all.pop(k)
-                self._threads.pop(k, None)
             now = list(self._all.values())
         return [self.view(o) for o in now]
 
@@ -138,9 +154,8 @@ class Operations:
         op.stopped = True
 
         def cancel():
-            while not op.finished:
+            while not op.over.wait(0.2):
                 self.spark.sparkContext.cancelJobsWithTag(op.id)
-                time.sleep(0.2)
 
         threading.Thread(target=cancel, daemon=True).start()
         return True
@@ -149,6 +164,6 @@ class Operations:
         return sum(self.stop(k) for k in list(self._all))
 
     def wait(self, operation_id: str, seconds: float | None = None) -> None:
-        thread = self._threads.get(operation_id)
-        if thread is not None:
-            thread.join(seconds)
+        op = self._all.get(operation_id)
+        if op is not None:
+            op.over.wait(seconds)

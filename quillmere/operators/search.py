@@ -1,8 +1,13 @@
-"""Scoped retrieval: candidates, cosine top-k, rerank."""
+"""Scoped retrieval: candidates, cosine top-k, rerank.
+
+What is scored are vectors and ids alone. Texts, headings and names are fetched
+for the rows that are left, by their ids.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +18,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmere.config import candidate_budget
-from quillmere.functions.vectors import scored, top_k
+from quillmere.functions.vectors import DIGITS, scored, top_k
 from quillmere.operators.catalog import workspace_bases
+from quillmere.sources.checkpoint import cut
 from quillmere.sources.models import Embedder, Reranker, embed_texts
 
-#: Queries and chunks of a block when many questions are asked at once.
-QUERY_BLOCK, CHUNK_BLOCK = 1024, 4096
+#: Questions of a block when many are asked at once.
+QUERY_BLOCK = 1024
 #: Columns of a hit before it is scored.
 _HIT = ("chunk_id", "file_id", "kb_id", "file_name", "kb_name", "text", "idx", "heading")
 
@@ -53,42 +59,79 @@ def nearest(found: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     return top_k(scored(found, query), k, "idx", "chunk_id")
 
 
+def recall(chunks: DataFrame, bases: DataFrame, files: DataFrame, query: Sequence[float], k: int, cap: int | None = None) -> DataFrame:
+    """(chunk_id, file_id, kb_id, idx, score) of the k nearest chunks whose file and base are there.
+
+    Only ids, places and vectors are read; ``cap`` is that of ``candidates``.
+    """
+    found = (
+        chunks.filter(F.col("vector").isNotNull())
+        .select(F.col("id").alias("chunk_id"), "file_id", "kb_id", "idx", "vector")
+        .join(bases.select(F.col("id").alias("kb_id")), "kb_id", "left_semi")
+        .join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    )
+    return nearest(found if cap is None else found.orderBy("idx", "chunk_id").limit(max(1, cap)), query, k)
+
+
+def described(hits: DataFrame, chunks: DataFrame, bases: DataFrame, files: DataFrame, texts: Callable[[list], DataFrame] | None = None) -> DataFrame:
+    """The columns of a hit and ``ordinal`` for the rows of a recall, whose number the caller has bounded.
+
+    ``texts`` gives the chunks to look in for some rows; by default it is all of
+    ``chunks``. Either way ids and bases reach the scan as literals.
+    """
+    rows = hits.collect()  # as many as were recalled
+    some = lambda c: sorted({r[c] for r in rows})
+    local = hits.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(rows)], f"ordinal int, {hits.schema.simpleString()[7:-1]}")
+    known = (texts(rows) if texts and rows else chunks).filter(F.col("kb_id").isin(some("kb_id")) & F.col("id").isin(some("chunk_id")))
+    return (
+        local.join(known.select(F.col("id").alias("chunk_id"), "text", "heading"), "chunk_id")
+        .join(bases.filter(F.col("id").isin(some("kb_id"))).select(F.col("id").alias("kb_id"), F.col("name").alias("kb_name")), "kb_id")
+        .join(files.filter(F.col("id").isin(some("file_id"))).select(F.col("id").alias("file_id"), F.col("name").alias("file_name")), "file_id")
+        .select("ordinal", *_HIT, "score")
+    )
+
+
 def batch_nearest(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, chunk_id, score) for a stated set of queries (query_id, vector) against all chunks.
 
-    Up to ``QUERY_BLOCK`` queries are broadcast: no chunk vector moves, each
-    Arrow batch of chunks keeps k rows per query, and those are ranked. More
-    queries are dealt into blocks, and so are the chunks; every pair of blocks
-    is one matrix product that keeps k rows per query. Vectors of another
-    dimension, or with a null, meet nothing; ties go by chunk id.
+    Queries are broadcast, a block of about ``QUERY_BLOCK`` at a time: no chunk
+    vector moves, each Arrow batch of chunks keeps k rows per query, and those
+    are ranked. Where there are several blocks, each has its own scan of the
+    chunks, whose result is written before the next block is sent, so that the
+    driver and the executors hold one block at once. Vectors of another
+    dimension, or with a null, meet nothing; ties go by chunk id; a query that
+    repeats is asked once.
     """
     whole = lambda df, key, vector: df.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(
         F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim")
     )
-    asked, stored = whole(queries, "query_id", "vector"), whole(chunks, "id", "vector")
+    asked, stored = whole(queries, "query_id", "vector").dropDuplicates(["key", "v"]), whole(chunks, "id", "vector")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    if blocks == 1:
+        return _against_all(asked, stored, k)
+    of_block = F.pmod(F.xxhash64("key", "v"), F.lit(blocks))
+    found = [cut(_against_all(asked.filter(of_block == n), stored, k)) for n in range(blocks)]
+    return _ranked(reduce(DataFrame.unionByName, found), k)  # a query with several vectors may lie in several blocks
+
+
+def _against_all(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """A block of queries, which the caller has bounded, against all chunks."""
     kinds = [dict(df.dtypes)["key"] for df in (asked, stored)]
     ddl = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
-    some = asked.limit(QUERY_BLOCK + 1).toArrow()
-    if some.num_rows <= QUERY_BLOCK:
-        shared = stored.sparkSession.sparkContext.broadcast(some)  # QUERY_BLOCK vectors
-
-        def against_all(batches):
-            dims = np.asarray(shared.value["dim"])
-            for batch in batches:
-                rows = pa.Table.from_batches([batch])
-                for dim in np.unique(np.asarray(rows["dim"])):
-                    yield from _best(shared.value.filter(pa.array(dims == dim)), rows.filter(pc.equal(rows["dim"], int(dim))), k, schema).to_batches()
-
-        found = stored.mapInArrow(against_all, ddl)
-    else:
-        n_asked, n_stored = -(-asked.count() // QUERY_BLOCK), max(1, -(-stored.count() // CHUNK_BLOCK))
-        own = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        a = asked.select("key", "v", "dim", own(n_asked).alias("a"), every(n_stored).alias("b"))
-        b = stored.select("key", "v", "dim", every(n_asked).alias("a"), own(n_stored).alias("b"))
-        blocks = a.groupBy("dim", "a", "b").cogroup(b.groupBy("dim", "a", "b"))
-        found = blocks.applyInArrow(lambda left, right: _best(left, right, k, schema), T.StructType.fromDDL(ddl))
+    shared = stored.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def run(batches):
+        dims = np.asarray(shared.value["dim"])
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for dim in np.unique(np.asarray(rows["dim"])):
+                yield from _best(shared.value.filter(pa.array(dims == dim)), rows.filter(pc.equal(rows["dim"], int(dim))), k, schema).to_batches()
+
+    return _ranked(stored.mapInArrow(run, ddl), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
@@ -101,7 +144,7 @@ def _best(left: pa.Table, right: pa.Table, k: int, schema: pa.Schema) -> pa.Tabl
         x, y = _unit_rows(left), _unit_rows(right)
         keep = min(k, len(y))
         for at in range(0, len(x), 64):
-            score = x[at : at + 64] @ y.T
+            score = (x[at : at + 64] @ y.T).round(DIGITS)
             best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
             who = np.repeat(np.arange(at, at + len(score)), keep)
             rows.append(pa.table([left["key"].take(pa.array(who)), right["key"].take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, 1).ravel())], schema=schema))
@@ -138,26 +181,29 @@ def search(
     reranker: Reranker | None = None,
     candidate_k: int | None = None,
     cap: int | None = None,
+    texts: Callable[[list], DataFrame] | None = None,
 ) -> DataFrame:
     """Hits of a question. A blank question has none, and then no model is asked.
 
     With a reranker, the recalled candidates (80 at most for the highest
-    ``top``) are sent to it; if it fails, their order by cosine stands.
+    ``top``) are sent to it; if it fails, their order by cosine stands. ``texts``
+    is that of ``described``.
     """
-    chunks = in_scope(tables["chunks"], tables["mounts"], kb_ids, workspace_id)
-    found = candidates(chunks, tables["bases"], tables["files"], cap)
+    chunks, bases, files = (tables[x] for x in ("chunks", "bases", "files"))
+    none = F.lit(None).cast("double").alias("rerank_score")
     if not query.strip():
-        return found.drop("vector").withColumns({"score": F.lit(0.0), "rerank_score": F.lit(None).cast("double")}).limit(0)
+        return candidates(chunks, bases, files).select(*_HIT, F.lit(0.0).alias("score"), none).limit(0)
     vector = embed_texts(embedder, [query])[0]
-    hits = nearest(found, vector, candidate_budget(top, candidate_k))
-    none = F.lit(None).cast("double").alias("rerank_score")
+    budget = candidate_budget(top, candidate_k)
+    nearby = recall(in_scope(chunks, tables["mounts"], kb_ids, workspace_id), bases, files, vector, budget if reranker else min(top, budget), cap)
+    hits = described(nearby, chunks, bases, files, texts)
     if reranker is None:
-        return hits.select(*_HIT, "score", none).orderBy(F.desc("score"), "idx", "chunk_id").limit(top)
-    rows = hits.collect()  # candidate_budget rows
-    spark = found.sparkSession
-    local = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], f"ordinal int, {hits.schema.simpleString()[7:-1]}")
+        return hits.orderBy("ordinal").select(*_HIT, "score", none)
+    rows = hits.orderBy("ordinal").collect()  # candidate_budget rows
+    spark = chunks.sparkSession
+    local = spark.createDataFrame(rows, hits.schema)
     try:
-        ranking = [(int(i), float(s)) for i, s in reranker.rank(query, [r.text for r in rows])] if rows else []
+        ranking = [(int(rows[int(i)].ordinal), float(s)) for i, s in reranker.rank(query, [r.text for r in rows]) if 0 <= int(i) < len(rows)] if rows else []
     except Exception:  # noqa: BLE001  a failing reranker degrades to cosine
         ranking = []
     merged = rerank_merge(local, spark.createDataFrame(ranking, "index int, relevance double"), top)

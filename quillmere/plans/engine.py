@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
@@ -14,17 +13,23 @@ from pyspark.sql import functions as F
 from quillmere.config import Config
 from quillmere.operators import catalog, search
 from quillmere.operators.ingest import MISSING, STOPPED, embedded_pieces, index_pieces, waiting_files
-from quillmere.operators.operations import Operations, Stopped
-from quillmere.schemas import BASES, TABLES
+from quillmere.operators.operations import Operation, Operations, Stopped
+from quillmere.schemas import BASES, KEYS, MOUNTS
 from quillmere.sources.files import raw_rows, read_files
 from quillmere.sources.models import Embedder, HttpEmbedder, HttpReranker, Reranker, probe
 from quillmere.sources.store import TableStore
 
-RAW = "kb_id string, file_id string, name string, ext string, rel_path string, size long, content binary"
+#: Files of a batch that is indexed and committed at once, but no more batches than a base has buckets.
+BATCH_FILES = 500
 
 
 class KnowledgeEngine:
-    """One warehouse. ``clock`` gives milliseconds; models default to those of the configuration, over HTTP."""
+    """One warehouse. ``clock`` gives milliseconds; models default to those of the configuration, over HTTP.
+
+    Files are indexed in batches of whole buckets. Each batch is one plan and is
+    committed when it is through, so stopping leaves the files of earlier
+    batches ready and fails only those in hand.
+    """
 
     def __init__(
         self,
@@ -34,9 +39,10 @@ class KnowledgeEngine:
         reranker: Reranker | None = None,
         workspaces: Iterable[dict] = (),
         clock: Callable[[], int] = lambda: int(time.time() * 1000),
+        batch_files: int = BATCH_FILES,
     ):
-        self.spark, self.clock = spark, clock
-        self.store = TableStore(spark, root, {**TABLES, "raw": RAW})
+        self.spark, self.clock, self.batch_files = spark, clock, batch_files
+        self.store = TableStore(spark, root)
         self.workspaces = [dict(w) for w in workspaces]
         self._embedder, self._reranker = embedder, reranker
         self.operations = Operations(spark)
@@ -52,10 +58,16 @@ class KnowledgeEngine:
         return Config.merged(row.json if row else None)
 
     def save_config(self, patch: dict) -> Config:
-        row = self.store.read("settings").filter("id = 1").first()
-        merged = Config.merged(row.json if row else None, patch).checked()
-        self.store.write("settings", self.spark.createDataFrame([(1, merged.to_json())], "id int, json string"))
-        return merged
+        """Put values into the configuration, whatever others put there meanwhile."""
+        merged: list[Config] = []
+
+        def change(stored: DataFrame) -> DataFrame:
+            row = stored.filter("id = 1").first()
+            merged.append(Config.merged(row.json if row else None, patch).checked())
+            return self.spark.createDataFrame([(1, merged[-1].to_json())], "id int, json string")
+
+        self.store.rewrite("settings", change)
+        return merged[-1]
 
     def embedder(self) -> Embedder:
         config = self.get_config()
@@ -84,41 +96,52 @@ class KnowledgeEngine:
         t = self.store.tables()
         return catalog.with_counts(t["bases"], t["files"], t["chunks"])
 
-    def base(self, kb_id: str) -> DataFrame:
-        t = self.store.tables()
-        return catalog.base_by_id(t["bases"], t["files"], t["chunks"], kb_id)
-
     def delete_base(self, kb_id: str) -> None:
-        """The base and all that belongs to it; only fragments that hold rows of it are written anew."""
-        gone = self._ids([kb_id])
-        for name, key in (("chunks", "kb_id"), ("files", "kb_id"), ("mounts", "kb_id"), ("bases", "id"), ("raw", "kb_id")):
-            self.store.replace(name, key, gone)
+        """The base and all that belongs to it. Its row goes last, so that one who was interrupted can ask again."""
+        for name in KEYS:
+            self.store.drop_base(name, kb_id)
+        for name, key in (("mounts", "kb_id"), ("bases", "id")):
+            self.store.replace(name, key, self._ids([kb_id]))
+
+    def clean_up(self, older_than: float = 86_400) -> list[str]:
+        """Remove what imports that died have left, unchanged for so many seconds, and rows of bases that are gone; gives their paths or ids."""
+        there = {r.id for r in self.store.read("bases").select("id").collect()}  # a row per base
+        gone = sorted(set().union(*(self.store.bases(name) for name in KEYS)) - there)
+        for kb_id in gone:
+            self.delete_base(kb_id)
+        return self.store.clean(older_than) + gone
 
     def _ids(self, ids: Iterable[str]) -> DataFrame:
         return self.spark.createDataFrame([(x,) for x in ids], "id string")
 
     def files(self, kb_id: str) -> DataFrame:
-        return catalog.files_of_base(self.store.read("files"), kb_id)
+        return catalog.files_of_base(self.store.read("files", [kb_id]), kb_id)
+
+    def base(self, kb_id: str) -> DataFrame:
+        return catalog.base_by_id(self.store.read("bases"), self.store.read("files", [kb_id]), self.store.read("chunks", [kb_id]), kb_id)
 
     def delete_file(self, file_id: str) -> None:
-        """The file, its bytes and chunks; only fragments that hold them are written anew."""
-        gone = self._ids([file_id])
-        for name, key in (("raw", "file_id"), ("chunks", "file_id"), ("files", "id")):
-            self.store.replace(name, key, gone)
+        """The file, its bytes and chunks; in each table only the parts of its bucket that hold it are written anew."""
+        known = self.store.read("files", keys=[file_id]).select("kb_id").first()
+        for name, key in KEYS.items():  # files last, so that one who was interrupted can ask again
+            self.store.replace(name, key, self._ids([file_id]), kb_ids=[known.kb_id] if known else None)
 
     def read_file_bytes(self, rel_path: str) -> bytes | None:
-        row = self.store.read("raw").filter(F.col("rel_path") == rel_path).select("content").first() if rel_path else None
+        """The bytes kept for a file; only its bucket is read."""
+        place = rel_path.split("/") if rel_path else []
+        if len(place) < 3:
+            return None
+        row = self.store.read("raw", [place[0]], [place[1]]).filter(F.col("rel_path") == rel_path).select("content").first()
         return bytes(row.content) if row else None
 
     def set_mount(self, kb_id: str, workspace_id: str, enabled: bool = True, note: str = "") -> DataFrame:
         """Switch a base on or off for a workspace; gives the mount's row."""
-        mounts = self.store.read("mounts")
-        new = self.spark.createDataFrame([(kb_id, workspace_id, enabled, note, self.clock())], mounts.schema)
-        self.store.write("mounts", catalog.set_mounts(mounts, new))
+        new = self.spark.createDataFrame([(kb_id, workspace_id, enabled, note, self.clock())], MOUNTS)
+        self.store.rewrite("mounts", lambda mounts: catalog.set_mounts(mounts, new))
         return self.store.read("mounts").filter((F.col("kb_id") == kb_id) & (F.col("workspace_id") == workspace_id))
 
     def delete_mount(self, kb_id: str, workspace_id: str) -> None:
-        self.store.write("mounts", catalog.delete_mount(self.store.read("mounts"), kb_id, workspace_id))
+        self.store.rewrite("mounts", lambda mounts: catalog.delete_mount(mounts, kb_id, workspace_id))
 
     def mounts(self) -> DataFrame:
         return self.store.read("mounts")
@@ -129,103 +152,128 @@ class KnowledgeEngine:
     # import and re-embedding
 
     def import_folder(self, kb_id: str, path: str, pattern: str = "*") -> DataFrame:
-        """Import every file under a folder as one plan; gives the files' rows. A broken file is a failed row."""
-        files = read_files(self.spark, path, pattern)
-        return self._tracked(kb_id, path, files.select("path").count(), raw_rows(files, kb_id))
+        """Import every file under a folder; gives the files' rows. A broken file is a failed row."""
+        return self.import_rows(kb_id, raw_rows(read_files(self.spark, path, pattern), kb_id), path)
 
     def import_file(self, kb_id: str, name: str, content: bytes) -> DataFrame:
         """Import one file from memory; gives its row. Empty bytes are an error of the caller."""
         if not content:
             raise ValueError("empty upload")
         files = self.spark.createDataFrame([(f"{uuid.uuid4()}/{name}", name, len(content), content)], "path string, name string, size long, content binary")
-        return self._tracked(kb_id, name, 1, raw_rows(files, kb_id))
+        return self.import_rows(kb_id, raw_rows(files, kb_id), name)
 
-    def _tracked(self, kb_id: str, label: str, total: int, raw: DataFrame) -> DataFrame:
-        """An import as an operation that can be watched and stopped; files of a stopped one have failed."""
-        try:
-            return self.operations.run("import", label, total, lambda: self.import_rows(kb_id, raw), kb_id)
-        except Stopped:
-            return self.store.read("files").join(raw.select(F.col("file_id").alias("id")), "id", "left_semi")
+    def import_rows(self, kb_id: str, raw: DataFrame, label: str = "import") -> DataFrame:
+        """Keep raw files and index them, as an operation that can be watched and stopped; gives the files' rows.
 
-    def import_rows(self, kb_id: str, raw: DataFrame) -> DataFrame:
-        """Keep raw files and index them. They are ``indexing`` until they are ready or have failed."""
+        Files are ``indexing`` until they are ready or have failed; where the
+        import is stopped, those that aren't ready have failed.
+        """
         if self.store.read("bases").filter(F.col("id") == kb_id).isEmpty():
             raise ValueError(f"there is no base {kb_id}")
-        raw = raw.select(*self.store.read("raw").columns)
-        self.store.replace("raw", "file_id", raw.select("file_id"), raw)
-        ids = raw.select("file_id")
-        waiting = waiting_files(raw, "indexing", self.clock())
-        self.store.replace("files", "id", ids, self._created(waiting))
-        return self._index(self.store.read("raw").join(ids, "file_id", "left_semi"), ids, keep_old=False)
-
-    def _created(self, rows: DataFrame) -> DataFrame:
+        ids = raw.select(F.col("file_id").alias("id"))
+        try:
+            self.operations.run("import", label, ids.count(), lambda op: self._import(op, kb_id, raw), kb_id)
+        except Stopped:
+            pass
+        return self.store.read("files", [kb_id]).join(ids, "id", "left_semi")
+
+    def _import(self, op: Operation, kb_id: str, raw: DataFrame) -> None:
+        """Bytes are written once and read again from just the parts that were written."""
+        parts = self.store.replace("raw", "file_id", raw.select("file_id"), raw, [kb_id], merge=False)
+        kept = self.store.rows("raw", parts)
+        waiting = waiting_files(kept, "indexing", self.clock())
+        self.store.replace("files", "id", waiting.select("id"), self._created(waiting, [kb_id]), [kb_id])
+        rest = self.store.buckets_in(parts)
+        try:
+            for some in self._batches(rest, op.total):
+                self._index(op, kept.filter(F.col("bucket").isin(some)), [kb_id], some, keep_old=False)
+                rest = [x for x in rest if x not in some]
+        except Exception as e:
+            reason = STOPPED if op.stopped else str(e)[:400]
+            left = self.store.rows("raw", parts).filter(F.col("bucket").isin(rest)).select(F.col("file_id").alias("id"))
+            self.operations.without_tag(op, lambda: self._fail(left, reason, "indexing"))
+            raise
+        finally:
+            self.operations.without_tag(op, lambda: self.store.merge("raw", parts))
+
+    def _batches(self, buckets: list[int], files: int) -> list[list[int]]:
+        """Buckets in batches of about so many files."""
+        n = max(1, min(len(buckets), -(-files // self.batch_files)))
+        return [buckets[k::n] for k in range(n)]
+
+    def _created(self, rows: DataFrame, kb_ids: list[str] | None, buckets: list[int] | None = None) -> DataFrame:
         """``rows`` of files with the time of creation that the table has for them."""
-        known = self.store.read("files")
+        known = self.store.read("files", kb_ids, buckets=buckets)
         created = known.select("id", F.col("created_at").alias("_created"))
         return rows.join(created, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at")).select(*known.columns)
 
-    def _index(self, raw: DataFrame, ids: DataFrame, keep_old: bool) -> DataFrame:
-        """Index raw files. Every file is read and every text embedded once: the pieces are written, then both tables made from them.
+    def _index(self, op: Operation, raw: DataFrame, kb_ids: list[str] | None, buckets: list[int], keep_old: bool) -> None:
+        """Index a batch of raw files. Every file is read and every text embedded once: the pieces are written, then both tables made from them.
 
-        With ``keep_old``, a file that fails again keeps the chunks it has.
+        With ``keep_old``, a file that fails again keeps the chunks it has. Once
+        the chunks of the batch are in their table, its files follow even if the
+        operation is stopped.
         """
-        ids, staged = ids.toDF("id"), None
+        ids, staged, finish = raw.select(F.col("file_id").alias("id")), None, None
         try:
             embedder = self.embedder()
-            pieces, staged = self.store.staged(embedded_pieces(raw, self.get_config().checked(), embedder))
+            pieces, staged = self.store.staged(embedded_pieces(raw.drop("bucket"), self.get_config().checked(), embedder, op.counter.add))
             files, chunks = index_pieces(pieces, embedder.name, self.clock())
             gone = files.filter("status = 'ready'").select("id") if keep_old else files.select("id")
-            self.store.replace("chunks", "file_id", gone, chunks)
-            self.store.replace("files", "id", files.select("id"), self._created(files))
+            self.store.replace("chunks", "file_id", gone, chunks, kb_ids)
+            finish = lambda: self.store.replace("files", "id", files.select("id"), self._created(files, kb_ids, buckets), kb_ids)
+            finish()
+            op.done = min(op.total, op.done + ids.count())
         except Exception as e:
-            stopped = "cancelled" in str(e).lower() or "canceled" in str(e).lower()
-            self._without_tag(lambda: self._fail(ids, STOPPED if stopped else str(e)[:400]))
+            reason = STOPPED if op.stopped else str(e)[:400]
+            self.operations.without_tag(op, finish or (lambda: self._fail(ids, reason)))
             raise
         finally:
             if staged:
                 self.store.delete(staged)
-        return self.store.read("files").join(ids, "id", "left_semi")
 
-    def _without_tag(self, work: Callable[[], None]) -> None:
-        """``work`` outside the operation that was cancelled, whose tag would cancel it too."""
-        thread = threading.Thread(target=work)
-        thread.start()
-        thread.join()
-
-    def _fail(self, ids: DataFrame, reason: str) -> None:
-        """Mark files as failed; their chunks stay."""
-        known = self.store.read("files")
-        patch = ids.select("id", F.lit("failed").alias("status"), F.lit(reason).alias("error")).join(known.select("id"), "id", "left_semi")
-        marked = catalog.patch_files(known.join(ids, "id", "left_semi"), patch, self.clock())
-        self.store.replace("files", "id", ids, marked)
+    def _fail(self, ids: DataFrame, reason: str, only: str | None = None) -> None:
+        """Mark files as failed, or just those in one state; their chunks stay."""
+        known = self.store.read("files").join(ids.select("id").distinct(), "id", "left_semi")
+        known = known if only is None else known.filter(F.col("status") == only)
+        patch = known.select("id", F.lit("failed").alias("status"), F.lit(reason).alias("error"))
+        self.store.replace("files", "id", known.select("id"), catalog.patch_files(known, patch, self.clock()))
 
     def reindex(self, kb_id: str | None = None) -> str:
-        """Embed all files of a base, or of all bases, again: one distributed job under a tag; gives the operation's id."""
-        files = self.store.read("files")
-        files = files if kb_id is None else files.filter(F.col("kb_id") == kb_id)
+        """Embed all files of a base, or of all bases, again, in batches under a tag; gives the operation's id."""
+        scope = None if kb_id is None else [kb_id]
+        files = self.store.read("files", scope)
         kind, label = ("reindex-all", "all bases") if kb_id is None else ("reindex-base", kb_id)
-        return self.operations.start(kind, files.count(), lambda: self._reindex(files), kb_id, label)
-
-    def _reindex(self, files: DataFrame) -> DataFrame:
-        """Files whose bytes are gone fail; of the others only ids meet the raw table before their bytes are read."""
-        ids, raw = files.select(F.col("id")), self.store.read("raw")
-        missing = ids.join(raw.select(F.col("file_id").alias("id")), "id", "left_anti")
-        if not missing.isEmpty():
-            self._fail(missing, MISSING)
-        return self._index(raw.join(ids.toDF("file_id"), "file_id", "left_semi"), ids, keep_old=True)
+        total, chunks = files.agg(F.count("*"), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
+        return self.operations.start(kind, total, lambda op: self._reindex(op, scope), kb_id, label, chunks)
+
+    def _reindex(self, op: Operation, scope: list[str] | None, keys: list[str] | None = None) -> None:
+        """Batches of buckets; in each only its own folders of the raw table are read. Files whose bytes are gone fail."""
+        now = self.store.snapshot("files")
+        buckets = self.store.buckets_of(keys, now.buckets) if keys else self.store.buckets_in(now.parts)
+        for some in self._batches(buckets, op.total):
+            files = self.store.read("files", scope, keys, some).select("id")
+            raw = self.store.read("raw", scope, keys, some)
+            missing = files.join(raw.select(F.col("file_id").alias("id")), "id", "left_anti")
+            if not missing.isEmpty():
+                self._fail(missing, MISSING)
+            self._index(op, raw.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi"), scope, some, keep_old=True)
 
     def reembed_file(self, file_id: str) -> DataFrame | None:
-        """Embed one file again; None if there is no such file, or its bytes are gone and it has failed."""
-        file = self.store.read("files").filter(F.col("id") == file_id)
-        if file.isEmpty():
+        """Embed one file again; None if there is no such file, or its bytes are gone and it has failed. Only its bucket is read."""
+        known = self.store.read("files", keys=[file_id]).select("kb_id").first()
+        if known is None:
             return None
-        self._reindex(file)
-        row = self.store.read("files").filter(F.col("id") == file_id)
+        self.operations.run("reindex-file", file_id, 1, lambda op: self._reindex(op, [known.kb_id], [file_id]), known.kb_id)
+        row = self.store.read("files", [known.kb_id], [file_id])
         return None if row.filter(F.col("error") == MISSING).count() else row
 
     # search
 
     def search(self, query: str, kb_ids=None, workspace_id=None, top_k: int | None = None, use_rerank: bool = True, candidate_k: int | None = None) -> DataFrame:
+        """Hits of a question. Chunks of other bases are not opened, and texts are read from the buckets of the hits' files."""
         top = top_k if top_k is not None else self.get_config().defaultTopK
         model = self.reranker() if use_rerank else None
-        return search.search(query, self.store.tables(), self.embedder() if query.strip() else None, top, kb_ids, workspace_id, model, candidate_k)
+        tables = {x: self.store.read(x) for x in ("bases", "mounts", "files")} | {"chunks": self.store.read("chunks", kb_ids or None)}
+        texts = lambda hits: self.store.read("chunks", {h.kb_id for h in hits}, {h.file_id for h in hits})
+        return search.search(query, tables, self.embedder() if query.strip() else None, top, kb_ids, workspace_id, model, candidate_k, texts=texts)

@@ -86,7 +86,10 @@ def _vector(spark, d) -> list[float]:
     return list(_read(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0])
 
 
-def _hits(df: DataFrame) -> DataFrame:
+def _searched(spark, d, chunks: DataFrame) -> DataFrame:
+    """The 20 nearest chunks: recalled by ids and vectors, then described."""
+    bases, files = _bases(spark, d), _files(spark, d)
+    df = search.described(search.recall(chunks, bases, files, _vector(spark, d), 20), chunks, bases, files)
     return df.select("chunk_id", "file_id", "kb_id", "file_name", "kb_name", "text", "idx", F.round("score", 6).alias("score"))
 
 
@@ -128,20 +131,17 @@ def vector_blobs(spark, d):
 
 @query(f"WITH {_FOUND} SELECT {_HIT} FROM found WHERE kb_id IN (1, 4) ORDER BY found.score DESC, idx, chunk_id LIMIT 20")
 def scoped_search_kb(spark, d):
-    found = search.candidates(search.in_scope(_chunks(spark, d), kb_ids=[1, 4]), _bases(spark, d), _files(spark, d))
-    return _hits(search.nearest(found, _vector(spark, d), 20))
+    return _searched(spark, d, search.in_scope(_chunks(spark, d), kb_ids=[1, 4]))
 
 
 @query(f"WITH {_FOUND} SELECT {_HIT} FROM found WHERE kb_id IN (SELECT kb_id FROM {_MOUNTS} WHERE workspace_id = 'w1' AND enabled) ORDER BY found.score DESC, idx, chunk_id LIMIT 20")
 def scoped_search_workspace(spark, d):
-    found = search.candidates(search.in_scope(_chunks(spark, d), _mounts(spark, d), workspace_id="w1"), _bases(spark, d), _files(spark, d))
-    return _hits(search.nearest(found, _vector(spark, d), 20))
+    return _searched(spark, d, search.in_scope(_chunks(spark, d), _mounts(spark, d), workspace_id="w1"))
 
 
 @query(f"WITH {_FOUND} SELECT {_HIT} FROM found ORDER BY found.score DESC, idx, chunk_id LIMIT 20")
 def search_all(spark, d):
-    found = search.candidates(search.in_scope(_chunks(spark, d)), _bases(spark, d), _files(spark, d))
-    return _hits(search.nearest(found, _vector(spark, d), 20))
+    return _searched(spark, d, search.in_scope(_chunks(spark, d)))
 
 
 @query(f"WITH {_FOUND} SELECT chunk_id, file_id, kb_id, file_name, kb_name, text, idx FROM found")
@@ -504,27 +504,45 @@ def cell_columns(spark, d):
 # ---- files and models ------------------------------------------------------
 
 
-@query()
+_NODES = """
+WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '<x>', 'g'), '(?is)<style[^>]*>.*?</style>', '<x>', 'g') AS h FROM pages),
+nodes AS (
+  SELECT page_id, list_filter(list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda x: trim(
+    replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS found
+  FROM bare),
+lines AS (
+  SELECT page_id, regexp_replace(regexp_replace(array_to_string(found, chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM nodes),
+read AS (SELECT page_id, regexp_replace(t, '\\r\\n?', chr(10), 'g') AS text FROM lines)
+SELECT page_id, text, 'html' AS subtype, CAST(length(text) AS INTEGER) AS char_count, CAST(NULL AS VARCHAR) AS error FROM read
+"""
+
+
+@query(_NODES)
 def html_text(spark, d):
     """Text of all pages by the lenient reader."""
     pages = _read(spark, d, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"))
     return extracted(pages).select("page_id", "text", "subtype", "char_count", "error")
 
 
+#: Texts in legacy charsets, to which a number is put: what each looks like, its codec and the name it is reported by.
+_FOREIGN = {3: ("河水很清 ", "gb18030", "gb18030"), 4: ("café ", "cp1252", "windows-1252"), 5: ("ｶﾅ ｱ ", "cp932", "shift_jis"), 6: ("中文 ", "big5", "big5")}
+
+
 @query(
-    "SELECT doc_id, ['utf-16le', 'utf-8', 'utf-8', 'gb18030', 'windows-1252'][doc_id % 5 + 1] AS encoding, doc_id % 5 IN (0, 2) AS had_bom, CAST(length(t) AS INTEGER) AS char_count, t AS text "
-    "FROM (SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '河水很清 ' || doc_id WHEN 4 THEN 'café ' || doc_id ELSE regexp_replace(text, '\\r\\n?', chr(10), 'g') END AS t FROM documents)"
+    "SELECT doc_id, ['utf-16le', 'utf-8', 'utf-8', 'gb18030', 'windows-1252', 'shift_jis', 'big5', 'utf-8'][doc_id % 8 + 1] AS encoding, "
+    "doc_id % 8 IN (0, 2) AS had_bom, CAST(length(t) AS INTEGER) AS char_count, t AS text FROM (SELECT doc_id, CASE doc_id % 8 "
+    + " ".join(f"WHEN {k} THEN '{text}' || doc_id" for k, (text, _, _) in _FOREIGN.items())
+    + " WHEN 7 THEN ' ' || chr(65533) ELSE regexp_replace(text, '\\r\\n?', chr(10), 'g') END AS t FROM documents)"
 )
 def decode_charset(spark, d):
-    """Documents with and without marks, and others in two legacy charsets, read back."""
-    which, number = F.col("doc_id") % 5, F.encode(F.col("doc_id").cast("string"), "UTF-8")
-    data = (
-        F.when(which == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
-        .when(which == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
-        .when(which == 3, F.concat(F.lit("河水很清 ".encode("gb18030")), number))
-        .when(which == 4, F.concat(F.lit("café ".encode("cp1252")), number))
-        .otherwise(F.encode("text", "UTF-8"))
-    )
+    """Documents with and without marks, others in four legacy charsets, and bytes that are blank in all of them, read back."""
+    which, number = F.col("doc_id") % 8, F.encode(F.col("doc_id").cast("string"), "UTF-8")
+    data = F.when(which == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    data = data.when(which == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+    for k, (text, codec, _) in _FOREIGN.items():
+        data = data.when(which == k, F.concat(F.lit(text.encode(codec)), number))
+    data = data.when(which == 7, F.unhex(F.lit("20A0"))).otherwise(F.encode("text", "UTF-8"))
     files = _read(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), data.alias("content"))
     return extracted(files).select("doc_id", "encoding", "had_bom", "char_count", "text")
 
@@ -596,10 +614,27 @@ _TALKS = "talks AS (SELECT conv_id, regexp_replace(string_agg(text, chr(10) || c
 _PIECES = f"{_TALKS}, {_blocks('conv_id', 'body', 'talks')}, {_chunked(1200, 150)}"
 
 
-@query(f"WITH RECURSIVE {_PIECES} SELECT sha256(k || '|' || idx) AS id, CAST(k AS VARCHAR) AS file_id, 'kb' || (k % 3) AS kb_id, idx, text, 64 AS dim, CAST(length(text) AS INTEGER) AS size FROM pieces")
+def _embedded(pieces: str, key: str) -> str:
+    """SQL tables of the hashing embedder's vectors: ``units`` (key, d, x) has their components that aren't 0, as 32-bit floats."""
+    return f"""
+worded AS (SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {pieces}),
+grams AS (SELECT {key}, md5(unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS h FROM worded),
+summed AS (
+  SELECT {key}, CAST('0x' || h[1:8] AS BIGINT) % 64 AS d, sum(CASE WHEN CAST('0x' || h[9:10] AS BIGINT) >= 128 THEN 1 ELSE -1 END) AS n FROM grams GROUP BY ALL),
+units AS (SELECT {key}, d, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) AS x FROM summed WHERE n <> 0)"""
+
+
+@query(
+    f"WITH RECURSIVE {_PIECES}, {_embedded('pieces', 'k, idx')}, "
+    "checks AS (SELECT k, idx, round(sum((d + 1) * CAST(x AS DOUBLE)), 6) AS checksum FROM units GROUP BY k, idx) "
+    "SELECT sha256(k || '|' || idx) AS id, CAST(k AS VARCHAR) AS file_id, 'kb' || (k % 3) AS kb_id, idx, text, 64 AS dim, CAST(length(text) AS INTEGER) AS size, "
+    "coalesce(checksum, 0.0) AS checksum FROM pieces LEFT JOIN checks USING (k, idx)"
+)
 def embed_pipeline(spark, d):
-    """Conversations as files: extracted, chunked and embedded."""
-    return _pipeline(spark, d)["chunks"].select("id", "file_id", "kb_id", "idx", "text", "dim", "size")
+    """Conversations as files: extracted, chunked and embedded; the checksum weighs each component of a vector by its place."""
+    places = F.sequence(F.lit(1), F.size("vector"))
+    checksum = F.aggregate(F.zip_with("vector", places, lambda x, n: x.cast("double") * n), F.lit(0.0), lambda a, x: a + x)
+    return _pipeline(spark, d)["chunks"].select("id", "file_id", "kb_id", "idx", "text", "dim", "size", F.round(checksum, 6).alias("checksum"))
 
 
 @query(
@@ -610,7 +645,21 @@ def import_status(spark, d):
     return _pipeline(spark, d)["files"].select("id", "kb_id", "kind", "char_count", "chunk_count", "status", "error")
 
 
-@query()
+_QUESTION = "the and of that"
+
+
+@query(
+    f"WITH RECURSIVE {_PIECES}, asked AS (SELECT -1::BIGINT AS k, -1 AS idx, '{_QUESTION}' AS text), "
+    f"every AS (SELECT k, CAST(idx AS BIGINT) AS idx, text FROM pieces UNION ALL SELECT k, idx, text FROM asked), {_embedded('every', 'k, idx')}, "
+    "norms AS (SELECT k, idx, sqrt(sum(CAST(x AS DOUBLE) * x)) AS norm FROM units GROUP BY k, idx), "
+    "wanted AS (SELECT d, n / sqrt(sum(n * n) OVER ()) AS q FROM summed WHERE k = -1), "
+    "scored AS (SELECT k, idx, round(sum(CAST(x AS DOUBLE) * q) / any_value(norm), 12) AS score FROM units JOIN wanted USING (d) JOIN norms USING (k, idx) WHERE k >= 0 GROUP BY k, idx), "
+    "placed AS (SELECT sha256(k || '|' || idx) AS chunk_id, k, idx, text, coalesce(score, 0.0) AS score FROM pieces LEFT JOIN scored USING (k, idx)), "
+    "near AS (SELECT *, row_number() OVER (ORDER BY score DESC, idx, chunk_id) AS ordinal FROM placed ORDER BY ordinal LIMIT 20), "
+    "judged AS (SELECT *, len(list_filter(['the', 'and', 'of', 'that'], lambda w: list_contains(regexp_extract_all(lower(text), '\\S+'), w))) / 4.0::DOUBLE AS r FROM near) "
+    "SELECT chunk_id, k || '.md' AS file_name, 'Base ' || (k % 3) AS kb_name, round(score, 6) AS score, r AS rerank_score FROM judged ORDER BY r DESC, ordinal LIMIT 5"
+)
 def search_end_to_end(spark, d):
     """A question over these chunks, reranked."""
-    return search.search("the and of that", _pipeline(spark, d), HashingEmbedder(), 5, reranker=OverlapReranker()).select("chunk_id", "file_name", "kb_name", "score", "rerank_score")
+    found = search.search(_QUESTION, _pipeline(spark, d), HashingEmbedder(), 5, reranker=OverlapReranker())
+    return found.select("chunk_id", "file_name", "kb_name", F.round("score", 6).alias("score"), "rerank_score")

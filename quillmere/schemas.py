@@ -24,7 +24,11 @@ EXTRACTED = (
     "text string, kind string, subtype string, encoding string, had_bom boolean, char_count int, degraded boolean, error string"
 )
 
-TABLES = {"bases": BASES, "files": FILES, "chunks": CHUNKS, "mounts": MOUNTS, "settings": SETTINGS}
+RAW = "kb_id string, file_id string, name string, ext string, rel_path string, size long, content binary"
+
+TABLES = {"bases": BASES, "files": FILES, "chunks": CHUNKS, "mounts": MOUNTS, "settings": SETTINGS, "raw": RAW}
+#: Tables whose rows belong to a base, and the key by which they lie in its buckets.
+KEYS = {"raw": "file_id", "chunks": "file_id", "files": "id"}
 
 
 def struct(ddl: str) -> T.StructType:

@@ -1,4 +1,4 @@
-"""Files as DataFrames: the binary source, extraction, the raw-file sink and reading raw files again."""
+"""Files as DataFrames: the binary source, extraction and rows of the raw-file table."""
 
 from __future__ import annotations
 
@@ -57,8 +57,3 @@ def raw_rows(files: DataFrame, kb_id: str) -> DataFrame:
         "content",
     )
 
-
-def read_again(wanted: DataFrame, raw: DataFrame) -> DataFrame:
-    """``wanted`` (with rel_path) and the bytes kept for it; null where there are none or the path is blank."""
-    known = raw.select("rel_path", "content").dropDuplicates(["rel_path"])
-    return wanted.join(known.filter(F.col("rel_path") != ""), "rel_path", "left")

@@ -18,6 +18,10 @@ OOXML, LEGACY = ("docx", "pptx", "xlsx"), ("doc", "ppt", "xls")
 TEXT = ("txt", "md", "markdown", "csv", "html", "htm", "xml", "json", "log", "ini", "conf", "yml", "yaml", "tsv", "text")
 _SUBTYPES = {"htm": "html", "markdown": "md"}
 _LEAST_RUN = 4
+#: Bytes that the parts of an archive which hold text may unpack to.
+MOST_UNPACKED = 1 << 30
+#: Fixed value: columns that a sheet can have; cells that claim to lie beyond are none.
+MOST_COLUMNS = 16_384
 
 
 class Extracted(NamedTuple):
@@ -40,13 +44,27 @@ def _local(element) -> str:
     return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
 
 
-def _parse(data: bytes):
-    return ElementTree.fromstring(data.decode("utf-8-sig"))
-
-
-def _named(root, name: str) -> Iterator:
-    """Elements of a local name, the root included, in document order."""
-    return (e for e in root.iter() if _local(e) == name)
+def _elements(archive: zipfile.ZipFile, member: str, name: str) -> Iterator:
+    """Elements of a local name in a member of an archive, those within others too, in document order.
+
+    The member is unpacked and parsed bit by bit: an outermost element of that
+    name is complete when its turn comes, and gone afterwards.
+    """
+    with archive.open(member) as stream:
+        path, inside = [], 0
+        for event, element in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start":
+                path.append(element)
+                inside += _local(element) == name
+                continue
+            path.pop()
+            inside -= _local(element) == name
+            if inside:
+                continue
+            if _local(element) == name:
+                yield from (e for e in element.iter() if _local(e) == name)
+            if path:
+                path[-1].remove(element)  # what was before it is gone, so this is its first child
 
 
 def _unless_blank(text: str | None) -> str:
@@ -73,17 +91,26 @@ def _members(archive: zipfile.ZipFile, prefix: str) -> list[str]:
     return [n for n in archive.namelist() if n.startswith(prefix) and not n.endswith("/")]
 
 
+def _bounded(archive: zipfile.ZipFile, members: list[str]) -> list[str]:
+    """``members`` if they unpack to no more than is allowed; reading one never gives more than its size in the archive's list."""
+    size = sum(archive.getinfo(n).file_size for n in members)
+    if size > MOST_UNPACKED:
+        raise ValueError(f"unpacked, the archive's text would take {size} bytes")
+    return members
+
+
 def read_docx(archive: zipfile.ZipFile) -> str:
     if "word/document.xml" not in archive.namelist():
         return ""
-    lines = (_paragraph(p).rstrip() for p in _named(_parse(archive.read("word/document.xml")), "p"))
+    (member,) = _bounded(archive, ["word/document.xml"])
+    lines = (_paragraph(p).rstrip() for p in _elements(archive, member, "p"))
     return "\n".join(x for x in lines if x.strip())
 
 
 def read_pptx(archive: zipfile.ZipFile) -> str:
     blocks = []
-    for name in sorted(_members(archive, "ppt/slides/slide"), key=_number):
-        lines = [x for p in _named(_parse(archive.read(name)), "p") if (x := _paragraph(p)).strip()]
+    for name in sorted(_bounded(archive, _members(archive, "ppt/slides/slide")), key=_number):
+        lines = [x for p in _elements(archive, name, "p") if (x := _paragraph(p)).strip()]
         blocks += [f"--- Slide {_number(name)} ---", "\n".join(lines)]
     return "\n".join(blocks)
 
@@ -111,37 +138,33 @@ def _cell(cell, shared: list[str]) -> str:
 
 def read_xlsx(archive: zipfile.ZipFile) -> str:
     """A block of tab-separated lines per sheet, in the order of the archive; empty rows are left out."""
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in archive.namelist():
-        shared = ["".join(x.itertext()) for x in _named(_parse(archive.read("xl/sharedStrings.xml")), "si")]
+    strings, sheets = "xl/sharedStrings.xml", _members(archive, "xl/worksheets/sheet")
+    strings = [strings] if strings in archive.namelist() else []
+    _bounded(archive, strings + sheets)
+    shared = ["".join(x.itertext()) for member in strings for x in _elements(archive, member, "si")]
     blocks = []
-    for name in _members(archive, "xl/worksheets/sheet"):
-        grid: dict[int, dict[int, str]] = {}
-        for row in _named(_parse(archive.read(name)), "row"):
+    for name in sheets:
+        lines: dict[int, str] = {}
+        last = 0
+        for row in _elements(archive, name, "row"):
             number = row.get("r", "")
-            place = int(number) if number.isdigit() else max(grid, default=0) + 1
-            cells = {column_number(c.get("r")): _cell(c, shared) for c in _named(row, "c") if c.get("r")}
-            grid[place] = {k: v for k, v in cells.items() if k >= 0}
-        lines = ("\t".join(cells.get(k, "") for k in range(max(cells, default=-1) + 1)).rstrip() for _, cells in sorted(grid.items()))
-        blocks += [f"--- Sheet {name} ---", "\n".join(x for x in lines if x.strip())]
+            place = int(number) if number.isdigit() else last + 1
+            last = max(last, place)
+            cells = {column_number(c.get("r")): _cell(c, shared) for c in row.iter() if _local(c) == "c" and c.get("r")}
+            cells = {k: v for k, v in cells.items() if 0 <= k < MOST_COLUMNS}
+            lines[place] = "\t".join(cells.get(k, "") for k in range(max(cells, default=-1) + 1)).rstrip()
+        blocks += [f"--- Sheet {name} ---", "\n".join(x for _, x in sorted(lines.items()) if x.strip())]
     return "\n".join(blocks)
 
 
-_WIDE = re.compile(rb"(?:[\x20-\x7e\x80-\xff]\x00)+")
+_WIDE = re.compile("[\x20-\x7e\x80-\xff]+")
 _NARROW = re.compile(rb"[\x20-\x7e\xa0-\xff]+")
 
 
 def read_legacy(data: bytes) -> str:
     """Readable runs of an old office file: two-byte characters at even places, else single bytes."""
-    runs, at = [], 0
-    while at + 2 <= len(data):
-        found = _WIDE.match(data, at)
-        if found:
-            run = found[0].decode("utf-16-le")
-            runs += [run.strip()] if len(run) >= _LEAST_RUN else []
-            at = found.end()
-        else:
-            at += 2
+    wide = data[: len(data) // 2 * 2].decode("utf-16-le", "surrogatepass")
+    runs = [run.strip() for run in _WIDE.findall(wide) if len(run) >= _LEAST_RUN]
     if not runs:
         runs = [x for run in _NARROW.findall(data) if len(x := run.decode("latin-1").strip()) >= _LEAST_RUN]
     return newlines(" ".join(runs))

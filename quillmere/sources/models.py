@@ -8,6 +8,7 @@ import math
 import time
 import urllib.error
 import urllib.request
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -33,7 +34,11 @@ class Reranker(Protocol):
 
 
 class HashingEmbedder:
-    """Signed hashes of words and word pairs, of unit length: no model, the same everywhere."""
+    """Signed hashes of words and word pairs, of unit length: no model, the same everywhere, also in SQL.
+
+    Words lie between ASCII white space, with A-Z lower-cased. The first eight
+    hex digits of a gram's MD5 give its place, the next two its sign.
+    """
 
     def __init__(self, dim: int = 64):
         self.name, self.dim = f"hashing-{dim}", dim
@@ -41,10 +46,10 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
         for n, text in enumerate(texts):
-            words = text.lower().split()
-            for gram in [*words, *map(" ".join, zip(words, words[1:]))]:
-                h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
-                out[n, h % self.dim] += 1 if h >> 63 else -1
+            words = text.encode("utf-8", "surrogatepass").lower().split()
+            for gram in [*words, *map(b" ".join, zip(words, words[1:]))]:
+                h = hashlib.md5(gram, usedforsecurity=False).digest()
+                out[n, int.from_bytes(h[:4], "big") % self.dim] += 1 if h[4] & 128 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0).tolist()
 
@@ -121,11 +126,19 @@ def embed_texts(embedder: Embedder, texts: list[str], batch: int = QUERY_BATCH)
 _SLICE = 256
 
 
-def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "text", vector_col: str = "vector", batch: int = IMPORT_BATCH) -> DataFrame:
+def embedded(
+    rows: DataFrame,
+    embedder: Embedder,
+    text_col: str = "text",
+    vector_col: str = "vector",
+    batch: int = IMPORT_BATCH,
+    told: Callable[[pa.RecordBatch], None] | None = None,
+) -> DataFrame:
     """``rows`` with a vector per text, asked for in small batches on the executors.
 
     Rows without a text get no vector and are not sent. Where the model fails
     for a batch, its rows have no vector and an ``embed_error``; the job goes on.
+    ``told`` is shown rows, on the executors, when they have been through.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     kind = pa.list_(pa.float32())
@@ -153,5 +166,7 @@ def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "text", vector
                     for n, vector in zip(some, found):
                         vectors[n], errors[n] = vector, error
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, kind), pa.array(errors, pa.string())], names=[*part.schema.names, vector_col, "embed_error"])
+                if told:
+                    told(part)
 
     return rows.mapInArrow(run, f"{schema}, `{vector_col}` array<float>, embed_error string")

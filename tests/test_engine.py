@@ -157,23 +157,164 @@ def test_every_text_is_embedded_once(spark, tmp_path):
     assert engine.files(kb).count() == 4 and engine.store.read("chunks").count() == 4
 
 
-def test_deleting_a_file_writes_only_its_fragments(spark, tmp_path):
-    engine = KnowledgeEngine(spark, str(tmp_path / "kb"), HashingEmbedder())
-    kb = engine.create_base("b")
-    ids = [engine.import_file(kb, f"{n}.txt", f"text {n}".encode()).first().id for n in range(3)]
-    before = {t: engine.store.fragments(t) for t in ("raw", "chunks", "files")}
-    assert len(before["raw"]) == len(before["chunks"]) == 3
-    engine.delete_file(ids[1])
+def folders(engine, table):
+    return {part.rpartition("/")[0] for part in engine.store.snapshot(table).parts}
+
+
+@pytest.fixture(scope="module")
+def bulk(spark, tmp_path_factory):
+    """A base of 1,000 files from one import, and one of a few."""
+    folder, root = tmp_path_factory.mktemp("bulk"), tmp_path_factory.mktemp("kb")
+    for n in range(1000):
+        (folder / f"{n}.txt").write_text(f"number {n} of many texts")
+    engine = KnowledgeEngine(spark, str(root), HashingEmbedder(), OverlapReranker())
+    kb, other = engine.create_base("many"), engine.create_base("few")
+    engine.import_folder(kb, str(folder))
+    engine.import_file(other, "lion.txt", b"lions roar")
+    return engine, kb, other, root
+
+
+def test_deleting_one_of_a_bulk_import_rewrites_one_bucket(bulk):
+    engine, kb, _, _ = bulk
+    assert {len(folders(engine, t)) for t in ("raw", "chunks", "files")} == {65}  # 64 buckets of one base, one of the other
+    before = {t: set(engine.store.snapshot(t).parts) for t in ("raw", "chunks", "files")}
+    gone = engine.files(kb).filter("name = '7.txt'").first().id
+    engine.delete_file(gone)
     for t, old in before.items():
-        now = engine.store.fragments(t)
-        assert len(set(old) - set(now)) == 1 and len(set(now) - set(old)) == 1
-    assert {r.id for r in engine.files(kb).collect()} == {ids[0], ids[2]}
+        now = set(engine.store.snapshot(t).parts)
+        assert len(old - now) == len(now - old) == 1
+        assert {x.rpartition("/")[0] for x in old - now} == {x.rpartition("/")[0] for x in now - old}
+    assert engine.files(kb).count() == engine.store.read("chunks", [kb]).count() == 999
+    versions = {t: engine.store.versions(t) for t in before}
     engine.delete_file("none")
-    assert engine.store.read("chunks").count() == 2
-    engine.store.replace("raw", "file_id", spark.createDataFrame([(ids[0],)], "id string"))  # its bytes get lost
+    assert versions == {t: engine.store.versions(t) for t in before}
+
+
+def test_bytes_of_other_files_and_bases_are_never_opened(bulk):
+    """Folders of other buckets are moved away: what doesn't read them does not notice."""
+    engine, kb, other, root = bulk
+    file = engine.files(kb).filter("name = '500.txt'").first()
+    (bucket,) = engine.store.buckets_of([file.id], 64)
+    plan = engine.store.read("raw", [kb], [file.id])._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "kb_id#" in filters and "bucket#" in filters  # the text of a plan is cut before their values
+    away = root.parent / "away"
+    (root / "raw" / f"kb_id={kb}").rename(away)
+    (root / "raw" / f"kb_id={kb}").mkdir()
+    (away / f"bucket={bucket}").rename(root / "raw" / f"kb_id={kb}" / f"bucket={bucket}")
+    assert engine.reembed_file(file.id).first().status == "ready"
+    assert engine.read_file_bytes(file.rel_path) == b"number 500 of many texts"
+    assert engine.import_file(other, "tiger.txt", b"tigers sleep").first().status == "ready"
+    (root / "raw" / f"kb_id={kb}" / f"bucket={bucket}").rename(away / f"bucket={bucket}")
+    (root / "raw" / f"kb_id={kb}").rmdir()
+    away.rename(root / "raw" / f"kb_id={kb}")
+    (root / "chunks" / f"kb_id={kb}").rename(away)
+    assert engine.search("lions", kb_ids=[other], top_k=1).first().file_name == "lion.txt"
+    away.rename(root / "chunks" / f"kb_id={kb}")
+
+
+def scans(plan):
+    """File scans of a plan that has run, those within its stages too."""
+    leaves = plan.collectLeaves()
+    for leaf in (leaves.apply(k) for k in range(leaves.size())):
+        if leaf.nodeName().startswith("Scan"):
+            yield leaf
+        elif "QueryStage" in leaf.getClass().getSimpleName():
+            yield from scans(leaf.plan())
+
+
+def test_plans_of_a_search(bulk):
+    """Nothing but ids and vectors is read below the top-k; a workspace's bases prune folders while the plan runs."""
+    from quillmere.operators import search
+
+    engine, kb, other, _ = bulk
+    engine.set_mount(other, "w")
+    t = engine.store.tables()
+    vector = HashingEmbedder().embed(["lions"])[0]
+    found = search.recall(search.in_scope(t["chunks"], t["mounts"], workspace_id="w"), t["bases"], t["files"], vector, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "text:string" not in plan and "heading" not in plan and "vector:array<float>" in plan
+    assert [r.score > 0 for r in found.collect()][:1] == [True]
+    read = [x.metrics().get("filesSize").get().value() for x in scans(found._jdf.queryExecution().executedPlan().executedPlan()) if "vector" in x.toString()]
+    whole = sum(engine.store.snapshot("chunks").parts.values())
+    assert read and max(read) < whole / 20  # one of 65 folders
+    assert engine.search("lions", workspace_id="w", top_k=1).first().file_name == "lion.txt"
+
+
+def test_lost_bytes_fail_a_file(spark, tmp_path):
+    engine = KnowledgeEngine(spark, str(tmp_path / "kb"), HashingEmbedder())
+    kb = engine.create_base("b")
+    ids = [engine.import_file(kb, f"{n}.txt", f"text {n}".encode()).first().id for n in range(2)]
+    engine.store.replace("raw", "file_id", spark.createDataFrame([(ids[0],)], "id string"))
     assert engine.reembed_file(ids[0]) is None and engine.reembed_file("none") is None
-    assert {r.id: r.status for r in engine.files(kb).collect()} == {ids[0]: "failed", ids[2]: "ready"}
-    assert engine.reembed_file(ids[2]).first().status == "ready"
+    assert {r.id: r.status for r in engine.files(kb).collect()} == {ids[0]: "failed", ids[1]: "ready"}
+    assert engine.reembed_file(ids[1]).first().status == "ready"
+
+
+class Slow:
+    """Counts the texts of a run in a folder, and waits after each."""
+
+    name = "slow"
+
+    def __init__(self, folder, seconds):
+        self.folder, self.seconds = str(folder), seconds
+
+    def embed(self, texts):
+        import pathlib
+        import time
+        import uuid
+
+        time.sleep(self.seconds * len(texts))
+        for _ in texts:
+            (pathlib.Path(self.folder) / uuid.uuid4().hex).touch()
+        return [[1.0, 2.0] for _ in texts]
+
+
+def test_a_stopped_run_leaves_files_ready_failed_and_as_they_were(spark, tmp_path):
+    import time
+
+    (tmp_path / "in").mkdir(), (tmp_path / "seen").mkdir()
+    for n in range(19):
+        (tmp_path / "in" / f"{n}.txt").write_text(f"text {n}")
+    engine = KnowledgeEngine(spark, str(tmp_path / "kb"), HashingEmbedder(2), clock=lambda: 1, batch_files=4)
+    kb = engine.create_base("b")
+    engine.import_folder(kb, str(tmp_path / "in"))
+    again = KnowledgeEngine(spark, engine.store.root, Slow(tmp_path / "seen", 0.5), clock=lambda: 2, batch_files=4)
+    op = again.reindex(kb)
+    began = time.time()
+    while time.time() - began < 120 and len([r for r in again.files(kb).collect() if r.updated_at == 2]) < 4:
+        time.sleep(0.1)
+    shown = again.operations.active()[0]
+    assert again.operations.stop(op)
+    again.operations.wait(op, 60)
+    (view,) = again.operations.active()
+    assert view["finished"] and view["failed"] and view["error"] == "stopped by user" and (shown["total"], shown["chunkTotal"]) == (19, 19)
+    states = {}
+    for r in again.files(kb).collect():
+        states.setdefault((r.status, r.embedding_model, r.updated_at), []).append(r.name)
+        assert (r.error == "stopped by user") == (r.status == "failed")
+    assert {(s, m, at) for s, m, at in states} == {("ready", "slow", 2), ("failed", "hashing-2", 2), ("ready", "hashing-2", 1)}
+    assert again.store.read("chunks").count() == 19 and again.store._names("staging") == []
+
+
+def test_progress_rises_while_files_are_imported(spark, tmp_path):
+    import threading
+    import time
+
+    (tmp_path / "in").mkdir(), (tmp_path / "seen").mkdir()
+    for n in range(40):
+        (tmp_path / "in" / f"{n}.txt").write_text(f"text {n}")
+    engine = KnowledgeEngine(spark, str(tmp_path / "kb"), Slow(tmp_path / "seen", 0.05), batch_files=10)
+    kb, seen = engine.create_base("b"), []
+    thread = threading.Thread(target=lambda: engine.import_folder(kb, str(tmp_path / "in")))
+    thread.start()
+    while thread.is_alive():
+        seen += [(o["done"], o["chunkDone"], o["progress"]) for o in engine.operations.active()]
+        time.sleep(0.1)
+    files, chunks, shares = zip(*seen)
+    assert list(files) == sorted(files) and list(chunks) == sorted(chunks) and max(shares) <= 1
+    assert len({x for x in files if 0 < x < 40}) >= 2 and len({x for x in chunks if 0 < x < 40}) >= 2
+    assert {r.status for r in engine.files(kb).collect()} == {"ready"}
 
 
 def test_an_import_can_be_watched_and_stopped(spark, tmp_path):
@@ -244,7 +385,6 @@ def test_many_questions_in_blocks(spark, monkeypatch, block):
     from quillmere.operators import search
 
     monkeypatch.setattr(search, "QUERY_BLOCK", block)
-    monkeypatch.setattr(search, "CHUNK_BLOCK", 7)
     rng = np.random.default_rng(1)
     rows = [(f"c{n:02}", [float(x) for x in rng.normal(size=4)]) for n in range(40)] + [("zero", [0.0] * 4), ("short", [1.0]), ("none", None), ("twin", None)]
     rows[-1] = ("twin", rows[0][1])
@@ -276,4 +416,83 @@ def test_store_appends_and_cleans(spark, tmp_path):
     assert len(store.versions("t")) == KEPT and len([x for x in store._names("t") if x.startswith("data-")]) == KEPT
     for k in range(MERGED + 3):
         store.append("t", rows(100 + k))
-    assert len(store.fragments("t")) < MERGED and store.read("t").count() == MERGED + 4
+    assert len(store.snapshot("t").parts) < MERGED and store.read("t").count() == MERGED + 4
+    assert store._names("staging") == []
+
+
+@pytest.mark.parametrize("change", ["replace", "delete", "append", "rewrite"])
+def test_of_two_writers_neither_loses_rows(spark, tmp_path, change):
+    """Another writer appends while this one has its rows made."""
+    from quillmere.sources.store import TableStore
+
+    schemas, keys = {"t": "kb_id string, id string"}, {"t": "id"} if change != "rewrite" else {}
+    store, other = (TableStore(spark, str(tmp_path), schemas, keys, buckets=2) for _ in range(2))
+    rows = lambda *ids: spark.createDataFrame([("k", i) for i in ids], "kb_id string, id string")
+    ids = lambda *x: rows(*x).select("id")
+    store.append("t", rows("a", "b", "c", "d"))
+    written, calls = store._written, []
+
+    def slowly(*args):
+        found = written(*args)
+        if not calls:
+            calls.append(1)
+            other.append("t", rows("new"))
+        return found
+
+    store._written = slowly
+    if change == "replace":
+        store.replace("t", "id", ids("a"), rows("a", "e"))
+    elif change == "delete":
+        store.replace("t", "id", ids("a"))
+    elif change == "append":
+        store.append("t", rows("e"))
+    else:
+        store.rewrite("t", lambda t: t.filter("id <> 'a'"))
+    left = {"replace": "abcde", "delete": "bcd", "append": "abcde", "rewrite": "bcd"}[change]
+    assert sorted(r.id for r in store.read("t").collect()) == [*left, "new"] and calls == [1]
+    named = {x for v in store.versions("t") for x in store._read_list("t", v).parts}
+    assert {x[len("t/"):] for x, _ in store._folders("t/kb_id=*/bucket=*/data-*" if keys else "t/data-*")} == named
+
+
+def test_configuration_and_mounts_of_two_writers(engine, spark):
+    other = KnowledgeEngine(spark, engine.store.root, HashingEmbedder())
+    written, calls = engine.store._written, []
+
+    def slowly(*args):
+        if not calls:
+            calls.append(1)
+            other.save_config({"rerankModel": "r"})
+        return written(*args)
+
+    engine.store._written = slowly
+    try:
+        engine.save_config({"apiKey": "k"})
+    finally:
+        engine.store._written = written
+    assert (engine.get_config().rerankModel, engine.get_config().apiKey) == ("r", "k")
+    engine.save_config({"rerankModel": "", "apiKey": ""})
+
+
+def test_what_a_killed_import_leaves_is_removed(spark, tmp_path, monkeypatch):
+    engine = KnowledgeEngine(spark, str(tmp_path / "kb"), HashingEmbedder())
+    kb = engine.create_base("b")
+    engine.import_file(kb, "a.txt", b"text a")
+
+    class Killed(BaseException):
+        pass
+
+    def die(*_):
+        raise Killed
+
+    monkeypatch.setattr(engine.store, "_commit", die)
+    monkeypatch.setattr(engine.store, "delete", die)
+    with pytest.raises(Killed):
+        engine.import_file(kb, "b.txt", b"text b")
+    engine.store.staged(engine.store.read("files"))
+    monkeypatch.undo()
+    assert len(engine.store._folders("raw/kb_id=*/bucket=*/data-*")) == 2 and engine.clean_up(3600) == []
+    gone = engine.clean_up(0)
+    assert len(gone) == 2 and any(x.startswith("raw/") for x in gone) and any(x.startswith("staging/") for x in gone)
+    assert [r.name for r in engine.files(kb).collect()] == ["a.txt"] and engine.search("text", top_k=3).count() == 1
+    engine.store.replace("bases", "id", spark.createDataFrame([(kb,)], "id string"))  # a deletion that was interrupted
+    assert engine.clean_up(0) and engine.store.read("raw").count() == engine.store.read("chunks").count() == 0

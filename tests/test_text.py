@@ -2,7 +2,10 @@
 
 import io
 import random
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from quillmere.functions.charset import decode, newlines
 from quillmere.functions.chunking import chunks
 from quillmere.functions.text import extension, hard_split, paragraphs, trim
+from quillmere.sources import formats
 from quillmere.sources.formats import column_number, extract, html_text
 
 
@@ -175,3 +179,61 @@ def test_html_modes():
     with pytest.raises(Exception):
         html_text("<p><br></p>", "strict")
     assert extract("p.html", b"<html><body><br>x</body></html>", mode="strict").error
+
+
+_LARGE_SHEET = """
+import io, resource, sys, zipfile
+from quillmere.sources import formats
+data = io.BytesIO()
+with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as out:
+    out.write(b"<w><cols/><sheetData>")
+    row = b"".join(b'<c r="%c1" t="inlineStr"><is><t>some text of a cell that is long enough to matter %d</t></is></c>' % (65 + k, k) for k in range(20))
+    size = 0
+    while size < 100_000_000:
+        out.write(b"<row>" + row + b"</row>")
+        size += len(row) + 11
+    out.write(b"</sheetData></w>")
+content = data.getvalue()
+now = int(open("/proc/self/statm").read().split()[0]) * resource.getpagesize()
+resource.setrlimit(resource.RLIMIT_AS, (now + 370_000_000,) * 2)
+found = formats.extract("large.xlsx", content)
+assert found.error is None and found.char_count > 54_000_000, found.error or found.char_count
+"""
+
+
+def test_a_large_sheet_needs_little_more_than_its_text():
+    """100 MB unpacked, 54 MB of text in lines and joined, under a limit that the tree of its elements would exceed."""
+    subprocess.run([sys.executable, "-c", _LARGE_SHEET], cwd=Path(__file__).parent.parent, check=True, timeout=300)
+
+
+def test_a_zip_bomb_is_a_failed_row(monkeypatch):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name in ("word/document.xml", "ppt/slides/slide1.xml", "xl/worksheets/sheet1.xml"):
+            archive.writestr(name, b"<w>" + b" " * 5_000_000 + b"</w>")
+    assert len(data.getvalue()) < 50_000
+    for name in ("a.docx", "a.pptx", "a.xlsx"):
+        assert formats.extract(name, data.getvalue()).error is None
+    monkeypatch.setattr(formats, "MOST_UNPACKED", 1_000_000)
+    for name in ("a.docx", "a.pptx", "a.xlsx", "a.doc"):
+        assert "5000007 bytes" in formats.extract(name, data.getvalue()).error
+
+
+def test_nested_paragraphs_and_odd_sheets():
+    def archive(**members):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, text in members.items():
+                z.writestr(name.replace("__", "/") + ".xml", text)
+        return data.getvalue()
+
+    nested = "<w xmlns:a='a'><a:p>one<a:t>A</a:t><a:box><a:p><a:t>B</a:t></a:p></a:box></a:p><tbl><tr><tc><a:p><a:t>C</a:t></a:p></tc></tr></tbl></w>"
+    assert formats.extract("n.docx", archive(word__document=nested)).text == "AB\nB\nC"
+    rows = "<row><c r='B1'><v>x</v></c></row><row r='9'><c r='A9'><v>last</v></c></row><row><c r='A1'><v>after</v></c><c r='ZZZZZZ1'><v>far</v></c></row><row r='2'><c r='A2'><v>two</v></c></row>"
+    assert formats.extract("s.xlsx", archive(xl__worksheets__sheet1=f"<w>{rows}</w>")).text == "--- Sheet xl/worksheets/sheet1.xml ---\n\tx\ntwo\nlast\nafter"
+    assert formats.extract("b.xlsx", archive(xl__worksheets__sheet1="<w><row>")).error.startswith("ParseError")
+
+
+def test_bytes_that_are_no_shift_jis():
+    assert decode(b"\xa0")[:2] == ("�", "utf-8") and decode(b" \xfd\xfe")[1] == "windows-1252"
+    assert decode("ｶﾅ ｱ 1".encode("cp932"))[:2] == ("ｶﾅ ｱ 1", "shift_jis") and decode("中文 1".encode("big5"))[:2] == ("中文 1", "big5")
