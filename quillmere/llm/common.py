@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.sources.checkpoint import cut, ensure_checkpoint_dir
 
-__all__ = ["SLICE", "column_or_null", "cut", "ensure_checkpoint_dir", "map_rows", "table"]
+__all__ = ["SLICE", "column_or_null", "cut", "ensure_checkpoint_dir", "map_rows", "row_key", "table"]
 
 #: Rows of a batch that Python holds as objects at once.
 SLICE = 256
@@ -26,6 +26,13 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def row_key(df: DataFrame) -> list[Column]:
+    """128 bits that stand for all columns of a row, as columns a and b; maps count by their JSON, nulls by their place."""
+    columns = [(F.col(f"`{f.name}`"), "map<" in f.dataType.simpleString()) for f in df.schema.fields]
+    parts = [x for c, is_map in columns for x in (c.isNull(), F.to_json(c) if is_map else c)]
+    return [F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *parts).alias("b")]
+
+
 def map_rows(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFrame:
     """Apply ``fn(*row) -> tuple`` to each row, in slices of Arrow batches.
 

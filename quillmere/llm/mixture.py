@@ -18,23 +18,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import cut
+from quillmere.llm.common import cut, row_key
 
 #: Words in a block, hex digits that make the hash ranges of a source's stream, slots ranked at once, and cells of the weight axis.
 BLOCK, BUCKET_DIGITS, CHUNK, CELLS = 128, 3, 4096, 4096
-#: A hash range with so many rows more than four times what is usual in its source holds a hot id; ranges of rows it is cut into.
-HOT_ROWS, HOT_PARTS = 50_000, 256
+#: A hash range with so many rows more than four times what is usual in its source holds a hot id; its rows are cut by so many leading bits of their hashes.
+HOT_ROWS, HOT_BITS = 50_000, 8
 #: frac(n * phi) in 32 bits; n repeats after 2**31 slots, which keeps products within a long.
 _GOLDEN, _PERIOD, _UNIT = 2654435769, 1 << 31, 1 << 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def row_key(df: DataFrame) -> Column:
-    """128 bits that stand for all columns of a row; maps count by their JSON."""
-    parts = [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
-    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *parts).alias("b"))
-
-
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -103,7 +97,7 @@ def plan_mixture(
     agree; an id may have any number of rows; an empty table gives two empty
     ones; other columns are kept out.
     """
-    sized = cut(_streams(docs, id_col, text_col, source_col, row_key(docs)))
+    sized = cut(_streams(docs, id_col, text_col, source_col, F.struct(*row_key(docs))))
     targets = cut(target_table(sized, weights, share, most))
     numbered = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(sized["*"], "number", "source_size", "target")
     sums = cut(numbered.groupBy("number", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("rows")))
@@ -142,10 +136,12 @@ def _hot_starts(rows: DataFrame) -> DataFrame:
     """``start`` in hash ranges where one id has very many rows.
 
     Equal rows are one with a count before they move; the rows of an id are cut
-    by their hash into ranges whose sums come first, then running sums within.
+    by the first bits of their hash into ranges whose sums come first, then
+    running sums within. Ranges follow the order of hashes, so the stream is in
+    the same order as where nothing is hot.
     """
     keys = ["number", "bucket", "spread", "doc_id", "part"]
-    distinct = rows.groupBy(*rows.columns).agg(F.count("*").alias("times")).withColumn("part", F.pmod(F.col("row_hash.a"), F.lit(HOT_PARTS)))
+    distinct = rows.groupBy(*rows.columns).agg(F.count("*").alias("times")).withColumn("part", F.shiftright("row_hash.a", 64 - HOT_BITS))
     sums = distinct.groupBy(*keys).agg(F.sum(F.col("size") * F.col("times")).alias("n"))
     earlier = Window.partitionBy("number", "bucket").orderBy("spread", "doc_id", "part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*(F.col(c).alias(f"_{c}") for c in keys), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -209,7 +205,11 @@ def _slots(budget: DataFrame, block: int) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target of its source, and the words the mix takes of it."""
+    """Per row of ``docs``: doc_id, size, source_size, target of its source, and the words the mix takes of it.
+
+    Defined cases: those of ``plan_mixture``; rows of size 0 have taken 0, rows
+    that repeat a row each, and an empty table gives an empty one.
+    """
     placed, schedule = plan_mixture(docs, **options)
     taken = schedule.groupBy("number", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.lit(True).alias("some"))
     return placed.withColumn("some", F.col("size") > 0).join(taken, ["number", "start", "some"], "left").select(
@@ -220,8 +220,11 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix in whole documents: each row of ``docs`` once per pass of which the mix takes at least half.
 
-    All columns are returned, whatever their names. Rows equal in all columns
-    count together. Each source comes near its target, to a document per pass.
+    All columns are returned, whatever their names. Each source comes near its
+    target, to a document per pass. Defined cases: null and blank texts have no
+    part in the mix; rows equal in all columns count together, those that differ
+    in which column is null are different rows; null ids and sources are values
+    like any other; an empty table gives an empty one.
     """
     placed, schedule = plan_mixture(docs, **options)
     passes = schedule.groupBy("number", "start", "pass").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
@@ -232,7 +235,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .groupBy("row_hash")
         .agg(F.count("*").alias("copies"))
     )
-    hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(docs).alias("row_hash"))
+    hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(*row_key(docs)).alias("row_hash"))
     return (
         hashed.join(copies, "row_hash")
         .dropDuplicates(["row_hash"])

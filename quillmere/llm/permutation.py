@@ -47,6 +47,9 @@ SHORT = 40
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors at unit length; they are brought near one first, so that no square leaves the doubles."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))
+    x = np.ldexp(x, -exponent)  # a power of two changes no digit
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 

@@ -81,20 +81,17 @@ def host_counts(hosts: DataFrame, outcomes: DataFrame, key: str = "record") -> D
     return known.unionByName(none).groupBy("name").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def _strength(lower: DataFrame, upper: DataFrame, by: str) -> float:
+def _strength(members: DataFrame, share: Column) -> float:
     """Strength of the prior above the members of a level, from how their counts scatter around their parents' shares."""
-    whole = upper.select(by, F.col("n").alias("all_n"), F.col("bad").alias("all_bad"))
-    share = F.col("all_bad") / F.col("all_n")
-    chance = share * (1 - share)
-    scatter = F.col("bad") - F.col("n") * share
-    sums = lower.filter("n > 0").join(whole, by).agg(
-        F.sum(scatter * scatter).alias("found"), F.sum(F.col("n") * chance).alias("expected"), F.sum(F.col("n") * (F.col("n") - 1) * chance).alias("pairs")
-    )
-    row = sums.first()  # three numbers
-    if not row.pairs:
+    chance, scatter, n = share * (1 - share), F.col("bad") - F.col("n") * share, F.col("n")
+    found, expected, pairs = members.filter("n > 0").agg(F.sum(scatter * scatter), F.sum(n * chance), F.sum(n * (n - 1) * chance)).first()  # three numbers
+    if not pairs:
         return UNKNOWN
-    excess = min(max((row.found - row.expected) / row.pairs, 1 / (1 + STRONGEST)), 1 / (1 + WEAKEST))
-    return 1 / excess - 1
+    return 1 / min(max((found - expected) / pairs, 1 / (1 + STRONGEST)), 1 / (1 + WEAKEST)) - 1
+
+
+def _with_parents(lower: DataFrame, upper: DataFrame, by: str) -> DataFrame:
+    return lower.join(upper.select(by, F.col("n").alias("all_n"), F.col("bad").alias("all_bad")), by)
 
 
 def host_reputation(counts: DataFrame, two_labels: Sequence[str] = TWO_LABELS, deviations: float = DEVIATIONS) -> DataFrame:
@@ -110,8 +107,11 @@ def host_reputation(counts: DataFrame, two_labels: Sequence[str] = TWO_LABELS, d
     domains = cut(total(hosts, "domain", "suffix"))
     suffixes = total(domains, "suffix")
     n, bad = (x or 0 for x in suffixes.agg(F.sum("n"), F.sum("bad")).first())
-    one = suffixes.select(F.lit("").alias("all"), "n", "bad")
-    strengths = [_strength(one, total(one, "all"), "all"), _strength(domains, suffixes, "suffix"), _strength(hosts, domains, "domain")]
+    of_parent = F.col("all_bad") / F.col("all_n")
+    strengths = [
+        _strength(suffixes, F.lit(bad / n if n else 0.0)), _strength(_with_parents(domains, suffixes, "suffix"), of_parent),
+        _strength(_with_parents(hosts, domains, "domain"), of_parent),
+    ]
     shrunk = lambda prior, k: (F.col("bad") + prior * k) / (F.col("n") + k)
     of_suffix = suffixes.select("suffix", shrunk(F.lit((bad + 0.5) / (n + 1)), strengths[0]).alias("of_suffix"))
     of_domain = domains.join(of_suffix, "suffix").select("domain", shrunk(F.col("of_suffix"), strengths[1]).alias("of_domain"))

@@ -30,22 +30,20 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 RANDOM_LEAST, CHARS_PER_TOKEN = 20, 2.2
 #: A part of a run says something about it from so many characters on; share of the run that such parts must make up.
 PART_LEAST, PART_SHARE = 5, 0.5
-#: Lengths in hex digits of common digests, and forms of identifiers: they are no secrets by themselves.
+#: In rows of shorter parts these have so many characters at least; share of a row that must pack badly part by part.
+SHORT_LEAST, ROW_SHARE = 3, 0.75
+#: Lengths in hex digits of common digests; they and identifiers are no secrets by themselves.
 DIGESTS = frozenset({32, 40, 56, 64, 96, 128})
-IDENTIFIER = (
-    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
-    r"|(?:sha(?:1|256|384|512)|md5)[-_=][A-Za-z0-9+/=]+"  # labelled digest
-    r"|[0-9+/_=-]+"  # numbers
-)
+#: Characters of a digest in hex and in base 64, by the label that may stand before it.
+DIGEST_CHARS = {"md5": (32, 22), "sha1": (40, 27), "sha256": (64, 43), "sha384": (96, 64), "sha512": (128, 86)}
+_UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+#: A label makes a digest only of what has a digest's length.
+_LABELLED = "|".join(rf"{name}[-_=](?:[0-9a-fA-F]{{{a}}}|[A-Za-z0-9+/]{{{b}}}=*)" for name, (a, b) in DIGEST_CHARS.items())
+IDENTIFIER = rf"{_UUID}|{_LABELLED}|[0-9+/_=-]+"
 #: What joins the parts of a run, and the known forms that are left out where they stand within one.
 _JOINING = "+/_=-"
 _PARTS = re.compile(rf"[^{_JOINING}]+")
-_DIGEST_CHARS = {"md5": (32, 22), "sha1": (40, 27), "sha256": (64, 43), "sha384": (96, 64), "sha512": (128, 86)}
-_KNOWN = re.compile(
-    r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|"
-    + "|".join(rf"{name}[-_=](?:[0-9a-fA-F]{{{a}}}|[A-Za-z0-9+/]{{{b}}}=*)" for name, (a, b) in _DIGEST_CHARS.items())
-    + r")(?![A-Za-z0-9])"
-)
+_KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID}|{_LABELLED})(?![A-Za-z0-9])")
 _PLACEHOLDER = "[secret]"
 
 
@@ -83,10 +81,33 @@ class SecretScanner:
         return self._packs_badly(run) and self._holds_random_parts(run)
 
     def _holds_random_parts(self, run: str) -> bool:
-        """Whether half of the run or more is parts that pack badly themselves; a run without joining characters is one part."""
+        """Whether half of the run or more is parts that pack badly themselves; a run without joining characters is one part.
+
+        Parts of three or four characters say something only together: a row
+        of them that is long enough and mostly packs badly is taken as one
+        string without what joins it.
+        """
         parts = _PARTS.findall(run)
-        bad = sum(len(x) for x in parts if len(x) >= PART_LEAST and not x.isdigit() and self._packs_badly(x))
-        return len(parts) == 1 or bad >= PART_SHARE * sum(map(len, parts))
+        if len(parts) == 1:
+            return True
+        bad, row = 0, []
+        for part in [*parts, ""]:
+            if SHORT_LEAST <= len(part) < PART_LEAST and not part.isdigit():
+                row.append(part)
+                continue
+            bad += self._random_row(row)
+            row = []
+            if len(part) >= PART_LEAST and not part.isdigit() and self._packs_badly(part):
+                bad += len(part)
+        return bad >= PART_SHARE * sum(map(len, parts))
+
+    def _random_row(self, row: list[str]) -> int:
+        """Characters of a row of short parts if these are one random string, else 0."""
+        together = "".join(row)
+        if len(together) < RANDOM_LEAST or (len(together) in DIGESTS and self.digest.fullmatch(together)):
+            return 0
+        bad = sum(len(x) for x in row if self._packs_badly(x))
+        return len(together) if bad >= ROW_SHARE * len(together) and self._packs_badly(together) else 0
 
     def _packs_badly(self, run: str) -> bool:
         return len(run) / len(self.encoding.encode_ordinary(run)) < self.limit

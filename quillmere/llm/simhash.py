@@ -18,10 +18,10 @@ two. Such a group holds 65 members at most, so this stays linear and exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import cut, map_rows
+from quillmere.llm.common import cut, map_rows, row_key
 from quillmere.llm.fingerprint import simhash
 from quillmere.llm.graph import connected_components
 
@@ -110,13 +110,6 @@ def _rooted(classes: DataFrame, dense: int = DENSE) -> DataFrame:
     return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def _row_key(docs: DataFrame) -> list[Column]:
-    """128 bits that stand for all columns of a row, as columns a and b; maps count by their JSON, nulls by their place."""
-    columns = [(F.col(f"`{f.name}`"), "map<" in f.dataType.simpleString()) for f in docs.schema.fields]
-    parts = [x for c, is_map in columns for x in (c.isNull(), F.to_json(c) if is_map else c)]
-    return [F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *parts).alias("b")]
-
-
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``docs`` with exactly one row of each near-duplicate group: one with the smallest id.
 
@@ -131,7 +124,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         value = simhash(text, width)
         return doc_id, value - (1 << 64) if value >> 63 else value, a, b
 
-    key = _row_key(docs)
+    key = row_key(docs)
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *key)
     marked = cut(map_rows(wanted, one, "doc_id long, fp long, a long, b long"))
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "a", "b")

@@ -98,9 +98,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     ``is_query`` is a condition on ``rows``. Defined cases: rows without an id
     or with a null, empty or non-finite vector take no part, nor do those whose
     squared norm, in these integers, would not fit a long; a shorter vector
-    counts as filled up with zeros; ties go to the smaller id; rows that repeat
-    a query's id are its own; a query with fewer others gets all; an empty
-    table gives an empty one; other columns are ignored.
+    counts as filled up with zeros; ties go to the smaller id; of rows that
+    share an id each is a query with an answer of its own and a candidate of
+    others, but they are no candidates of each other; a query with fewer others
+    gets all; an empty table gives an empty one; other columns are ignored.
     """
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
@@ -140,21 +141,21 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     blocks = index.join(F.broadcast(listed.select("pivot", "annulus", "n")), ["pivot", "annulus"]).select(
         "pivot", "annulus", part.alias("part"), "vec_id", "q", "distance"
     )
-    queries = index.filter("asks").select(F.col("vec_id").alias("query_id"), "q", F.pmod(F.xxhash64("vec_id", "row", F.lit(1)), F.lit(groups)).cast("int").alias("group"))
+    queries = index.filter("asks").select(F.col("row").alias("ask"), F.col("vec_id").alias("query_id"), "q", F.pmod(F.xxhash64("vec_id", "row", F.lit(1)), F.lit(groups)).cast("int").alias("group"))
 
     near = _visits(queries, directory, width, float(largest), k, seeds=True)
-    best = _meet(near, blocks, width, k, exact).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
-    reach = best.select("query_id", F.when(F.size("scores") >= k, F.element_at(F.slice("scores", 1, k), -1)).alias("least"))
-    asked = cut(queries.join(reach, "query_id", "left"))
+    best = _meet(near, blocks, width, k, exact).groupBy("ask").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
+    reach = best.select("ask", F.when(F.size("scores") >= k, F.element_at(F.slice("scores", 1, k), -1)).alias("least"))
+    asked = cut(queries.join(reach, "ask", "left"))
     found = _meet(_visits(asked, directory, width, float(largest), k, seeds=False), blocks, width, k, exact)
     # parts give k rows at most, so the lists of a query stay short
-    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("best"))
+    ranked = found.groupBy("ask", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("best"))
     return ranked.select("query_id", F.posexplode("best").alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.less")).alias("score")
     )
 
 
-_VISIT = "pivot int, annulus int, part int, group int, query_id long, q array<long>, e double, r double, least long"
+_VISIT = "pivot int, annulus int, part int, group int, ask long, query_id long, q array<long>, e double, r double, least long"
 
 
 def _visits(queries: DataFrame, directory: _Directory, width: int, largest: float, k: int, seeds: bool) -> DataFrame:
@@ -188,17 +189,17 @@ def _visits(queries: DataFrame, directory: _Directory, width: int, largest: floa
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own.pivot[block], pa.int32()), pa.array(own.annulus[block], pa.int32()), pa.array(part, pa.int32()),
-                        batch.column(2).take(pa.array(who)), batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)),
-                        pa.array(e[who, own.pivot[block]]), pa.array(reach[who]), batch.column(3).take(pa.array(who)),
+                        batch.column(2).take(pa.array(who)), batch.column(4).take(pa.array(who)), batch.column(0).take(pa.array(who)),
+                        batch.column(1).take(pa.array(who)), pa.array(e[who, own.pivot[block]]), pa.array(reach[who]), batch.column(3).take(pa.array(who)),
                     ],
-                    names=["pivot", "annulus", "part", "group", "query_id", "q", "e", "r", "least"],
+                    names=["pivot", "annulus", "part", "group", "ask", "query_id", "q", "e", "r", "least"],
                 )
 
-    return wanted.select("query_id", "q", "group", "least").mapInArrow(run, _VISIT)
+    return wanted.select("query_id", "q", "group", "least", "ask").mapInArrow(run, _VISIT)
 
 
 def _meet(visits: DataFrame, blocks: DataFrame, width: int, k: int, exact: bool) -> DataFrame:
-    """(query_id, vec_id, score): the best k rows of each visited block within the query's window.
+    """(ask, query_id, vec_id, score): the best k rows of each visited block within the window of a query, known by its row.
 
     Products are taken in doubles where these are ``exact``, else in integers.
     """
@@ -217,7 +218,7 @@ def _meet(visits: DataFrame, blocks: DataFrame, width: int, k: int, exact: bool)
             ids, distance, x = ids[rank], distance[rank], _matrix(right.column("q"), width, kind)[rank]
             places = np.empty(len(ids), np.int64)
             places[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-            asked, e, r = (left.column(c).to_numpy() for c in ("query_id", "e", "r"))
+            ask, asked, e, r = (left.column(c).to_numpy() for c in ("ask", "query_id", "e", "r"))
             least = left.column("least").combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy()
             low, high = np.searchsorted(distance, e - r - 1e-6 * (1 + e)), np.searchsorted(distance, e + r + 1e-6 * (1 + e), "right")
             q = _matrix(left.column("q"), width, kind)
@@ -236,8 +237,8 @@ def _meet(visits: DataFrame, blocks: DataFrame, width: int, k: int, exact: bool)
                     if len(at_row):
                         own = score[n, at_row]
                         best = at_row[np.lexsort((places[a + at_row], -own))[:k]]
-                        out.append((np.full(len(best), asked[row]), ids[a + best], score[n, best]))
-        columns = [np.concatenate(c) if out else np.empty(0) for c in (zip(*out) if out else ((), (), ()))]
-        return pa.table({name: pa.array(c.astype(np.int64)) for name, c in zip(("query_id", "vec_id", "score"), columns)})
+                        out.append((np.full(len(best), ask[row]), np.full(len(best), asked[row]), ids[a + best], score[n, best]))
+        columns = [np.concatenate(c) if out else np.empty(0) for c in (zip(*out) if out else ((), (), (), ()))]
+        return pa.table({name: pa.array(c.astype(np.int64)) for name, c in zip(("ask", "query_id", "vec_id", "score"), columns)})
 
-    return visits.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    return visits.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(run, "ask long, query_id long, vec_id long, score long")

@@ -213,6 +213,22 @@ def test_top_k_of_repeated_ids_and_lengths(spark, monkeypatch):
     assert [tuple(r) for r in found] == [(0, n, 7, 8 * 65536) for n in range(1, 6)]
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_rows_of_one_id_are_queries_of_their_own(spark, small, monkeypatch):
+    if small:
+        for name, value in {"PIVOTS": 5, "SAMPLE": 30, "ANNULUS": 8, "ANNULI": 6, "PART": 7, "GROUP": 2}.items():
+            monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(21)
+    rows = [(50, [1.0, 0.0]), (50, [-1.0, 0.5]), (50, [1.0, 0.0]), (100, [0.0, 1.0])] + [(k % 30 + 1, [float(x) for x in rng.integers(-9, 9, 2)]) for k in range(60)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0)
+    expected = []
+    for i, q in rows:
+        if i % 50 == 0:
+            best = sorted((-int(256 * 256 * (q[0] * x[0] + q[1] * x[1])), j) for j, x in rows if j != i)[:5]
+            expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_top_k_of_few_and_none(spark):
     table = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[1:] for r in topk.top_k(table, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1, 131072), (2, 2, 131072)]
@@ -252,6 +268,25 @@ def test_near_vectors(spark, sizes, monkeypatch):
     assert all(r.component_id == r.vec_id or r.vec_id is None and r.component_id is None for r in twice)
 
 
+def test_vectors_of_any_length_link_as_their_directions(spark):
+    rng = np.random.default_rng(23)
+    base = [rng.normal(size=8) for _ in range(12)]
+    rows = [(k, base[k % 12] + 0.02 * rng.normal(size=8)) for k in range(120)]
+    scales = [1e-200, 1e200, 1.0, 1e-300, 1e300, 5e-320, 1e150]
+    table = spark.createDataFrame([(k, 1, [float(x * scales[k % 7]) for x in v]) for k, v in rows] + [(999, 1, [0.0] * 8)], "vec_id long, label int, embedding array<double>")
+    unit = [v / np.linalg.norm(v) for _, v in rows]
+    links = {(i, j) for i in range(120) for j in range(120) if i != j and i % 7 != 5 and j % 7 != 5 and unit[i] @ unit[j] >= 0.93}
+    found = {r.vec_id: r.n_links for r in permutation.near_vectors(table).collect()}
+    assert found[999] == 0
+    for k in range(120):
+        if k % 7 != 5:  # numbers below 1e-307 have few digits left, so their own links may differ
+            assert found[k] <= sum((k, j) in links or j % 7 == 5 for j in range(120))
+    assert sum(found[k] for k in range(120) if k % 7 != 5) >= 0.95 * len(links)
+    for scale in (0, 1, 3, 4, 6):  # as many as of vectors that have an ordinary length
+        own = [sum((k, j) in links for j in range(120)) for k in range(scale, 120, 7)]
+        assert sum(found[k] for k in range(scale, 120, 7)) >= 0.9 * sum(own) > 0
+
+
 @pytest.mark.parametrize("shared", [0.0, 0.75, 0.85])
 def test_index_of_vectors_that_share_a_direction(shared):
     """Recall against brute force and short lists, where random pairs have this cosine."""
@@ -357,12 +392,21 @@ def test_a_hot_id_takes_part_as_any_other(spark, monkeypatch):
             assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
         taken = mixture.taken_words(docs).collect()
         assert len(taken) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in taken)
-        outcomes.append(sorted((r.source_size, r.target) for r in taken))
+        outcomes.append(sorted(map(str, taken)))  # the stream is in one order, whatever is hot
     assert outcomes[0] == outcomes[1]
     again = sorted(map(str, mixture.taken_words(docs.repartition(7)).collect()))
     assert again == sorted(map(str, taken))
 
 
+def test_rows_equal_but_for_the_place_of_a_null_are_kept_apart(spark):
+    rows = [(1, "one text of a few words", None, "s"), (1, "one text of a few words", "s", None), (None, "s", "s", "s"), (None, "s", None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = sorted(map(tuple, mixture.taken_words(docs).select("doc_id", "size").collect()), key=str)
+    assert taken == sorted([(1, 6), (1, 6), (None, 1), (None, 1)], key=str)
+    mixed = collections.Counter(map(tuple, mixture.mixed_documents(docs, share=2.0).collect()))
+    assert mixed == collections.Counter(2 * rows)
+
+
 def test_excess_is_reshared_until_none_is_above(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 100)], "source string, size long")
     found = {r.source: r.target for r in mixture.target_table(sized, (3, 1, 2), 1.5, 2.0).collect()}
@@ -480,6 +524,31 @@ def test_paths_and_times_are_no_secrets(vocabulary, text):
     assert secrets.SecretScanner(*vocabulary).spans(f"see {text} and {text}") == []
 
 
+@pytest.mark.parametrize("label", ["md5-", "md5=", "sha1_", "sha256=", "sha512-"])
+def test_a_label_makes_a_digest_only_of_its_length(vocabulary, label):
+    own, rng = secrets.SecretScanner(*vocabulary), random.Random(14)
+    pick = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    in_hex, in_64 = secrets.DIGEST_CHARS[label[:-1]]
+    for _ in range(50):
+        key = pick(28, mixed)
+        assert key not in own.redacted(f"see {label}{key} here")
+        for digest in (pick(in_hex, "0123456789ABCDEF"), pick(in_64, mixed), pick(in_64, mixed) + "=="):
+            assert own.spans(f"see {label}{digest} here") == []
+
+
+def test_groups_of_few_characters_are_one_string(vocabulary):
+    own, rng = secrets.SecretScanner(*vocabulary), random.Random(15)
+    assert own.spans("Xk4-9Zq2-Lm8P-vT3w-Yb7R-nQ5s") == [("random", 0, 28)]
+    found = 0
+    for _ in range(300):
+        groups = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(4)) for _ in range(6)]
+        found += own.redacted("key " + "-".join(groups)) == "key [secret]"
+    assert found >= 285
+    for clean in ("one-two-and-so-on-to-the-end-of-it", "a/b/c/d/e/f/g/the/api/v2/id/of/me/or/not/by/x", "en-us-de-fr-es-it-pt-nl-sv-da-no-fi", "src/lib/bin/usr/etc/var/tmp/opt/dev/sys", "this-that-with-from-have-been-will-more", "jan_feb_mar_apr_may_jun_jul_aug_sep_oct", "A1B2-C3D4-E5F6-0718-293A-4B5C-6D7E-8F90", "2024-01-02-03-04-05-06-07-08-09-10"):
+        assert own.spans(clean) == [], clean
+
+
 def slow_random(own, text):
     """Random spans character by character: what patterns don't cover, run by run, whole or in its longest bad parts."""
     covered = [False] * len(text)
@@ -494,6 +563,18 @@ def slow_random(own, text):
             runs, start = [*runs, (start, at)], None
     out = []
     ratio = lambda x: len(x) / len(own.encoding.encode_ordinary(x))
+
+    def holds(word):
+        """Half of its characters are in bad parts of five or more, or in rows of three or four that are bad together and mostly one by one."""
+        parts = re.findall(r"[^+/_=-]+", word)
+        bad = sum(len(x) for x in parts if len(x) >= 5 and not x.isdigit() and ratio(x) < 2.2)
+        for short, row in itertools.groupby(parts, key=lambda x: 3 <= len(x) < 5 and not x.isdigit()):
+            row = list(row) if short else []
+            joined, own_bad = "".join(row), sum(len(x) for x in row if ratio(x) < 2.2)
+            known = len(joined) in secrets.DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", joined)
+            bad += len(joined) * (len(joined) >= 20 and 4 * own_bad >= 3 * len(joined) and not known and ratio(joined) < 2.2)
+        return len(parts) == 1 or 2 * bad >= sum(map(len, parts))
+
     for a, b in runs:
         if b - a < 20:
             continue
@@ -508,13 +589,13 @@ def slow_random(own, text):
             word = text[s:e]
             parts = [m.span() for m in re.finditer(r"[^+/_=-]+", word)]
             bad = [(p, q) for p, q in parts if not word[p:q].isdigit() and ratio(word[p:q]) < 2.2]
-            if e - s >= 20 and ratio(word) < 2.2 and (len(parts) == 1 or 2 * sum(q - p for p, q in bad if q - p >= 5) >= sum(q - p for p, q in parts)):
+            if e - s >= 20 and ratio(word) < 2.2 and holds(word):
                 out.append((s, e))
             elif e - s >= 20:
                 groups = [list(g) for _, g in itertools.groupby(parts, key=lambda x: x in bad)]
                 for g in (g for g in groups if g[0] in bad):
                     whole = (g[0][0], g[-1][1])
-                    fits = lambda p, q: q - p >= 20 and ratio(word[p:q]) < 2.2 and (len(re.findall(r"[^+/_=-]+", word[p:q])) == 1 or 2 * sum(y - x for x, y in bad if p <= x and y <= q and y - x >= 5) >= sum(y - x for x, y in parts if p <= x and y <= q))
+                    fits = lambda p, q: q - p >= 20 and ratio(word[p:q]) < 2.2 and holds(word[p:q])
                     out += [(s + p, s + q) for p, q in ([whole] if fits(*whole) else g) if fits(p, q)]
     return out
 
