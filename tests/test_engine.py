@@ -496,3 +496,21 @@ def test_what_a_killed_import_leaves_is_removed(spark, tmp_path, monkeypatch):
     assert [r.name for r in engine.files(kb).collect()] == ["a.txt"] and engine.search("text", top_k=3).count() == 1
     engine.store.replace("bases", "id", spark.createDataFrame([(kb,)], "id string"))  # a deletion that was interrupted
     assert engine.clean_up(0) and engine.store.read("raw").count() == engine.store.read("chunks").count() == 0
+
+
+def test_old_checkpoints_are_removed_and_others_stay(spark):
+    import os
+    import uuid
+    from pathlib import Path
+    from urllib.parse import urlsplit
+
+    from quillmere.sources.checkpoint import remove_old
+
+    own = Path(urlsplit(spark.sparkContext.getCheckpointDir()).path)
+    old, other, fresh = own.parent / str(uuid.uuid4()), own.parent / "of-somebody-else", own.parent / f"pipeline-{uuid.uuid4().hex}"
+    for folder in (old, other, fresh):
+        folder.mkdir()
+    for folder in (old, other, own):
+        os.utime(folder, (1, 1))
+    assert remove_old(spark, 3600) == [old.name]
+    assert other.exists() and fresh.exists() and own.exists() and not old.exists()
