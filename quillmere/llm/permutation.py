@@ -22,6 +22,7 @@ blocks and worked on as pairs of blocks.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from math import comb
 
 import numpy as np
@@ -33,7 +34,9 @@ from quillmere.llm.common import column_or_null, cut
 from quillmere.llm.graph import connected_components
 
 #: Points are about so many times the root of the number of vectors, within these bounds, and fewer where they are long.
-POINTS_PER_ROOT, LEAST_POINTS, MOST_POINTS, POINT_BYTES = 8, 64, 4096, 64 << 20
+POINTS_PER_ROOT, LEAST_POINTS, MOST_POINTS, POINT_BYTES = 8, 64, 32_767, 64 << 20
+#: Points lie in cells, about as many as the root of their number; the nearest ones are looked for in so many cells nearest to a vector.
+PROBED = 24
 #: They are drawn from so many times as many sampled vectors, those with the lowest hashes; so many of these test the fit.
 SAMPLED, TESTED = 3, 1000
 #: Recall aimed at for pairs right at the threshold, and the longest prefix.
@@ -69,7 +72,27 @@ class Points:
         """Sorted numbers of the ``prefix`` nearest points of each vector of unit length, cut or filled with zeros to the points' width."""
         width = len(self.centre)
         x = x[:, :width] if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
-        return np.sort(_nearest(_centred(x, self.centre), self.points, self.prefix), axis=1)
+        return np.sort(_nearest(_centred(x, self.centre), self.cells, self.prefix), axis=1)
+
+    @cached_property
+    def cells(self) -> Cells:
+        return Cells(self.points)
+
+
+class Cells:
+    """Points in two levels: each belongs to the nearest of some of them, the first ones, which lie far apart.
+
+    Where there are no more cells than are probed, the nearest points are exact.
+    Otherwise they are those in the cells nearest to a vector, the same ones for
+    vectors that lie close together.
+    """
+
+    def __init__(self, points: np.ndarray):
+        self.middles = points[: max(1, round(len(points) ** 0.5))]
+        cell = np.concatenate([(points[at : at + 4096] @ self.middles.T).argmax(axis=1) for at in range(0, len(points), 4096)])
+        self.order = np.argsort(cell, kind="stable")
+        self.ends = np.searchsorted(cell[self.order], np.arange(len(self.middles) + 1))
+        self.points, self.n = points[self.order], len(points)
 
 
 def _centred(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -78,15 +101,35 @@ def _centred(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return x / np.maximum(1e-12, np.sqrt((x * x).sum(axis=1, keepdims=True)))
 
 
-def _nearest(x: np.ndarray, points: np.ndarray, most: int) -> np.ndarray:
+def _best(score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``most`` highest scores of each row, the highest first, and these scores."""
+    best = np.argpartition(-score, most - 1, axis=1)[:, :most] if most < score.shape[1] else np.argsort(-score, axis=1, kind="stable")
+    found = np.take_along_axis(score, best, 1)
+    order = np.argsort(-found, axis=1, kind="stable")
+    return np.take_along_axis(best, order, 1), np.take_along_axis(found, order, 1)
+
+
+def _nearest(x: np.ndarray, cells: Cells, most: int) -> np.ndarray:
     """The ``most`` nearest points, the nearest first."""
-    most = min(most, len(points))
+    most = min(most, cells.n)
     out = np.empty((len(x), most), np.int16)
-    for at in range(0, len(x), 1024):
-        near = x[at : at + 1024] @ points.T
-        best = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(points) else np.argsort(-near, axis=1)
-        order = np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable")
-        out[at : at + 1024] = np.take_along_axis(best, order, 1)
+    for at in range(0, len(x), 2048):
+        some = x[at : at + 2048]
+        if len(cells.middles) <= PROBED:
+            out[at : at + 2048] = cells.order[_best(some @ cells.points.T, most)[0]]
+            continue
+        probes, _ = _best(some @ cells.middles.T, PROBED)
+        number = np.zeros((len(some), PROBED * most), np.int64)
+        score = np.full((len(some), PROBED * most), -np.inf, np.float32)
+        rank = np.argsort(probes, axis=None, kind="stable")  # vectors by the cells that they probe
+        ends = np.searchsorted(probes.ravel()[rank], np.arange(len(cells.middles) + 1))
+        for cell in np.nonzero(np.diff(ends))[0]:
+            who, slot = np.divmod(rank[ends[cell] : ends[cell + 1]], PROBED)
+            low, high = cells.ends[cell], cells.ends[cell + 1]
+            best, near = _best(some[who] @ cells.points[low:high].T, min(most, high - low))
+            places = slot[:, None] * most + np.arange(best.shape[1])
+            number[who[:, None], places], score[who[:, None], places] = cells.order[low + best], near
+        out[at : at + 2048] = np.take_along_axis(number, _best(score, most)[0], 1)
     return out
 
 
@@ -125,7 +168,8 @@ def choose_points(x: np.ndarray, n: int, least: float) -> Points:
     size = most
     while best is None or size >= min(LEAST_POINTS, most):
         points = centred[order[:size]]
-        a, b, c = (_nearest(_centred(v, centre), points, MOST_PREFIX) for v in (own, turned, other))
+        cells = Cells(points)
+        a, b, c = (_nearest(_centred(v, centre), cells, MOST_PREFIX) for v in (own, turned, other))
         longest = min(MOST_PREFIX, size)
         fits = (p for p in range(min(2, longest), longest + 1) if p == longest or _shares_two(a, b, p, size).mean() >= RECALL)
         prefix = next(fits)
