@@ -32,7 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learned from the same part of the documents as the query of this operator.
 
     Rows without text or letters go, and so do all where nothing can be
-    learned; ids may be null (such rows teach nothing) or repeat.
+    learned; ids may be null (such rows teach nothing) or repeat. An empty table
+    gives an empty one, as in every stage.
     """
     return keep_known(docs, fit(docs.filter(~held_out(F.col("doc_id"), 4, 2)), "doc_id", "text", "lang"))
 
@@ -43,14 +44,18 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row stays; null and clean texts as they are."""
+    """Every row stays; null and clean texts as they are. An empty table gives an empty one."""
     import public_tokenizers
 
     return redact_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as the mix takes at least half of it; texts without words have no part in the mix."""
+    """Whole documents, each as often as the mix takes at least half of it; texts without words have no part in the mix.
+
+    Rows that differ in any column, or in which one is null, are different
+    documents; equal rows count together. An empty table gives an empty one.
+    """
     return mixed_documents(docs)
 
 

@@ -73,16 +73,21 @@ def recall(chunks: DataFrame, bases: DataFrame, files: DataFrame, query: Sequenc
     return nearest(found if cap is None else found.orderBy("idx", "chunk_id").limit(max(1, cap)), query, k)
 
 
-def described(hits: DataFrame, chunks: DataFrame, bases: DataFrame, files: DataFrame, texts: Callable[[list], DataFrame] | None = None) -> DataFrame:
+#: From some rows of a recall to the (chunks, files) to look in for their texts and names.
+Lookup = Callable[[list], tuple[DataFrame, DataFrame]]
+
+
+def described(hits: DataFrame, chunks: DataFrame, bases: DataFrame, files: DataFrame, lookup: Lookup | None = None) -> DataFrame:
     """The columns of a hit and ``ordinal`` for the rows of a recall, whose number the caller has bounded.
 
-    ``texts`` gives the chunks to look in for some rows; by default it is all of
-    ``chunks``. Either way ids and bases reach the scan as literals.
+    Without ``lookup``, texts and names are looked for in all of ``chunks`` and
+    ``files``. Either way ids and bases reach the scans as literals.
     """
     rows = hits.collect()  # as many as were recalled
     some = lambda c: sorted({r[c] for r in rows})
     local = hits.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(rows)], f"ordinal int, {hits.schema.simpleString()[7:-1]}")
-    known = (texts(rows) if texts and rows else chunks).filter(F.col("kb_id").isin(some("kb_id")) & F.col("id").isin(some("chunk_id")))
+    chunks, files = lookup(rows) if lookup and rows else (chunks, files)
+    known = chunks.filter(F.col("kb_id").isin(some("kb_id")) & F.col("id").isin(some("chunk_id")))
     return (
         local.join(known.select(F.col("id").alias("chunk_id"), "text", "heading"), "chunk_id")
         .join(bases.filter(F.col("id").isin(some("kb_id"))).select(F.col("id").alias("kb_id"), F.col("name").alias("kb_name")), "kb_id")
@@ -181,12 +186,12 @@ def search(
     reranker: Reranker | None = None,
     candidate_k: int | None = None,
     cap: int | None = None,
-    texts: Callable[[list], DataFrame] | None = None,
+    lookup: Lookup | None = None,
 ) -> DataFrame:
     """Hits of a question. A blank question has none, and then no model is asked.
 
     With a reranker, the recalled candidates (80 at most for the highest
-    ``top``) are sent to it; if it fails, their order by cosine stands. ``texts``
+    ``top``) are sent to it; if it fails, their order by cosine stands. ``lookup``
     is that of ``described``.
     """
     chunks, bases, files = (tables[x] for x in ("chunks", "bases", "files"))
@@ -196,7 +201,7 @@ def search(
     vector = embed_texts(embedder, [query])[0]
     budget = candidate_budget(top, candidate_k)
     nearby = recall(in_scope(chunks, tables["mounts"], kb_ids, workspace_id), bases, files, vector, budget if reranker else min(top, budget), cap)
-    hits = described(nearby, chunks, bases, files, texts)
+    hits = described(nearby, chunks, bases, files, lookup)
     if reranker is None:
         return hits.orderBy("ordinal").select(*_HIT, "score", none)
     rows = hits.orderBy("ordinal").collect()  # candidate_budget rows

@@ -271,9 +271,13 @@ class KnowledgeEngine:
     # search
 
     def search(self, query: str, kb_ids=None, workspace_id=None, top_k: int | None = None, use_rerank: bool = True, candidate_k: int | None = None) -> DataFrame:
-        """Hits of a question. Chunks of other bases are not opened, and texts are read from the buckets of the hits' files."""
+        """Hits of a question. Chunks and files of other bases are not opened; texts and names are read from the buckets of the hits' files."""
         top = top_k if top_k is not None else self.get_config().defaultTopK
         model = self.reranker() if use_rerank else None
-        tables = {x: self.store.read(x) for x in ("bases", "mounts", "files")} | {"chunks": self.store.read("chunks", kb_ids or None)}
-        texts = lambda hits: self.store.read("chunks", {h.kb_id for h in hits}, {h.file_id for h in hits})
-        return search.search(query, tables, self.embedder() if query.strip() else None, top, kb_ids, workspace_id, model, candidate_k, texts=texts)
+        tables = {x: self.store.read(x) for x in ("bases", "mounts")} | {x: self.store.read(x, kb_ids or None) for x in ("files", "chunks")}
+
+        def lookup(hits: list) -> tuple[DataFrame, DataFrame]:
+            where = {h.kb_id for h in hits}, {h.file_id for h in hits}
+            return self.store.read("chunks", *where), self.store.read("files", *where)
+
+        return search.search(query, tables, self.embedder() if query.strip() else None, top, kb_ids, workspace_id, model, candidate_k, lookup=lookup)

@@ -36,12 +36,12 @@ def remove_old(spark: SparkSession, older_than: float = 7 * 86_400) -> list[str]
     as nothing refers to them, if ``spark.cleaner.referenceTracking.cleanCheckpoints``
     is set; that is only possible when it begins.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or "").rpartition("/")[0]
+    used = spark.sparkContext.getCheckpointDir() or ""  # a session's own folder in the shared one
+    folder, own = used.rpartition("/")[0] or spark.conf.get("spark.checkpoint.dir", None), used.rpartition("/")[2]
     if not folder:
         return []
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    own = (spark.sparkContext.getCheckpointDir() or "").rpartition("/")[2]
     until = 1000 * (time.time() - older_than)
     found = [x for x in fs.listStatus(path) if x.getModificationTime() < until and _OWN.fullmatch(x.getPath().getName()) and x.getPath().getName() != own]
     for x in found:
