@@ -17,7 +17,7 @@ from quillmere.operators.operations import Operation, Operations, Stopped
 from quillmere.schemas import BASES, KEYS, MOUNTS
 from quillmere.sources.files import raw_rows, read_files
 from quillmere.sources.models import Embedder, HttpEmbedder, HttpReranker, Reranker, probe
-from quillmere.sources.store import TableStore
+from quillmere.sources.store import BUCKETS, TableStore
 
 #: Files of a batch that is indexed and committed at once, but no more batches than a base has buckets.
 BATCH_FILES = 500
@@ -26,7 +26,8 @@ BATCH_FILES = 500
 class KnowledgeEngine:
     """One warehouse. ``clock`` gives milliseconds; models default to those of the configuration, over HTTP.
 
-    Files are indexed in batches of whole buckets. Each batch is one plan and is
+    A base of a new warehouse has ``buckets`` buckets. Files are indexed in
+    batches of whole buckets. Each batch is one plan and is
     committed when it is through, so stopping leaves the files of earlier
     batches ready and fails only those in hand.
     """
@@ -40,9 +41,10 @@ class KnowledgeEngine:
         workspaces: Iterable[dict] = (),
         clock: Callable[[], int] = lambda: int(time.time() * 1000),
         batch_files: int = BATCH_FILES,
+        buckets: int = BUCKETS,
     ):
         self.spark, self.clock, self.batch_files = spark, clock, batch_files
-        self.store = TableStore(spark, root)
+        self.store = TableStore(spark, root, buckets=buckets)
         self.workspaces = [dict(w) for w in workspaces]
         self._embedder, self._reranker = embedder, reranker
         self.operations = Operations(spark)
