@@ -8,13 +8,17 @@ pivot, in order of d, are cut into annuli. If |q' - p| = e and the k-th best
 distance so far is r, only rows with e - r <= d <= e + r can be nearer.
 
 A query first expands the annuli next to it until they hold k + 1 rows, which
-gives r, then visits just the annuli that the bound leaves, and in each of them
-the window of rows that it leaves. Annuli and queries meet in bounded blocks:
-large annuli are dealt into parts and the queries into groups.
+gives r, then visits just the annuli that the bound leaves, and of them the
+window of rows that it leaves. Rows and queries meet in bounded blocks: the rows
+of a pivot are dealt into parts and the queries into groups. A query travels
+once to each part of a pivot, however many annuli it visits there, and to a
+group go only the annuli that its queries visit.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,10 +26,12 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.common import cut
 
-#: Pivots, and the rows of the sample they are chosen from (those with the lowest hashes).
-PIVOTS, SAMPLE = 48, 768
-#: Rows aimed at in an annulus; annuli of a pivot; rows of a part; queries of a group.
-ANNULUS, ANNULI, PART, GROUP = 2048, 16, 4096, 2048
+#: Pivots follow the root of the number of rows between these; rows of the sample (lowest hashes) for each of them.
+PIVOTS, MOST_PIVOTS, SAMPLED = 48, 1024, 16
+#: Rows aimed at in an annulus; annuli of a pivot.
+ANNULUS, ANNULI = 2048, 16
+#: Components held at once by the rows of a part, and by the queries of a group; rows there at least.
+CELLS, LEAST_ROWS = 1 << 19, 256
 #: Distances are sums of squares of integers, compared with this relative slack.
 _SLACK = 1e-9
 
@@ -49,6 +55,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind=np.float64) ->
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
 
 
+def pivots_for(n: int) -> int:
+    """Pivots of an index of n rows."""
+    return min(max(PIVOTS, math.isqrt(n) // 8), MOST_PIVOTS)
+
+
 def _pivot_matrix(rows: DataFrame, largest: float, n: int) -> np.ndarray:
     """Pivots far from each other out of a bounded sample of different vectors, in the larger space.
 
@@ -56,14 +67,16 @@ def _pivot_matrix(rows: DataFrame, largest: float, n: int) -> np.ndarray:
     vectors are told apart; where so many repeat that too few are left, all are.
     """
     unit = F.shiftrightunsigned(F.xxhash64("q"), 12) * F.lit(2.0**-52)
-    lowest = lambda df: df.select("q").distinct().orderBy(F.xxhash64("q"), "q").limit(SAMPLE).collect()  # noqa: E731  SAMPLE rows
-    sample = lowest(rows.filter(unit * n < 8 * SAMPLE))
-    if len(sample) < PIVOTS and n > 8 * SAMPLE:
+    wanted = pivots_for(n)
+    size = SAMPLED * wanted
+    lowest = lambda df: df.select("q").distinct().orderBy(F.xxhash64("q"), "q").limit(size).collect()  # noqa: E731  bounded by MOST_PIVOTS
+    sample = lowest(rows.filter(unit * n < 8 * size))
+    if len(sample) < wanted and n > 8 * size:
         sample = lowest(rows)
     found = _lift(np.array([r.q for r in sample], float), largest)
     chosen = [0]
     nearest = ((found - found[0]) ** 2).sum(axis=1)
-    while len(chosen) < min(PIVOTS, len(found)):
+    while len(chosen) < min(wanted, len(found)):
         chosen.append(int(np.argmax(nearest)))
         nearest = np.minimum(nearest, ((found - found[chosen[-1]]) ** 2).sum(axis=1))
     return found[chosen]
@@ -78,13 +91,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Directory:
-    """Annuli by pivot: (pivot, annulus, low, high, rows, parts); at most PIVOTS * ANNULI of them."""
+    """Annuli by pivot: (pivot, annulus, low, high, rows), at most MOST_PIVOTS * ANNULI of them, and the parts of each pivot."""
 
-    def __init__(self, rows, pivots: np.ndarray):
+    def __init__(self, rows, pivots: np.ndarray, part_rows: int):
         self.pivots = pivots
         self.pivot, self.annulus, self.rows = (np.array([r[k] for r in rows], np.int64) for k in ("pivot", "annulus", "n"))
         self.low, self.high = (np.array([r[k] for r in rows], float) for k in ("low", "high"))
-        self.parts = -(-self.rows // PART)
+        self.parts = -(-np.bincount(self.pivot, self.rows, len(pivots)).astype(np.int64) // part_rows)
 
     def least(self, e: np.ndarray) -> np.ndarray:
         """Least possible distance from queries to the rows of each annulus."""
@@ -117,16 +130,19 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         whole = whole.withColumn("q", F.concat("q", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("q"))))
     exact = largest * (1 + 1e-9) < _EXACT  # by Cauchy and Schwarz it bounds every partial sum
     pivots = _pivot_matrix(whole, float(largest), n)
-    groups = max(1, -(-asking // GROUP))
+    held = max(LEAST_ROWS, CELLS // width)
+    groups = max(1, -(-asking // held))
 
     def place(batches):
-        for batch in batches:
-            distance = _distances(_lift(_matrix(batch.column(1), width), float(largest)), pivots)
-            nearest = distance.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(nearest, pa.int32()), pa.array(distance[np.arange(len(nearest)), nearest], pa.float64())],
-                names=["vec_id", "q", "asks", "pivot", "distance"],
-            )
+        for all_rows in batches:
+            for at in range(0, all_rows.num_rows, 1024):
+                batch = all_rows.slice(at, 1024)
+                distance = _distances(_lift(_matrix(batch.column(1), width), float(largest)), pivots)
+                nearest = distance.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(nearest, pa.int32()), pa.array(distance[np.arange(len(nearest)), nearest], pa.float64())],
+                    names=["vec_id", "q", "asks", "pivot", "distance"],
+                )
 
     # rows are numbered, so that those of one id can be dealt into parts too
     keyed = cut(whole.mapInArrow(place, "vec_id long, q array<long>, asks boolean, pivot int, distance double").withColumn("row", F.monotonically_increasing_id()))
@@ -136,11 +152,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     annuli = keyed.join(F.broadcast(cuts), "pivot").withColumn("annulus", F.size(F.filter("cuts", lambda x: x < F.col("distance")))).drop("cuts")
     index = cut(annuli)
     listed = index.groupBy("pivot", "annulus").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"))
-    directory = _Directory(listed.orderBy("pivot", "annulus").collect(), pivots)  # PIVOTS * ANNULI rows at most
-    part = F.pmod(F.xxhash64("vec_id", "row"), F.ceil(F.col("n") / PART)).cast("int")
-    blocks = index.join(F.broadcast(listed.select("pivot", "annulus", "n")), ["pivot", "annulus"]).select(
-        "pivot", "annulus", part.alias("part"), "vec_id", "q", "distance"
-    )
+    directory = _Directory(listed.orderBy("pivot", "annulus").collect(), pivots, held)  # MOST_PIVOTS * ANNULI rows at most
+    part = F.pmod(F.xxhash64("vec_id", "row"), F.ceil(F.col("n") / held)).cast("int")
+    blocks = index.join(F.broadcast(counts.select("pivot", "n")), "pivot").select("pivot", "annulus", part.alias("part"), "vec_id", "q", "distance")
     queries = index.filter("asks").select(F.col("row").alias("ask"), F.col("vec_id").alias("query_id"), "q", F.pmod(F.xxhash64("vec_id", "row", F.lit(1)), F.lit(groups)).cast("int").alias("group"))
 
     near = _visits(queries, directory, width, float(largest), k, seeds=True)
@@ -155,19 +169,19 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     )
 
 
-_VISIT = "pivot int, annulus int, part int, group int, ask long, query_id long, q array<long>, e double, r double, least long"
+_VISIT = "pivot int, part int, group int, annuli array<int>, ask long, query_id long, q array<long>, low double, high double, least long"
 
 
 def _visits(queries: DataFrame, directory: _Directory, width: int, largest: float, k: int, seeds: bool) -> DataFrame:
-    """A row for each block that a query visits, with its distance e to the pivot and its reach r."""
+    """A row for each part of a pivot that a query visits, with the annuli there and the window (low, high) of distances that they leave."""
     shared = queries.sparkSession.sparkContext.broadcast(directory)
     wanted = queries if "least" in queries.columns else queries.withColumn("least", F.lit(None).cast("long"))
 
     def run(batches):
         own = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
                 x = _matrix(batch.column(1), width)
                 e = _distances(np.hstack([x, np.zeros((len(x), 1))]), own.pivots)
                 bound = own.least(e)
@@ -176,39 +190,50 @@ def _visits(queries: DataFrame, directory: _Directory, width: int, largest: floa
                     before = np.cumsum(own.rows[order], axis=1) - own.rows[order]
                     go = np.zeros(bound.shape, bool)
                     np.put_along_axis(go, order, before < k + 1, axis=1)
-                    reach = np.full(len(x), np.inf)
                 else:
                     least = batch.column(3).to_numpy(zero_copy_only=False).astype(float)  # null becomes nan
                     square = (x**2).sum(axis=1) + largest - 2 * least
                     reach = np.where(np.isnan(least), np.inf, np.sqrt(np.maximum(0, square)) * (1 + _SLACK) + 1e-6 * np.sqrt(largest + 1))
                     go = bound <= reach[:, None]
-                who, block = np.nonzero(go)
-                parts = own.parts[block]
-                who, block = np.repeat(who, parts), np.repeat(block, parts)
-                part = np.arange(len(who)) - np.repeat(np.cumsum(parts) - parts, parts)
+                who, block = np.nonzero(go)  # by query, then by pivot and annulus
+                if not len(who):
+                    continue
+                pivot = own.pivot[block]
+                begin = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (pivot[1:] != pivot[:-1])]))
+                annuli = pa.ListArray.from_arrays(pa.array(np.append(begin, len(who)), pa.int32()), pa.array(own.annulus[block], pa.int32()))
+                if seeds:
+                    low, high = np.minimum.reduceat(own.low[block], begin), np.maximum.reduceat(own.high[block], begin)
+                else:
+                    middle, far = e[who[begin], pivot[begin]], reach[who[begin]]
+                    low, high = middle - far - 1e-6 * (1 + middle), middle + far + 1e-6 * (1 + middle)
+                parts = own.parts[pivot[begin]]
+                visit = np.repeat(np.arange(len(begin)), parts)
+                part = np.arange(len(visit)) - np.repeat(np.cumsum(parts) - parts, parts)
+                asks = pa.array(who[begin][visit])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(own.pivot[block], pa.int32()), pa.array(own.annulus[block], pa.int32()), pa.array(part, pa.int32()),
-                        batch.column(2).take(pa.array(who)), batch.column(4).take(pa.array(who)), batch.column(0).take(pa.array(who)),
-                        batch.column(1).take(pa.array(who)), pa.array(e[who, own.pivot[block]]), pa.array(reach[who]), batch.column(3).take(pa.array(who)),
+                        pa.array(pivot[begin][visit], pa.int32()), pa.array(part, pa.int32()), batch.column(2).take(asks), annuli.take(pa.array(visit)),
+                        batch.column(4).take(asks), batch.column(0).take(asks), batch.column(1).take(asks), pa.array(low[visit]), pa.array(high[visit]),
+                        batch.column(3).take(asks),
                     ],
-                    names=["pivot", "annulus", "part", "group", "ask", "query_id", "q", "e", "r", "least"],
+                    names=["pivot", "part", "group", "annuli", "ask", "query_id", "q", "low", "high", "least"],
                 )
 
     return wanted.select("query_id", "q", "group", "least", "ask").mapInArrow(run, _VISIT)
 
 
 def _meet(visits: DataFrame, blocks: DataFrame, width: int, k: int, exact: bool) -> DataFrame:
-    """(ask, query_id, vec_id, score): the best k rows of each visited block within the window of a query, known by its row.
+    """(ask, query_id, vec_id, score): the best k rows of each visited part within the window of a query, known by its row.
 
     Products are taken in doubles where these are ``exact``, else in integers.
     """
     kind = np.float64 if exact else np.int64
-    keys = ["pivot", "annulus", "part", "group"]
-    wanted = visits.select(*(F.col(c).alias(f"to_{c}") for c in keys)).distinct()
-    same = [F.col(c) == F.col(f"to_{c}") for c in keys[:3]]
-    # a block goes to the groups of queries that visit it
+    keys = ["pivot", "part", "group"]
+    # an annulus goes to the groups of queries that visit it
+    wanted = visits.select(*(F.col(c).alias(f"to_{c}") for c in keys), F.explode("annuli").alias("to_annulus")).distinct()
+    same = [F.col(c) == F.col(f"to_{c}") for c in ("pivot", "part", "annulus")]
     rows = blocks.join(wanted, same).select(*(F.col(f"to_{c}").alias(c) for c in keys), "vec_id", "q", "distance")
+    visits = visits.drop("annuli")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
@@ -218,11 +243,11 @@ def _meet(visits: DataFrame, blocks: DataFrame, width: int, k: int, exact: bool)
             ids, distance, x = ids[rank], distance[rank], _matrix(right.column("q"), width, kind)[rank]
             places = np.empty(len(ids), np.int64)
             places[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-            ask, asked, e, r = (left.column(c).to_numpy() for c in ("ask", "query_id", "e", "r"))
+            ask, asked, first, last = (left.column(c).to_numpy() for c in ("ask", "query_id", "low", "high"))
             least = left.column("least").combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy()
-            low, high = np.searchsorted(distance, e - r - 1e-6 * (1 + e)), np.searchsorted(distance, e + r + 1e-6 * (1 + e), "right")
+            low, high = np.searchsorted(distance, first), np.searchsorted(distance, last, "right")
             q = _matrix(left.column("q"), width, kind)
-            order = np.argsort(e, kind="stable")
+            order = np.lexsort((high, low))
             for at in range(0, len(order), 64):
                 some = order[at : at + 64]
                 a, b = low[some].min(), high[some].max()

@@ -181,7 +181,7 @@ def slow_top(rows, asks, k=5):
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k_is_exact(spark, small, monkeypatch):
     if small:
-        for name, value in {"PIVOTS": 5, "SAMPLE": 30, "ANNULUS": 8, "ANNULI": 6, "PART": 7, "GROUP": 3}.items():
+        for name, value in {"PIVOTS": 5, "MOST_PIVOTS": 5, "SAMPLED": 6, "ANNULUS": 8, "ANNULI": 6, "CELLS": 1, "LEAST_ROWS": 3}.items():
             monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(4)
     vectors = [rng.normal(size=6) * rng.choice((0.1, 1, 3)) for _ in range(120)] + [np.ones(6)] * 40
@@ -207,7 +207,8 @@ def test_top_k_of_large_values_is_exact(spark, size):
 
 
 def test_top_k_of_repeated_ids_and_lengths(spark, monkeypatch):
-    monkeypatch.setattr(topk, "PART", 50)
+    monkeypatch.setattr(topk, "CELLS", 1)
+    monkeypatch.setattr(topk, "LEAST_ROWS", 50)
     rows = [(7, [float(k % 9)]) for k in range(2000)] + [(0, [1.0]), (1, [2.0, 5.0])]
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [tuple(r) for r in found] == [(0, n, 7, 8 * 65536) for n in range(1, 6)]
@@ -216,7 +217,7 @@ def test_top_k_of_repeated_ids_and_lengths(spark, monkeypatch):
 @pytest.mark.parametrize("small", [False, True])
 def test_rows_of_one_id_are_queries_of_their_own(spark, small, monkeypatch):
     if small:
-        for name, value in {"PIVOTS": 5, "SAMPLE": 30, "ANNULUS": 8, "ANNULI": 6, "PART": 7, "GROUP": 2}.items():
+        for name, value in {"PIVOTS": 5, "MOST_PIVOTS": 5, "SAMPLED": 6, "ANNULUS": 8, "ANNULI": 6, "CELLS": 1, "LEAST_ROWS": 2}.items():
             monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(21)
     rows = [(50, [1.0, 0.0]), (50, [-1.0, 0.5]), (50, [1.0, 0.0]), (100, [0.0, 1.0])] + [(k % 30 + 1, [float(x) for x in rng.integers(-9, 9, 2)]) for k in range(60)]
