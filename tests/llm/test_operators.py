@@ -230,6 +230,21 @@ def test_rows_of_one_id_are_queries_of_their_own(spark, small, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(expected)
 
 
+def test_a_query_travels_once_to_each_part_of_a_pivot(spark):
+    rows = [{"pivot": p, "annulus": a, "n": 10, "low": float(a), "high": a + 0.5} for p in (0, 1) for a in (0, 1, 2)]
+    directory = topk._Directory(rows, np.array([[0.0, 0.0, 0.0], [9.0, 0.0, 0.0]]), 12)
+    assert directory.parts.tolist() == [3, 3]
+    asked = spark.createDataFrame([(7, 70, [0, 0], 0, None), (8, 80, [9, 0], 0, 80)], "ask long, query_id long, q array<long>, group int, least long")
+    met = [(r.ask, r.pivot, r.part, list(r.annuli)) for r in topk._visits(asked, directory, 2, 81.0, 1, seeds=False).collect()]
+    whole = [(7, p, part, [0, 1, 2]) for p in (0, 1) for part in range(3)]  # nothing is known of its reach
+    near = [(8, 1, part, [0, 1]) for part in range(3)]  # |q|^2 + 81 - 2 * 80 = 2, so rows up to 1.41 from the second pivot
+    assert sorted(met) == sorted(whole + near)
+
+
+def test_pivots_follow_the_root_of_the_rows():
+    assert [topk.pivots_for(n) for n in (0, 10_000, 1_000_000, 16_000_000, 10**9)] == [48, 48, 125, 500, 1024]
+
+
 def test_top_k_of_few_and_none(spark):
     table = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[1:] for r in topk.top_k(table, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1, 131072), (2, 2, 131072)]
