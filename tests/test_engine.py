@@ -297,6 +297,16 @@ def test_a_stopped_run_leaves_files_ready_failed_and_as_they_were(spark, tmp_pat
     assert again.store.read("chunks").count() == 19 and again.store._names("staging") == []
 
 
+def test_staged_rows_that_fail_leave_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    store = KnowledgeEngine(spark, str(tmp_path / "kb"), HashingEmbedder(2)).store
+    broken = spark.range(8).select(F.when(F.col("id") == 5, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string")).alias("x"))
+    with pytest.raises(Exception, match="broken"):
+        store.staged(broken)
+    assert store._names("staging") == []
+
+
 def test_progress_rises_while_files_are_imported(spark, tmp_path):
     import threading
     import time
