@@ -19,15 +19,16 @@ from quillmere.sources.files import raw_rows, read_files
 from quillmere.sources.models import Embedder, HttpEmbedder, HttpReranker, Reranker, probe
 from quillmere.sources.store import BUCKETS, TableStore
 
-#: Files of a batch that is indexed and committed at once, but no more batches than a base has buckets.
-BATCH_FILES = 500
+#: Files of a batch that is indexed and committed at once, and batches of an operation: beyond so many, batches grow with the files.
+BATCH_FILES, MOST_BATCHES = 500, 4
 
 
 class KnowledgeEngine:
     """One warehouse. ``clock`` gives milliseconds; models default to those of the configuration, over HTTP.
 
     A base of a new warehouse has ``buckets`` buckets. Files are indexed in
-    batches of whole buckets. Each batch is one plan and is
+    batches of whole buckets, of ``batch_files`` files or more, and no more than
+    ``most_batches`` of them. Each batch is one plan and is
     committed when it is through, so stopping leaves the files of earlier
     batches ready and fails only those in hand.
     """
@@ -42,8 +43,9 @@ class KnowledgeEngine:
         clock: Callable[[], int] = lambda: int(time.time() * 1000),
         batch_files: int = BATCH_FILES,
         buckets: int = BUCKETS,
+        most_batches: int = MOST_BATCHES,
     ):
-        self.spark, self.clock, self.batch_files = spark, clock, batch_files
+        self.spark, self.clock, self.batch_files, self.most_batches = spark, clock, batch_files, most_batches
         self.store = TableStore(spark, root, buckets=buckets)
         self.workspaces = [dict(w) for w in workspaces]
         self._embedder, self._reranker = embedder, reranker
@@ -199,8 +201,8 @@ class KnowledgeEngine:
             self.operations.without_tag(op, lambda: self.store.merge("raw", parts))
 
     def _batches(self, buckets: list[int], files: int) -> list[list[int]]:
-        """Buckets in batches of about so many files."""
-        n = max(1, min(len(buckets), -(-files // self.batch_files)))
+        """Buckets in batches. Each costs the same plans and commits however many files it has, so their number is bounded."""
+        n = max(1, min(len(buckets), self.most_batches, -(-files // self.batch_files)))
         return [buckets[k::n] for k in range(n)]
 
     def _created(self, rows: DataFrame, kb_ids: list[str] | None, buckets: list[int] | None = None) -> DataFrame:

@@ -297,6 +297,14 @@ def test_a_stopped_run_leaves_files_ready_failed_and_as_they_were(spark, tmp_pat
     assert again.store.read("chunks").count() == 19 and again.store._names("staging") == []
 
 
+def test_batches_grow_with_the_files_and_not_in_number(engine):
+    for files in (0, 499, 501, 1_999, 2_001, 26_000, 1_000_000):
+        batches = engine._batches(list(range(64)), files)
+        assert len(batches) == max(1, min(4, -(-files // 500)))
+        assert sorted(x for some in batches for x in some) == list(range(64)) and max(map(len, batches)) <= -(-64 // len(batches))
+    assert [engine._batches([7], 10_000), engine._batches([], 0)] == [[[7]], [[]]]
+
+
 def test_staged_rows_that_fail_leave_nothing(spark, tmp_path):
     from pyspark.sql import functions as F
 
