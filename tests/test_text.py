@@ -172,6 +172,12 @@ def test_legacy_office_and_broken_files():
     assert extract("x", None).text == ""
 
 
+def test_html_references_need_their_semicolon():
+    assert html_text("<title>x&amp;&amp</title><p>&copy 1 &copy; 2 &ampx; &am</p>") == "x&&amp\n&copy 1 © 2 &ampx; &am"
+    assert html_text("<p>&amp;lt; &lt;b&gt; &#65; &#x42; &#67 && &nosuch; &</p>") == "&lt; <b> A B &#67 && &nosuch; &"
+    assert html_text("<a href='?a=1&copy=2'>a</a><script>a && b</script>&quot") == "a\n&quot"
+
+
 def test_html_modes():
     assert html_text("<p>a &amp; b<br>c</p><script>x()</script>") == "a & b\nc"
     assert html_text("<p>a<b> b </b></p>", "strict") == "a\nb"
