@@ -57,14 +57,20 @@ class PieceCodec:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.silent = {i for i, p in enumerate(model.pieces) if p.type == _CONTROL}
         self.special = self.silent | self.byte_of.keys()
+        self.plain = [p.replace(MARK, " ") for p in self.pieces]
+        self.digits = [str(i) for i in range(len(self.pieces))]
         self.break_alone = not any("\n" in p for p in self.ids)
+        self.inside = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         self.lengths = [len(p) for p in self.pieces]
+        self.single = {p: i for p, i in self.ids.items() if len(p) == 1}
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece[::-1], i)
+            if len(piece) > 1 or len(self.single) == len(self.ids):
+                self.automaton.add_word(piece[::-1], i)
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, int] = {}
+        self.ends: dict[int, dict[int, tuple]] = {0: {}, -1: {}}
         self.units: dict[str, tuple] = {}
         self.words: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
@@ -86,15 +92,62 @@ class PieceCodec:
             if at < len(joined):
                 joined[at] = score(symbols[at] + symbols[at + 1])
 
+    def _steps(self, piece: int, end: int) -> tuple:
+        """Merging a piece alone: (score of the next merge, symbol at its ``end``) before each and after the last; () if it isn't merged to itself."""
+        found = self.ends[end].get(piece)
+        if found is None:
+            symbols, out, score = list(self.pieces[piece]), [], self.score.get
+            while True:
+                joined = [score(a + b) for a, b in zip(symbols, symbols[1:])]
+                best = max((s for s in joined if s is not None), default=None)
+                out.append((best, symbols[end]))
+                if best is None:
+                    break
+                at = joined.index(best)
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            found = self.ends[end][piece] = tuple(out) if len(symbols) == 1 else ()
+        return found
+
+    def _apart(self, left: tuple, right: tuple) -> bool:
+        """Whether no merge crosses the boundary while both sides are merged, best first and of equals the leftmost."""
+        if not left or not right:
+            return False
+        score, i, j = self.score.get, 0, 0
+        (a, last), (b, first) = left[0], right[0]
+        across = score(last + first)
+        while True:
+            if across is not None and (a is None or across > a) and (b is None or across >= b):
+                return False
+            if a is not None and (b is None or a >= b):
+                i += 1
+                a, now = left[i]
+                if now is not last:
+                    last = now
+                    across = score(last + first)
+            elif b is not None:
+                j += 1
+                b, now = right[j]
+                if now is not first:
+                    first = now
+                    across = score(last + first)
+            else:
+                return True
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether two pieces, merged anew from single characters, stay these two."""
-        key = left << 20 | right
+        return self._apart(self._steps(left, -1), self._steps(right, 0))
+
+    def fitting(self, left: int, piece: int) -> int:
+        """The longest of ``piece`` and the pieces it starts with that is compatible with ``left``; -1 if none."""
+        key = left << 20 | piece
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= PAIR_ENTRIES:
                 self.pairs.clear()
-            two = [self.pieces[left], self.pieces[right]]
-            found = self.pairs[key] = self.merge(list("".join(two))) == two
+            found = piece
+            while found >= 0 and not self.compatible(left, found):
+                found = self._prefix_of(found)
+            self.pairs[key] = found
         return found
 
     def _prefix_of(self, piece: int) -> int:
@@ -108,36 +161,35 @@ class PieceCodec:
 
     def split(self, unit: str) -> list[int]:
         """Piece ids of a unit; a character that no piece holds, and so nothing merges with, is -1 less its code point."""
-        size, lengths, compatible, pairs = len(unit), self.lengths, self.compatible, self.pairs.get
-        longest = [-1] * size
-        for end, piece in self.automaton.iter(unit[::-1]):
-            before = longest[size - 1 - end]
-            if before < 0 or lengths[piece] > lengths[before]:
-                longest[size - 1 - end] = piece
-        failed, out, at = 0, [], 0
-        piece, shortened = longest[0] if size else -1, False
+        size, lengths, pairs, single = len(unit), self.lengths, self.pairs.get, self.single.get
+        # matches that end at one place come longest first, and of equal keys a dictionary keeps the last;
+        # pieces of one character are left to a dictionary, as each place has one and few are needed
+        longest = dict([*self.automaton.iter(unit[::-1])][::-1]).get
+        failed, out, at, left, fresh = 0, [], 0, -1, True
+        piece = longest(size - 1)
         while at < size:
-            end = at + lengths[piece] if piece >= 0 else at + 1
-            if piece < 0 and not shortened:
-                fits = not failed >> end & 1
+            if piece is None:
+                piece = single(unit[at], -1)
+            if piece >= 0:
+                if left >= 0:
+                    found = pairs(left << 20 | piece)
+                    piece = self.fitting(left, piece) if found is None else found
+                end = at + lengths[piece] if piece >= 0 else 0
             else:
-                fits = piece >= 0 and not failed >> end & 1 and (
-                    not out or out[-1] < 0 or (pairs(out[-1] << 20 | piece) or compatible(out[-1], piece))
-                )
-            if fits:
-                out.append(piece if piece >= 0 else -1 - ord(unit[at]))
-                at = end
-                if at < size:
-                    piece, shortened = longest[at], False
+                end = at + 1 if fresh else 0
+            if end and not failed >> end & 1:
+                left = piece if piece >= 0 else -1 - ord(unit[at])
+                out.append(left)
+                at, fresh, piece = end, True, longest(size - 1 - end)
                 continue
-            piece, shortened = self._prefix_of(piece) if piece >= 0 else -1, True
-            if piece < 0:
+            if not end or piece < 0:
                 failed |= 1 << at
                 if not out:
                     raise ValueError("no sequence of pieces fits")  # the merged sequence itself always does
                 piece = out.pop()
                 at -= lengths[piece] if piece >= 0 else 1
-                piece = max(piece, -1)
+                left = out[-1] if out else -1
+            piece, fresh = self._prefix_of(piece) if piece >= 0 else -1, False
         return out
 
     def ids_of(self, split: list[int]) -> list[int]:
@@ -150,10 +202,10 @@ class PieceCodec:
 
     def _unit(self, unit: str) -> tuple:
         """(number of ids, ids as text, decoded text) of a unit."""
-        found = self.units.get(unit)
+        found, digits = self.units.get(unit), self.digits
         if found is None:
             ids = self.ids_of(self.split(unit))
-            found = (len(ids), ",".join(map(str, ids)), self._plain(ids))
+            found = (len(ids), ",".join([digits[i] for i in ids]), self._plain(ids))
             if len(unit) <= MEMO_LENGTH:
                 if len(self.units) >= UNIT_ENTRIES:
                     self.units.clear()
@@ -161,11 +213,17 @@ class PieceCodec:
         return found
 
     def _word(self, word: str) -> tuple:
-        """What ``_unit`` gives for a mark and ``word``; the newer half of the memo replaces the older when it is full."""
-        found = self.older.get(word)
-        if found is None:
+        """What ``_unit`` gives for a mark and ``word``; a sign after a letter that no piece holds together is a unit of its own.
+
+        The newer half of the memo replaces the older when it is full.
+        """
+        found, digits = self.older.get(word), self.digits
+        if found is None and 1 < len(word) <= MEMO_LENGTH and word[-2:] not in self.inside and word[-2:-1].isalpha():
+            (n, ids, plain), (m, last, sign) = self.words.get(word[:-1]) or self._word(word[:-1]), self._unit(word[-1])
+            found = (n + m, f"{ids},{last}", plain + sign)
+        elif found is None:
             ids = self.ids_of(self.split(MARK + word))
-            found = (len(ids), ",".join(map(str, ids)), self._plain(ids))
+            found = (len(ids), ",".join([digits[i] for i in ids]), self._plain(ids))
         if len(word) <= MEMO_LENGTH:
             if len(self.words) >= WORD_ENTRIES:
                 self.older, self.words = self.words, {}
@@ -185,6 +243,10 @@ class PieceCodec:
             first, *words = line.split(MARK)
             if first:
                 add(self._unit(first))
+            if "" not in words:
+                known, made = self.words.get, self._word
+                out += [known(word) or made(word) for word in words]
+                continue
             run = MARK
             for word in words:
                 if not word:
@@ -210,7 +272,8 @@ class PieceCodec:
 
     def _plain(self, ids) -> str:
         if self.special.isdisjoint(ids):
-            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
+            plain = self.plain
+            return "".join([plain[i] for i in ids])
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -220,7 +283,7 @@ class PieceCodec:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
             if i not in self.silent:
-                out.append(self.pieces[i].replace(MARK, " "))
+                out.append(self.plain[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
         return "".join(out)

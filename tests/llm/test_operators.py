@@ -154,6 +154,26 @@ def test_ids_and_decoding_equal_the_library(spark, odd, none, library):
     assert pieces.encode_documents(none, path).count() == 0
 
 
+def test_sentencepiece_splits_a_word_once_whatever_sign_follows(library):
+    own = pieces.PieceCodec(tokenizer_path("piece_bpe_32k.model"))
+    split, seen = own.split, []
+    own.split = lambda unit: (seen.append(unit), split(unit))[1]
+    text = "thedtion thedtion. thedtion, thedtion? ciónado… ciónado\u0416 ciónado.. 中文。 中。 ü! .. a.b"
+    assert own.encode(text) == library.encode(text) and own.decode(own.encode(text)) == text
+    assert [u for u in seen if "thedtion" in u] == [pieces.MARK + "thedtion"]
+
+
+def test_sentencepiece_neighbours_are_told_as_by_merging_them_anew():
+    own, rng = pieces.PieceCodec(tokenizer_path("piece_bpe_32k.model")), random.Random(3)
+    ids = list(own.ids.values())
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(2000)]
+    for p in rng.sample(ids, 1000):
+        text = own.pieces[p]
+        pairs += [(own.ids[text[:n]], own.ids[text[n:]]) for n in range(1, len(text)) if text[:n] in own.ids and text[n:] in own.ids]
+    told = [own.compatible(a, b) for a, b in pairs]
+    assert told == [own.merge(list(own.pieces[a] + own.pieces[b])) == [own.pieces[a], own.pieces[b]] for a, b in pairs] and len(set(told)) == 2
+
+
 def test_random_texts_and_small_memos(library, monkeypatch):
     for name in ("WORD_ENTRIES", "UNIT_ENTRIES", "PAIR_ENTRIES"):
         monkeypatch.setattr(pieces, name, 7)
