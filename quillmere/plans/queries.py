@@ -10,7 +10,7 @@ import io
 import json
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -646,16 +646,23 @@ def _zip(members: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
-def _office(spark, d, ext: str, make: Callable[[str], bytes]) -> DataFrame:
-    """Every conversation turn as a small office file, written in Arrow batches and read back."""
+#: Office files that Python holds at once.
+_FILES = 256
 
-    def build(batches):
-        for batch in batches:
+
+def _made(batches: Iterable[pa.RecordBatch], make: Callable[[str], bytes]) -> Iterator[pa.RecordBatch]:
+    """Batches of (conv_id, turn, text) with a file instead of the text, a slice at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _FILES):
+            batch = whole.slice(at, _FILES)
             content = pa.array([make(t) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), content], names=["conv_id", "turn", "content"])
 
+
+def _office(spark, d, ext: str, make: Callable[[str], bytes]) -> DataFrame:
+    """Every conversation turn as a small office file, written in Arrow batches and read back."""
     rows = _read(spark, d, "conversations").select("conv_id", "turn", F.translate("text", "<>&\n\r", "     ").alias("text"))
-    made = rows.mapInArrow(build, "conv_id long, turn long, content binary").withColumn("name", F.lit(f"f.{ext}"))
+    made = rows.mapInArrow(lambda batches: _made(batches, make), "conv_id long, turn long, content binary").withColumn("name", F.lit(f"f.{ext}"))
     return extracted(made).select("conv_id", "turn", "kind", "subtype", "text", "error")
 
 

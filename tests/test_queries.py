@@ -16,6 +16,21 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_office_files_are_made_a_slice_at_a_time():
+    import pyarrow as pa
+
+    from quillmere.plans import queries
+
+    whole = pa.RecordBatch.from_pydict({"conv_id": list(range(1000)), "turn": [0] * 1000, "text": [f"t{n}" for n in range(1000)]})
+    asked = []
+    made = queries._made([whole, whole.slice(0, 0)], lambda t: (asked.append(t), t.encode())[1])
+    first = next(made)
+    assert len(asked) == first.num_rows == queries._FILES
+    rows = [first, *made]
+    assert max(b.num_rows for b in rows) == queries._FILES
+    assert [x for b in rows for x in zip(*(c.to_pylist() for c in b.columns))] == [(n, 0, f"t{n}".encode()) for n in range(1000)]
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
